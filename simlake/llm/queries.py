@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from simlake.llm import mixing
+from simlake.llm import mixing, near_dup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op8_near_dedup": near_dup.op8_near_dedup,
 }
 ORACLE_SQL = {**mixing.ORACLE}
