@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from simlake.llm import mixing, near_dup
+from simlake.llm import bpe, mixing, near_dup, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_bpe": bpe.op3_bpe,
     "op8_near_dedup": near_dup.op8_near_dedup,
 }
 ORACLE_SQL = {**mixing.ORACLE}
