@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache, partial
 from itertools import accumulate
@@ -37,7 +36,7 @@ from tokenizers import Tokenizer
 from simlake.llm.common import table
 
 #: Pre-tokens that the table of a worker holds, and the longest of them.
-TABLE, LONGEST = 300_000, 48
+TABLE, LONGEST = 500_000, 48
 
 
 def _byte_letters() -> list[str]:
@@ -69,7 +68,7 @@ class PrefixCounter:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.inner = {x for x in model["vocab"] if not x.endswith(self.end)}
         self.final = {x[: -len(self.end)] for x in model["vocab"] if x.endswith(self.end)}
-        self.longest = max(map(len, self.inner | self.final))
+        self.begins = {x[:i] for x in self.inner | self.final for i in range(1, len(x) + 1)}
         self.letters = _byte_letters()
         self.apart: dict[tuple[str, str, bool], bool] = {}
         self.table: dict[str, bytes | list[int]] = {}
@@ -100,7 +99,7 @@ class PrefixCounter:
             if final:
                 symbols[-1] += self.end
             want = [left] * bool(left) + [right + self.end * final]
-            if len(self.apart) > 4 * TABLE:
+            if len(self.apart) > 2 * TABLE:
                 self.apart.clear()
             known = self.apart[key] = self.merged(symbols) == want
         return known
@@ -111,24 +110,27 @@ class PrefixCounter:
         if known is not None:
             return known
         s = "".join([self.letters[b] for b in piece.encode()])
-        n, inner, final = len(s), self.inner, self.final
-        count, last, out = [0] * (n + 1), [""] * (n + 1), []
-        ends = list(accumulate(len(c.encode()) for c in piece))
-        at = 0
-        for i in range(1, n + 1):
-            stops = i == ends[at]
-            need_inner, need_final = i < n, stops
-            for start in range(max(0, i - self.longest), i):
+        n, inner, final, begins, apart = len(s), self.inner, self.final, self.begins, self.apart
+        count, last = [0] * (n + 1), [""] * (n + 1)
+        ends = range(1, n + 1) if n == len(piece) else list(accumulate(len(c.encode()) for c in piece))
+        stops = dict.fromkeys(ends, 0)
+        for start in range(n):
+            left, after = last[start], count[start] + 1
+            if start and not left:
+                continue
+            for i in range(start + 1, n + 1):
                 token = s[start:i]
-                if need_inner and token in inner and (start == 0 or last[start]) and self.compatible(last[start], token, False):
-                    count[i], last[i], need_inner = count[start] + 1, token, False
-                if need_final and token in final and (start == 0 or last[start]) and self.compatible(last[start], token, True):
-                    out.append(count[start] + 1)
-                    need_final = False
-                if not need_inner and not need_final:
+                if token not in begins:
                     break
-            if stops:
-                at += 1
+                if i < n and token in inner and not last[i]:
+                    key = (left, token, False)
+                    if apart[key] if key in apart else self.compatible(left, token, False):
+                        count[i], last[i] = after, token
+                if token in final and stops.get(i) == 0:
+                    key = (left, token, True)
+                    if apart[key] if key in apart else self.compatible(left, token, True):
+                        stops[i] = after
+        out = list(stops.values())
         if len(piece) > LONGEST:
             return out
         if len(self.table) >= TABLE:
@@ -172,23 +174,28 @@ class PrefixCounter:
             out += [base] * (start + len(part) + 1 - len(out))
         return out
 
-    def fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of the normalised text with at most ``budget`` tokens."""
-        marks: list[tuple[int, str | None, int]] = []  # (tokens before, pre-token or None, its start)
+    def measure(self, text: str, limits: Sequence[int]) -> tuple[int, list[int]]:
+        """The token count, and for each limit the code points of the longest prefix with at most so many tokens."""
+        parts, get, word = self.parts(text), self.table.get, self.word
+        counts = [[1] if special else [(get(x) or word(x))[-1] for x in self.pieces.findall(part)] for part, special in parts]
+        total, length = sum(map(sum, counts)), sum(len(part) for part, _ in parts)
+        return total, [length if total <= limit else self._cut(parts, counts, limit) for limit in limits]
+
+    def _cut(self, parts: list[tuple[str, bool]], counts: list[list[int]], limit: int) -> int:
+        """Where the longest prefix within the limit ends, if the text has more tokens."""
         base = at = 0
-        for part, special in self.parts(text):
-            for m in [None] if special else self.pieces.finditer(part):
-                marks.append((base, m and m[0], at + m.start() if m else at))
-                base += self.word(m[0])[-1] if m else 1
-            at += len(part)
-        if base <= budget:
-            return at
-        # the first pre-token that ends beyond the budget; the prefix ends before or within it
-        k = bisect_left(marks, budget, key=lambda x: x[0])
-        k = k - 1 if k == len(marks) or marks[k][0] > budget else k
-        before, piece, start = marks[k]
-        inside = [i for i, x in enumerate(self.word(piece), 1) if before + x <= budget] if piece else []
-        return start + max(inside, default=0)
+        for (part, special), own in zip(parts, counts, strict=True):
+            if base + sum(own) <= limit:
+                base, at = base + sum(own), at + len(part)
+                continue
+            if special:
+                return at
+            for m, n in zip(self.pieces.finditer(part), own, strict=True):
+                if base + n > limit:  # the prefix ends before or within this pre-token
+                    inside = [i for i, x in enumerate(self.word(m[0]), 1) if base + x <= limit]
+                    return at + m.start() + max(inside, default=0)
+                base += n
+        raise AssertionError("the text has no more tokens than the limit")
 
 
 @lru_cache(maxsize=2)
@@ -200,9 +207,9 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, limits: Sequence[int]
     counter = _counter(path)
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
-        counts = [counter.count(x) for x in texts]
-        # a text within the budget needs no search
-        fits = [pa.array([counter.fit(x, limit) if n > limit else sum(len(p) for p, _ in counter.parts(x)) for x, n in zip(texts, counts, strict=True)], pa.int64()) for limit in limits]
+        found = [counter.measure(x, limits) for x in texts]
+        counts = [n for n, _ in found]
+        fits = [pa.array([f[k] for _, f in found], pa.int64()) for k in range(len(limits))]
         yield pa.record_batch([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), *fits], names=["doc_id", "n_bytes", "n_tokens", *(f"fit_{x}" for x in limits)])
 
 
