@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from simlake.llm import bpe, html_extract, mixing, near_dup, token_counts, toxicity, vector_dedup
+from simlake.llm import bpe, html_extract, media, mixing, near_dup, pii, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_bpe": bpe.op3_bpe,
     "op4_html_extract": html_extract.op4_html_extract,
+    "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_near_dedup": near_dup.op8_near_dedup,
+    "op9_media": media.op9_media,
     "op10_vector_dedup": vector_dedup.op10_vector_dedup,
 }
 ORACLE_SQL = {**mixing.ORACLE}
