@@ -1,5 +1,85 @@
-"""placeholder"""
+"""The corpus pipeline: toxicity, near-duplicates, personal data, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs.  All but the last return the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simlake.llm import bpe, mixing, near_dup, pii, toxicity
+from simlake.llm.common import table
+from simlake.plans.staging import release, scratch_base, small, staged
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    release(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    release(spark)
+    found = near_dup.near_duplicates(docs, k=5)
+    gone = staged(found.where("not kept").select("doc_id").distinct(), "gone")
+    # rows that repeat the id of a kept document are copies of it: the first stays
+    return near_dup.first_rows(docs.join(small(gone), "doc_id", "left_anti")).select(*COLUMNS)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in place of personal data; ``n_chars`` follows the text."""
+    release(spark)
+    done = pii.pseudonymise(docs.select(*COLUMNS))
+    return done.withColumn("n_chars", F.when(F.size("_pii_kinds") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix to target weights: a document appears as often as it is taken."""
+    release(spark)
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids``: token ids packed as little-endian unsigned 32-bit integers."""
+    release(spark)
+    done = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", pseudonymise),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Training and signatures have no SQL form; the tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
-STAGES = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    last: str | None = None
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name, stage in STAGES:
+        path = f"{scratch_base(spark)}/simlake-pipeline/{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:  # what the stage read is no longer needed
+            where = hadoop.Path(last)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        last = path
+    release(spark)
+    return docs
