@@ -181,7 +181,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
     scorer = Scorer(model) if model else None
     for batch in batches:
         values = [scorer.score(x) if scorer else 0.0 for x in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "_score"])
 
 
 def held_out(doc_id) -> F.Column:
@@ -202,17 +202,23 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     return [r["text"] or "" for r in found], [r["toxic"] for r in found]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with ``held_out, score, predicted``, without their text."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from the labelled rows; None without any."""
     texts, marks = sample(docs, labels)
-    model = train(texts, marks) if texts else None
-    rest = [c for c in docs.columns if c != "text"]
+    return train(texts, marks) if texts else None
+
+
+def scored(docs: DataFrame, model: Model | None, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with ``score, held_out, predicted``."""
     types = dict(docs.dtypes)
-    out = docs.select(*rest, "text").mapInArrow(partial(_scored, model=model), ", ".join([f"`{c}` {types[c]}" for c in rest] + ["score double"]))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*rest, "text")
+    fields = [f"`{c}` {types[c]}" for c in rows.columns]
+    out = rows.mapInArrow(partial(_scored, model=model), ", ".join([*fields, "_score double"])).withColumnRenamed("_score", "score")
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents: ``doc_id, held_out, score, predicted``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
