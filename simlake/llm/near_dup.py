@@ -9,12 +9,12 @@ a text stops at the step from which no component can fall further.  The signatur
 cut into bands; classes that share a band are candidates.
 
 Within a band's bucket the members meet heads instead of each other: first the
-smallest member, then, round by round, eight times as many heads drawn by a hash.
-Pairs that are not yet connected are verified on the full sets, links are grouped by
-union-find, and the heads leave the bucket.  A bucket is finished when its members
-are connected, which for a group of near copies the first round achieves; every
-candidate pair is thus either verified or known to be in one group, and nothing is
-capped.
+smallest member, which connects a group of near copies in one round.  Members that
+stay unconnected meet about 16 heads drawn by a hash, and what then is still left
+unconnected meets the rest of its bucket; in these two rounds the join itself keeps
+only pairs whose bitmaps allow the similarity (a bound, so nothing is lost).  Pairs
+are verified on the full sets and links grouped by union-find.  Every candidate pair
+is thus verified, excluded by a bound, or known to be in one group; nothing is capped.
 
 With 40 bands of 6 rows a pair at similarity 0.8 fails to meet with probability
 (1 - 0.8**6)**40 < 1e-5, one at 0.9 with less than 1e-13.
@@ -28,21 +28,25 @@ An empty table gives an empty table.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.llm.common import mix64, table
 from simlake.operators.graph import connected_components
-from simlake.plans.staging import staged
+from simlake.plans.staging import small, staged
 
 BANDS, ROWS = 40, 6
 #: Elements and texts that one vectorised step works on.
 CHUNK, TEXTS = 8192, 512
+#: Classes of a set's bitmap.
+BITS = 2048
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -93,8 +97,20 @@ def _band_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64) if acc.flags.c_contiguous else np.ascontiguousarray(acc).view(np.int64)
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the parity of its elements in each of ``BITS`` classes, as 64-bit words.
+
+    Each bit in which two sets differ needs an element that only one of them has.
+    """
+    out = np.empty((len(sets), BITS // 64), np.int64)
+    for i, s in enumerate(sets):
+        odd = (np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+        out[i] = np.packbits(odd).view(np.int64)
+    return out
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, set_key, bands (null for an empty set)."""
+    """doc_id, text -> doc_id, n_shingles, set_key, bands, bits (the last three null for an empty set)."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sets = [shingles(texts[i].as_py(), k) for i in range(batch.num_rows)]
@@ -111,12 +127,15 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             h = superminhash(np.concatenate(group), np.repeat(np.arange(end - at), [len(s) for s in group]), end - at, bands * rows)
             out[at:end] = _band_hashes(h, bands, rows)
             at = end
-        lengths = np.zeros(batch.num_rows + 1, np.int32)
-        lengths[full + 1] = bands
-        mask = np.ones(batch.num_rows, bool)
-        mask[full] = False
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(out.reshape(-1)), mask=pa.array(mask))
-        yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+        bits = _bitmaps([sets[i] for i in full])
+        lists = []
+        for values in (out, bits):
+            lengths = np.zeros(batch.num_rows + 1, np.int32)
+            lengths[full + 1] = values.shape[1]
+            mask = np.ones(batch.num_rows, bool)
+            mask[full] = False
+            lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(values.reshape(-1)), mask=pa.array(mask)))
+        yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -129,8 +148,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = docs.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(wanted.mapInArrow(partial(_sets, k=k), "id bigint, items array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
@@ -138,10 +157,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def link_components(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+def link_components(members: DataFrame, bits: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """``node, component`` from the staged buckets ``bucket, id, n``: every candidate pair decided; None without links."""
-    comps, heads_wanted = None, 1
-    while True:
+    comps = None
+    for heads_wanted in (1, 16, None):
         now = members.withColumn("comp", F.col("id"))
         if comps is not None:
             now = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -150,33 +169,43 @@ def link_components(members: DataFrame, docs: DataFrame, k: int, percent: int) -
         open_ = staged(open_.where("lo < hi").select("bucket", "first", "c"), "open")
         if not open_.limit(1).count():
             return comps
-        # about heads_wanted members of each bucket, by a hash of the member
-        drawn = F.pmod(F.xxhash64("id", F.lit(heads_wanted)), F.lit(1 << 20)) * F.col("c") < heads_wanted << 20
-        head = (F.col("id") == F.col("first")) | (drawn if heads_wanted > 1 else F.lit(False))
+        # the smallest member; then about 16 of each bucket, by a hash of the member; then all that are left
+        first = F.col("id") == F.col("first")
+        head = {1: first, 16: first | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("c") < 16 << 20)}.get(heads_wanted, F.lit(True))
         now = staged(now.join(open_, "bucket").select("bucket", "id", "n", "comp", head.alias("head")), "members")
-        heads = now.where("head").select("bucket", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        may = (F.col("comp") != F.col("a_comp")) & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n"))
-        met = now.join(heads, "bucket").where(may)
+        left, may = now, (F.col("comp") != F.col("a_comp")) & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n"))
+        if heads_wanted != 1:
+            # bitmaps bound the overlap, so pairs that cannot reach the similarity do not leave the join
+            wanted = staged(now.select("id").distinct(), "wanted")
+            left = now.join(staged(bits.join(small(wanted), "id", "left_semi"), "bits"), "id")
+            apart = reduce(add, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("a_bits")[i])) for i in range(BITS // 64)))
+            may = may & ((100 + percent) * (F.col("n") + F.col("a_n") - apart) >= 2 * percent * (F.col("n") + F.col("a_n")))
+        if heads_wanted is None:
+            may = may & (F.col("a") < F.col("id"))
+        right = left.where("head").select("bucket", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), *([F.col("bits").alias("a_bits")] if heads_wanted != 1 else []))
+        met = left.join(right, "bucket").where(may)
         pairs = staged(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
         new = staged(_verified(pairs, docs, k, percent), "links")
         if new.limit(1).count():
             old = comps.select(F.col("node").alias("a"), F.col("component").alias("b")) if comps is not None else new.limit(0)
             comps = connected_components(new.unionByName(old))
-        members, heads_wanted = now.where("not head").select("bucket", "id", "n"), heads_wanted * 8
+        members = now.where("not head").select("bucket", "id", "n")
+    return comps
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs`` (doc_id, text)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(text.mapInArrow(partial(_signed, k=k, bands=bands, rows=rows), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "signed")
+    signed = staged(text.mapInArrow(partial(_signed, k=k, bands=bands, rows=rows), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, bits array<bigint>"), "signed")
     known = signed.where("doc_id is not null and set_key is not null")
     classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    # the class's smallest member carries its bands; members with its id and set are equal
-    reps = known.join(classes, "set_key").where("doc_id = rep")
-    banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
+    # the class's smallest member carries its bands
+    reps = known.join(classes, "set_key").where("doc_id = rep").dropDuplicates(["set_key"])
+    banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = staged(banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
     members = staged(banded.join(shared, "bucket"), "members")
-    comps = link_components(members, text.where("doc_id is not null"), k, percent)
+    bits = known.select(F.col("doc_id").alias("id"), "bits")
+    comps = link_components(members, bits, text.where("doc_id is not null"), k, percent)
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -187,6 +216,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def first_rows(docs: DataFrame) -> DataFrame:
+    """One row of those that repeat an id and text; rows with a null id stay.  Only repeated ids are shuffled with their text."""
+    ids = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not ids.limit(1).count():
+        return docs
+    ids = small(ids)
+    own = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    again = docs.join(ids, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(own)).where("_copy = 1").drop("_copy")
+    return docs.join(ids, "doc_id", "left_anti").unionByName(again)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of all documents, similarity 0.8: ``doc_id, n_shingles, component_id, kept``."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
