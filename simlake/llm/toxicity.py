@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from simlake.llm.common import table
 
-BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2500
-LEAST_TEXTS, RATE, DECAY = 4, 0.05, 3e-5
+BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2000
+LEAST_TEXTS, RATE, DECAY = 4, 0.05, 2e-5
 THRESHOLD = 0.3
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}@$*]+")
 
@@ -48,11 +48,14 @@ def words_of(text: str | None) -> list[str]:
     return [w for w, _ in groupby(_WORDS.findall((text or "").lower()))]
 
 
-def subwords(word: str) -> list[int]:
+def subwords(word: str) -> set[int]:
     """Buckets of a word and of its character n-grams, with marks at its ends."""
     s = f"<{word[:40]}>"
-    grams = {s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)} | {s}
-    return sorted(zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams)
+    n, crc, top = len(s), zlib.crc32, BUCKETS - 1
+    if s.isascii():
+        raw = s.encode()
+        return {crc(raw[i : i + k]) & top for k in (3, 4, 5) for i in range(n - k + 1)} | {crc(raw) & top}
+    return {crc(s[i : i + k].encode()) & top for k in (3, 4, 5) for i in range(n - k + 1)} | {crc(s.encode()) & top}
 
 
 @dataclass
@@ -75,22 +78,29 @@ class _Bags:
 
     def __init__(self, bags: list[np.ndarray], least: int = 1) -> None:
         """A bag of fewer than ``least`` rows counts as filled up with zeros."""
-        self.count = np.array([len(b) for b in bags])
-        self.size = np.maximum(self.count, least)
+        self.count = np.array([len(b) for b in bags], np.int32)
+        self.size = np.maximum(self.count, least).astype(np.float32)
         self.at = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
-        self.rows = np.concatenate(bags)
+        self.rows = np.concatenate(bags).astype(np.int32)
+
+    # one dimension at a time, so that only one number for each row of a bag is in memory
 
     def mean(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[self.rows], self.at, axis=0) / self.size[:, None]
+        out = np.empty((len(self.size), x.shape[1]), np.float32, order="F")
+        for d in range(x.shape[1]):
+            out[:, d] = np.add.reduceat(x[:, d][self.rows], self.at) / self.size
+        return out
 
     def back(self, grad: np.ndarray, n: int) -> np.ndarray:
-        g = np.repeat(grad / self.size[:, None], self.count, axis=0)
-        return np.stack([np.bincount(self.rows, g[:, d], n) for d in range(g.shape[1])], axis=1)
+        out = np.empty((n, grad.shape[1]), np.float32, order="F")
+        for d in range(grad.shape[1]):
+            out[:, d] = np.bincount(self.rows, np.repeat((grad[:, d] / self.size).astype(np.float32), self.count), n)
+        return out
 
 
 class _Adam:
     def __init__(self, shape: tuple[int, ...], rate: float) -> None:
-        self.m, self.v, self.t, self.rate = np.zeros(shape, np.float32), np.zeros(shape, np.float32), 0, rate
+        self.m, self.v, self.t, self.rate = np.zeros(shape, np.float32, order="F"), np.zeros(shape, np.float32, order="F"), 0, rate
 
     def step(self, x: np.ndarray, g: np.ndarray) -> None:
         self.t += 1
@@ -99,22 +109,22 @@ class _Adam:
         x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(texts: list[str], labels: list[int], *, rounds: int = 8, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], *, rounds: int = 14, seed: int = 7) -> Model:
     """Fit table and softmax jointly; deterministic for a given list."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     if not keep:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     docs, y = [docs[i] for i in keep], np.array([labels[i] for i in keep])
-    subs = [np.array(subwords(w)) for w in number]
+    subs = [np.array(sorted(subwords(w)), np.int32) for w in number]
     # pieces never seen, or seen in few texts, stay zero and have no say
     seen = np.zeros(BUCKETS)
     for word, n in zip(subs, np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(subs)), strict=True):
         seen[word] += n
     open_ = (seen >= LEAST_TEXTS)[:, None]
-    table_ = np.zeros((BUCKETS, DIM), np.float32)
+    table_ = np.zeros((BUCKETS, DIM), np.float32, order="F")
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     opt = [_Adam(table_.shape, RATE), _Adam(soft.shape, RATE), _Adam(bias.shape, RATE)]
 
@@ -155,12 +165,13 @@ class Scorer:
     """Scores texts with a reduced model; keeps the values of words it has met."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.bias, self.share, self.known = model.bias, model.share.tolist(), {}
 
     def word(self, word: str) -> float:
         if len(self.known) >= 300_000:
             self.known.clear()
-        value = self.known[word] = float(self.model.share[subwords(word)].mean())
+        pieces = subwords(word)
+        value = self.known[word] = sum(map(self.share.__getitem__, pieces)) / len(pieces)
         return value
 
     def score(self, text: str | None) -> float:
@@ -174,7 +185,7 @@ class Scorer:
         else:
             at = np.append(np.arange(0, len(words) - WINDOW, STEP), len(words) - WINDOW)
             worst = ((total[at + WINDOW] - total[at]) / WINDOW).max()
-        return float(1 / (1 + np.exp(-np.clip(worst + self.model.bias, -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -500, 500))))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
