@@ -39,7 +39,7 @@ from simlake.llm.common import table
 from simlake.operators.graph import UnionFind, connected_components
 from simlake.plans.staging import staged
 
-REGION, SHARD, SAMPLE, OVERLAP, LEVELS = 4096, 512, 4096, 2, 6
+REGION, SHARD, SAMPLE, OVERLAP, LEVELS = 16384, 512, 4096, 2, 6
 DEGREE, BEAM, ALPHA, AUDIT = 24, 32, 1.2, 48
 #: Share of the audited links that the graph search must find before it is believed.
 RECALL = 1.0
