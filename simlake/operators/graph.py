@@ -82,4 +82,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
