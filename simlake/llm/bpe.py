@@ -2,10 +2,12 @@
 
 Encoding.  A task splits its texts into pre-tokens and gathers them in blocks: each
 block numbers its distinct pre-tokens and keeps, for each text, the numbers in order
-of position.  Only a block's distinct words enter the shuffle, one row each, so even
-the most frequent word has one row a block.  Words are dealt by their hash; the task
+of position.  Only a block's distinct words enter the shuffle, packed by the owner
+that their hash names, so even the most frequent word enters once a block.  The task
 that owns a word encodes it once.  The ids go back to the words' blocks, where each
-text is reassembled by position.
+text is reassembled by position.  The documents are read twice, once for the words and
+once for the positions, rather than stored in between; they must come in the same order
+both times, as tables do, and a mark on each block makes the query fail if they do not.
 
 Decoding.  The table of token bytes has one entry for each rank of the vocabulary
 file, so its size is bounded by that file; each task holds it and joins ids to it.
@@ -18,6 +20,8 @@ empty table gives an empty table.  A text longer than a block is a block of its
 from __future__ import annotations
 
 import base64
+import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -27,15 +31,17 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlake.llm.common import table
-from simlake.plans.staging import staged
 
-#: A block is closed at so many distinct words or bytes of text; words up to this fit 16-bit numbers.
-BLOCK_WORDS, BLOCK_BYTES = 60_000, 8 << 20
+#: A block is closed at so many distinct words or characters of text; so many texts make one row.
+BLOCK_WORDS, BLOCK_CHARS, CHUNK_TEXTS = 300_000, 12 << 20, 1024
+#: Words that an owner keeps; beyond this it forgets them and may encode a word again.
+OWNED_WORDS = 2_000_000
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -58,77 +64,124 @@ def _token_bytes(path: str) -> list[bytes]:
     return out
 
 
-_BLOCKS = "block string, doc_id string, positions binary, width int, number int, word string"
-_BLOCK_SCHEMA = pa.schema([("block", pa.string()), ("doc_id", pa.string()), ("positions", pa.binary()), ("width", pa.int32()), ("number", pa.int32()), ("word", pa.string())])
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes in planes, compressed: small numbers take little room."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: a text's word numbers by position, and a block's numbered words."""
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+_TEXT_SCHEMA = pa.schema([("block", pa.string()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.string())), ("sizes", pa.binary()), ("positions", pa.binary())])
+_WORD_SCHEMA = pa.schema([("block", pa.string()), ("mark", pa.int64()), ("owner", pa.int32()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+_TEXT_TYPE = "block string, mark bigint, doc_ids array<string>, sizes binary, positions binary"
+_WORD_TYPE = "block string, mark bigint, owner int, numbers binary, lengths binary, words binary"
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], pattern: str, owners: int | None) -> Iterator[pa.RecordBatch]:
+    """A block's texts as word numbers by position, or, with owners, its words by the owner that encodes them.
+
+    Both come from the same scan of the same task, made twice; ``mark`` tells if they differ.
+    """
     split, task = regex.compile(pattern), TaskContext.get().partitionId()
     words: dict[str, int] = {}
-    texts: list[tuple[object, list[int]]] = []
+    texts: list[tuple[str | None, np.ndarray]] = []
     size = closed = 0
 
     def close() -> Iterator[pa.RecordBatch]:
-        width = 2 if len(words) <= 1 << 16 else 4
-        dtype = np.uint16 if width == 2 else np.uint32
-        block = f"{task}-{closed}"
-        n, m = len(texts), len(words)
-        numbers = [np.array(x, dtype).tobytes() for _, x in texts]
-        none = lambda k, kind: pa.nulls(k, kind)
-        ids = pa.array([x for x, _ in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.string()), ids, pa.array(numbers, pa.binary()), pa.array([width] * n, pa.int32()), none(n, pa.int32()), none(n, pa.string())], schema=_BLOCK_SCHEMA)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.string()), none(m, ids.type), none(m, pa.binary()), none(m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(words, pa.string())], schema=_BLOCK_SCHEMA)
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts.append((doc_id, [words.setdefault(w, len(words)) for w in split.findall(text or "")]))
-            size += len(text or "")
-            if len(words) >= BLOCK_WORDS or size >= BLOCK_BYTES:
-                yield from close()
-                words, texts, size, closed = {}, [], 0, closed + 1
+        block, mark = f"{task}-{closed}", zlib.crc32("\0".join(words).encode())
+        # the more often a word occurs, the smaller its number
+        times = np.zeros(len(words), np.int64)
+        for at in range(0, len(texts), CHUNK_TEXTS):
+            times += np.bincount(np.concatenate([p for _, p in texts[at : at + CHUNK_TEXTS]]), minlength=len(words))
+        order = np.argsort(-times, kind="stable")
+        if owners is None:
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words), dtype=np.uint32)
+            for at in range(0, len(texts), CHUNK_TEXTS):
+                part = texts[at : at + CHUNK_TEXTS]
+                numbers = number[np.concatenate([p for _, p in part])]
+                row = {"block": block, "mark": mark, "doc_ids": [i for i, _ in part], "sizes": _pack(np.array([len(p) for _, p in part])), "positions": _pack(numbers)}
+                yield pa.RecordBatch.from_pylist([row], schema=_TEXT_SCHEMA)
+            return
+        raws, rows = [w.encode() for w in words], []
+        owner_of = np.fromiter(map(zlib.crc32, raws), np.int64, len(raws))[order] % owners
+        by_owner = np.argsort(owner_of, kind="stable")
+        for mine in np.split(by_owner, np.flatnonzero(np.diff(owner_of[by_owner])) + 1) if len(words) else []:
+            own = [raws[k] for k in order[mine].tolist()]
+            rows.append({"block": block, "mark": mark, "owner": int(owner_of[mine[0]]), "numbers": _pack(np.diff(mine, prepend=0)), "lengths": _pack(np.fromiter(map(len, own), np.int64, len(own))), "words": zstandard.compress(b"".join(own), 6)})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_WORD_SCHEMA)
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = split.findall(text or "")
+                texts.append((doc_id, np.fromiter([words.setdefault(w, len(words)) for w in found], np.uint32, len(found))))
+                size += len(text or "")
+                if len(words) >= BLOCK_WORDS or size >= BLOCK_CHARS:
+                    yield from close()
+                    words, texts, size, closed = {}, [], 0, closed + 1
     if texts:
         yield from close()
 
 
 def _owned(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Encode each word that this task owns once: word, block, number -> block, number, ids."""
+    """Encode each word that this task owns once: block, mark, numbers, lengths, words -> block, mark, numbers, counts, ids."""
     encode = _encoding(path, pattern)._core_bpe.encode_single_piece
-    known: dict[str, bytes] = {}
+    known: dict[bytes, bytes] = {}
     for batch in batches:
-        found = batch.column(0).dictionary_encode()
-        new = []
-        for word in found.dictionary.to_pylist():
-            ids = known.get(word)
-            if ids is None:
-                ids = np.array(encode(word.encode()), np.uint32).tobytes()
-                if len(known) >= 500_000:  # the words come sorted, so those before do not come again
-                    known.clear()
-                known[word] = ids
-            new.append(ids)
-        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(new, pa.binary()).take(found.indices)], names=["block", "number", "ids"])
+        counts, ids = [], []
+        for lengths, packed in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            raw, at, found = zstandard.decompress(packed), 0, []
+            for n in _unpack(lengths).tolist():
+                word = raw[at : at + n]
+                at += n
+                got = known.get(word)
+                if got is None:
+                    if len(known) >= OWNED_WORDS:
+                        known.clear()
+                    got = known[word] = array("I", encode(word)).tobytes()
+                found.append(got)
+            counts.append(_pack(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+            ids.append(_pack(np.frombuffer(b"".join(found), np.uint32)))
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "mark", "numbers", "counts", "ids"])
 
 
 def _reassembled(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """One block: put the ids of the words at their positions."""
-    by_number: list[bytes] = [b""] * (int(words["number"].max()) + 1 if len(words) else 0)
-    for number, ids in zip(words["number"], words["ids"], strict=True):
-        by_number[number] = bytes(ids)
-    out = []
-    for positions, width in zip(texts["positions"], texts["width"], strict=True):
-        numbers = np.frombuffer(bytes(positions), np.uint16 if width == 2 else np.uint32)
-        out.append(b"".join(map(by_number.__getitem__, numbers.tolist())))
-    return pd.DataFrame({"doc_id": texts["doc_id"], "ids": out})
+    if len({*texts["mark"], *(words["mark"] if len(words) else texts["mark"])}) > 1:
+        raise RuntimeError("the two scans of the documents differ: write them as a table before encoding")
+    join = lambda column: np.concatenate([np.empty(0, np.int64), *map(column, range(len(words)))]).astype(np.int64)
+    numbers = join(lambda i: np.cumsum(_unpack(words["numbers"].iloc[i]), dtype=np.int64))
+    sizes = join(lambda i: _unpack(words["counts"].iloc[i]))
+    flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in words["ids"])])
+    start, count = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+    start[numbers], count[numbers] = np.cumsum(sizes) - sizes, sizes
+    doc_ids, whole = [], []
+    for ids, lengths, positions in zip(texts["doc_ids"], texts["sizes"], texts["positions"], strict=True):
+        at = _unpack(positions)
+        n = count[at]
+        ends = np.cumsum(n)
+        found = flat[np.repeat(start[at] - ends + n, n) + np.arange(n.sum())].astype("<u4")
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(_unpack(lengths), dtype=np.int64)])]
+        doc_ids += list(ids)
+        whole += [found[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pd.DataFrame({"doc_id": doc_ids, "ids": whole})
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id, ids``; ids are packed as little-endian unsigned 32-bit integers (see ``unpacked``)."""
     id_type = dict(docs.dtypes)["doc_id"]
     text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = staged(text.mapInArrow(partial(_blocked, pattern=pattern), _BLOCKS), "blocks")
-    words = blocks.where("word is not null").select("word", "block", "number").repartition("word").sortWithinPartitions("word")
-    words = words.mapInArrow(partial(_owned, path=path, pattern=pattern), "block string, number int, ids binary")
-    texts = blocks.where("positions is not null").select("block", "doc_id", "positions", "width")
+    # as many owners as parts of the input, so that what one of them owns stays the same size
+    owners = min(4096, max(16, text.rdd.getNumPartitions()))
+    words = text.mapInArrow(partial(_blocked, pattern=pattern, owners=owners), _WORD_TYPE).repartition("owner").drop("owner")
+    words = words.mapInArrow(partial(_owned, path=path, pattern=pattern), "block string, mark bigint, numbers binary, counts binary, ids binary")
+    texts = text.mapInArrow(partial(_blocked, pattern=pattern, owners=None), _TEXT_TYPE)
     whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_reassembled, "doc_id string, ids binary")
     return whole.select(F.col("doc_id").cast(id_type).alias("doc_id"), "ids")
 
