@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -266,10 +267,31 @@ def read_media(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_read, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", " + _READ)
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Store each text, read the stream back, and keep sizes and digests of both."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            rows = []
+            for text in batch.column(1).to_pylist():
+                n, raw = padded(text)
+                media = encode(raw)
+                stream = Stream(media)
+                payload = stream.payload()
+                rows.append((n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), stream.feature()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *_DIGESTS])
+
+
+_DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Both steps in one task, so that streams and payloads need not leave it: sizes, digests and the feature."""
+    types = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digested, types)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents through MPEG streams: ids, sizes and digests of payload and stream, and the feature."""
-    done = read_media(to_media(table(spark, sf_dir, "documents")))
-    return done.select(
-        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
-    )
+    """Whole documents through MPEG streams: sizes and digests of payload and stream, and the feature."""
+    return digests(table(spark, sf_dir, "documents"))
