@@ -36,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 
 #: A block is closed at so many distinct words or characters of text; so many texts make one row.
-BLOCK_WORDS, BLOCK_CHARS, CHUNK_TEXTS = 300_000, 12 << 20, 1024
+BLOCK_WORDS, BLOCK_CHARS, CHUNK_TEXTS = 300_000, 8 << 20, 1024
 #: Words that an owner keeps; beyond this it forgets them and may encode a word again.
 OWNED_WORDS = 2_000_000
 
@@ -115,16 +115,14 @@ def _blocked(batches: Iterator[pa.RecordBatch], pattern: str, owners: int | None
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_WORD_SCHEMA)
 
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = split.findall(text or "")
-                texts.append((doc_id, np.fromiter([words.setdefault(w, len(words)) for w in found], np.uint32, len(found))))
-                size += len(text or "")
-                if len(words) >= BLOCK_WORDS or size >= BLOCK_CHARS:
-                    yield from close()
-                    words, texts, size, closed = {}, [], 0, closed + 1
+    for batch in slices(batches):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = split.findall(text or "")
+            texts.append((doc_id, np.fromiter([words.setdefault(w, len(words)) for w in found], np.uint32, len(found))))
+            size += len(text or "")
+            if len(words) >= BLOCK_WORDS or size >= BLOCK_CHARS:
+                yield from close()
+                words, texts, size, closed = {}, [], 0, closed + 1
     if texts:
         yield from close()
 
@@ -199,7 +197,7 @@ def unpacked(encoded: DataFrame) -> DataFrame:
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tokens = _token_bytes(path)
-    for batch in batches:
+    for batch in slices(batches):
         found = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "ids", "bytes"])
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 from simlake.plans.staging import small, staged
 
 #: A subtree is a template from so many pages, and this share of its host's; within an article, from so many more.
@@ -169,21 +169,19 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
     node = pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_())]))
     block = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            urls, keys, digests, nodes, blocks = batch.column(1).to_pylist(), [], [], [], []
-            for html in batch.column(2).to_pylist():
-                found, hashes = parse(html or "")
-                if any(inside for _, _, inside in found):
-                    found = [b for b in found if b[2]]
-                keys.append(f"{task}-{n}")
-                n += 1
-                digests.append(xxhash.xxh64_intdigest("\n".join(t for t, _, _ in found)) >> 1)
-                nodes.append([{"hash": h, "inside": i} for h, i in hashes])
-                blocks.append([{"text": t, "around": around} for t, around, _ in found])
-            columns = [pa.array(keys), batch.column(0), pa.array(urls, pa.string()), pa.array(map(_host, urls), pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, node), pa.array(blocks, block)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "host", "digest", "nodes", "blocks"])
+    for batch in slices(batches):
+        urls, keys, digests, nodes, blocks = batch.column(1).to_pylist(), [], [], [], []
+        for html in batch.column(2).to_pylist():
+            found, hashes = parse(html or "")
+            if any(inside for _, _, inside in found):
+                found = [b for b in found if b[2]]
+            keys.append(f"{task}-{n}")
+            n += 1
+            digests.append(xxhash.xxh64_intdigest("\n".join(t for t, _, _ in found)) >> 1)
+            nodes.append([{"hash": h, "inside": i} for h, i in hashes])
+            blocks.append([{"text": t, "around": around} for t, around, _ in found])
+        columns = [pa.array(keys, pa.string()), batch.column(0), pa.array(urls, pa.string()), pa.array(map(_host, urls), pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, node), pa.array(blocks, block)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "host", "digest", "nodes", "blocks"])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ A text is cut into its lines, and into its paragraphs of several lines; each is
 normalised (lower case, anything but a-z and 0-9 a space) and compared to licence
 templates by the Dice coefficient over distinct word bigrams.  Dice cannot reach the
 threshold t unless the smaller size is at least t / (2 - t) of the larger, so only
-templates within these bounds are compared, and lines or paragraphs out of all bounds
-are not even cut into bigrams.  Everything happens within a document's row: there is
+templates within these bounds are compared.  To reach a template a unit must also share so many
+of its bigrams that it holds one of a few key words, derived from the templates; texts
+and units without any are not even cut into bigrams.  Everything happens within a document's row: there is
 no shuffle, so no key can be hot.
 
 Defined results.  A null or empty text has no licence (null) and dice 0.  Of several
@@ -91,10 +92,31 @@ def template_rows(threshold: float = THRESHOLD, templates=TEMPLATES) -> list[dic
     return rows
 
 
-def _best(unit: Column, rows: list[dict], threshold: float) -> Column:
-    """The best template of a normalised unit as struct(dice, license); null if none reaches the threshold."""
+#: Words too common in plain text to tell anything.
+_COMMON = set("the of to and or in is at be by for with this that under are any an a as from if you may not on it".split())
+
+
+def key_words(rows: list[dict], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which a unit must hold at least one to reach any template.
+
+    A unit that reaches a template shares at least ``need`` of its bigrams.  The words
+    are chosen so that fewer than that are left without one of them.
+    """
+    chosen: set[str] = set()
+    for row in rows:
+        need = math.ceil(round(threshold * (row["n"] + row["lo"]) / 2, 9))
+        bare = [b.split(" ") for b in row["b"] if not chosen & set(b.split(" "))]
+        while len(bare) >= need:
+            among = sorted({w for b in bare for w in b if w not in _COMMON} or {w for b in bare for w in b})
+            best = max(among, key=lambda w: (sum(w in b for b in bare) * (len(w) > 1), len(w)))
+            chosen.add(best)
+            bare = [b for b in bare if best not in b]
+    return sorted(chosen)
+
+
+def _matches(words: Column, rows: list[dict], threshold: float) -> Column:
+    """The templates that a unit's words reach, as array of struct(dice, license)."""
     templates = F.from_json(F.lit(json.dumps(rows)), "array<struct<license:string,n:int,lo:int,hi:int,b:array<string>>>")
-    words = F.split(unit, " ")
     rest = F.size(words) - 1
     pairs = F.array_distinct(F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -103,22 +125,29 @@ def _best(unit: Column, rows: list[dict], threshold: float) -> Column:
         scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(p, t["b"])) / (F.size(p) + t["n"])).alias("dice"), t["license"].alias("license")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
-    # transform over a one-element array names the bigrams once
-    found = F.flatten(F.transform(F.array(pairs), compare))
-    return F.when(rest >= 1, found)
+    # transform over a one-element array evaluates the bigrams once
+    return F.transform(F.array(pairs), compare)[0]
 
 
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``doc_id, license, dice, licenses, n_hits``: one row for each row of ``docs``."""
     rows = template_rows(threshold, templates)
     least = min(r["lo"] for r in rows) + 1
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^a-z0-9\n]+", " ")
-    lines = F.split(plain, "\n")
-    paragraphs = F.filter(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.trim(p).contains("\n"))
-    units = F.concat(lines, F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")))
-    # fewer letters than the words of the smallest bound need
-    units = F.filter(F.transform(units, lambda u: F.trim(u)), lambda u: F.length(u) >= 2 * least - 1)
-    hits = F.flatten(F.filter(F.transform(units, lambda u: _best(u, rows, threshold)), lambda h: h.isNotNull() & (F.size(h) > 0)))
+    keys = F.array(*map(F.lit, key_words(rows, threshold)))
+    may_match = lambda u: F.exists(keys, lambda w: F.contains(u, w))
+
+    def found(low: Column) -> Column:
+        plain = F.regexp_replace(low, r"[^a-z0-9\n]+", " ")
+        lines = F.split(plain, "\n")
+        paragraphs = F.filter(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.trim(p).contains("\n"))
+        units = F.concat(lines, F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")))
+        units = F.filter(F.transform(F.filter(units, may_match), lambda u: F.split(F.trim(u), " ")), lambda w: F.size(w) >= least)
+        return F.flatten(F.filter(F.transform(units, lambda w: _matches(w, rows, threshold)), lambda h: F.size(h) > 0))
+
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    # most texts hold no key word and are done after that look
+    hits = F.transform(F.array(low), lambda t: F.when(may_match(t), found(t)).otherwise(none))[0]
     best = F.element_at(F.sort_array(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("less"), h["license"].alias("license")))), 1)
     out = docs.select("doc_id", hits.alias("hits"))
     some = F.size("hits") > 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 
 # fixed values of the format: kbit/s by index (MPEG-1 and MPEG-2 Layer III), Hz by version
 _KBPS_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -234,11 +234,9 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            made = [padded(x) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([encode(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+    for batch in slices(batches):
+        made = [padded(x) for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([encode(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -250,15 +248,13 @@ _READ = "payload binary, seconds double, samples bigint, frame_offsets array<big
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            streams = [Stream(x or b"") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            new = [
-                pa.array([s.payload() for s in streams], pa.binary()), pa.array([s.seconds for s in streams], pa.float64()), pa.array([s.samples for s in streams], pa.int64()),
-                pa.array([s.offsets for s in streams], pa.list_(pa.int64())), pa.array([s.feature() for s in streams]),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "payload", "seconds", "samples", "frame_offsets", "feature"])
+    for batch in slices(batches):
+        streams = [Stream(x or b"") for x in batch.column(batch.num_columns - 1).to_pylist()]
+        new = [
+            pa.array([s.payload() for s in streams], pa.binary()), pa.array([s.seconds for s in streams], pa.float64()), pa.array([s.samples for s in streams], pa.int64()),
+            pa.array([s.offsets for s in streams], pa.list_(pa.int64())), pa.array([s.feature() for s in streams]),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "payload", "seconds", "samples", "frame_offsets", "feature"])
 
 
 def read_media(rows: DataFrame) -> DataFrame:
@@ -269,18 +265,16 @@ def read_media(rows: DataFrame) -> DataFrame:
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Store each text, read the stream back, and keep sizes and digests of both."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 200):
-            batch = whole.slice(at, 200)
-            rows = []
-            for text in batch.column(1).to_pylist():
-                n, raw = padded(text)
-                media = encode(raw)
-                stream = Stream(media)
-                payload = stream.payload()
-                rows.append((n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), stream.feature()))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *_DIGESTS])
+    for batch in slices(batches, 200):
+        rows = []
+        for text in batch.column(1).to_pylist():
+            n, raw = padded(text)
+            media = encode(raw)
+            stream = Stream(media)
+            payload = stream.payload()
+            rows.append((n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), stream.feature()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *_DIGESTS])
 
 
 _DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

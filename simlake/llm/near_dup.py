@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simlake.llm.common import mix64, table
+from simlake.llm.common import mix64, slices, table
 from simlake.operators.graph import connected_components
 from simlake.plans.staging import small, staged
 
@@ -111,7 +111,7 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, set_key, bands, bits (the last three null for an empty set)."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0), batch.column(1)
         sets = [shingles(texts[i].as_py(), k) for i in range(batch.num_rows)]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -139,11 +139,9 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sets = [shingles(x.as_py(), k).view(np.int64) for x in part.column(1)]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+    for batch in slices(batches):
+        sets = [shingles(x.as_py(), k).view(np.int64) for x in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 
 TEST_KEY = "key for tests only"
 ROUNDS = 8
@@ -205,7 +205,7 @@ class Pseudonyms:
     def _replaced(self, kind: str, value: str) -> str | None:
         known = self.known.get((kind, value), 0)
         if known == 0:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             known = self.known[kind, value] = getattr(self, kind)(value)
         return known
@@ -231,7 +231,7 @@ def _worker(key: str, sign: int) -> Pseudonyms:
 
 def _applied(batches: Iterator[pa.RecordBatch], key: str, sign: int) -> Iterator[pa.RecordBatch]:
     names = _worker(key, sign)
-    for batch in batches:
+    for batch in slices(batches):
         at = batch.schema.names.index("text")
         done = [names.apply(x) if x is not None else (None, []) for x in batch.column(at).to_pylist()]
         columns = list(batch.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 
 #: Pre-tokens that the table of a worker holds, and the longest of them.
 TABLE, LONGEST = 500_000, 48
@@ -205,7 +205,7 @@ def _counter(path: str) -> PrefixCounter:
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str, limits: Sequence[int]) -> Iterator[pa.RecordBatch]:
     counter = _counter(path)
-    for batch in batches:
+    for batch in slices(batches):
         texts = [x or "" for x in batch.column(1).to_pylist()]
         found = [counter.measure(x, limits) for x in texts]
         counts = [n for n, _ in found]

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import table
+from simlake.llm.common import slices, table
 
 BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2000
 LEAST_TEXTS, RATE, DECAY = 4, 0.05, 2e-5
@@ -168,7 +168,7 @@ class Scorer:
         self.bias, self.share, self.known = model.bias, model.share.tolist(), {}
 
     def word(self, word: str) -> float:
-        if len(self.known) >= 300_000:
+        if len(self.known) >= 100_000:
             self.known.clear()
         pieces = subwords(word)
         value = self.known[word] = sum(map(self.share.__getitem__, pieces)) / len(pieces)
@@ -190,7 +190,7 @@ class Scorer:
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model) if model else None
-    for batch in batches:
+    for batch in slices(batches):
         values = [scorer.score(x) if scorer else 0.0 for x in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "_score"])
 
