@@ -19,7 +19,7 @@ from simlake.functions.vectors import dot
 from simlake.operators.similarity import top_k_between
 from simlake.plans.staging import staged
 
-CLASSES = ("exact_copy", "strong_match", "possible_match", "split", "merge", "missing", "new")
+CLASSES = ("exact_copy", "strong_match", "possible_match", "split", "merge", "missing_in_right", "new_in_right")
 #: Calibration applies only over at least this range of scores.
 LEAST_RANGE = 0.05
 
@@ -192,7 +192,7 @@ def classify(left: DataFrame, right: DataFrame, edges: DataFrame, exact: DataFra
     none = F.array().cast("array<bigint>")
     missing = left.select("unit_idx").join(records.select(F.explode("left").alias("unit_idx")), "unit_idx", "left_anti").select(F.lit(0.0).alias("score"), F.lit(0.0).alias("hint"), F.array("unit_idx").alias("left"), none.alias("right"))
     new = right.select("unit_idx").join(records.select(F.explode("right").alias("unit_idx")), "unit_idx", "left_anti").select(F.lit(0.0).alias("score"), F.lit(0.0).alias("hint"), none.alias("left"), F.array("unit_idx").alias("right"))
-    return records.unionByName(record(missing, "missing")).unionByName(record(new, "new")), suppressed.orderBy(F.desc("fanout"), "right")
+    return records.unionByName(record(missing, "missing_in_right")).unionByName(record(new, "new_in_right")), suppressed.orderBy(F.desc("fanout"), "right")
 
 
 def class_order() -> F.Column:

@@ -471,8 +471,8 @@ _CMP = f"""l0 as (select * from uv where project = 'v1'), r0c as (select * from
   ps as (select * from br where l not in (select l from sp) and l not in (select l from mgl) and l not in (select l from st)),
   rec as (select 'exact_copy' as class, 1.0::double as score, 0.0::double as hint, [l] as ls, list(r order by r) as rs from ex group by l
     union all select 'split', score, hint, [l], rs from sp union all select 'merge', score, hint, ls, [r] from mg union all select 'strong_match', raw, hint, [l], [r] from st union all select 'possible_match', raw, hint, [l], [r] from ps),
-  allrec as (select * from rec union all select 'missing', 0.0, 0.0, [unit_idx], []::bigint[] from l0 where unit_idx not in (select unnest(ls) from rec)
-    union all select 'new', 0.0, 0.0, []::bigint[], [unit_idx] from r0c where unit_idx not in (select unnest(rs) from rec))"""
+  allrec as (select * from rec union all select 'missing_in_right', 0.0, 0.0, [unit_idx], []::bigint[] from l0 where unit_idx not in (select unnest(ls) from rec)
+    union all select 'new_in_right', 0.0, 0.0, []::bigint[], [unit_idx] from r0c where unit_idx not in (select unnest(rs) from rec))"""
 
 
 def _compared(spark, d):
@@ -488,7 +488,7 @@ def compare_records(spark, d):
     return _compared(spark, d)["records"].select("class", F.round("score", 6).alias("score"), F.round("hint", 6).alias("hint"), _joined("left").alias("left_units"), _joined("right").alias("right_units"))
 
 
-@query("a21_class_counts", f"{_CMP}, n(class) as (values ('exact_copy'), ('strong_match'), ('possible_match'), ('split'), ('merge'), ('missing'), ('new')) select class, count(allrec.score) as n from n left join allrec using (class) group by 1")
+@query("a21_class_counts", f"{_CMP}, n(class) as (values ('exact_copy'), ('strong_match'), ('possible_match'), ('split'), ('merge'), ('missing_in_right'), ('new_in_right')) select class, count(allrec.score) as n from n left join allrec using (class) group by 1")
 def a21(spark, d):
     return _compared(spark, d)["counts"]
 
@@ -500,9 +500,9 @@ def a18(spark, d):
 
 @query(
     "a22_coverage",
-    f"""{_CMP}, k as (select class, unnest(ls) as unit_idx from allrec), j as (select l0.*, coalesce(k.class, 'missing') as class from l0 left join k using (unit_idx)),
+    f"""{_CMP}, k as (select class, unnest(ls) as unit_idx from allrec), j as (select l0.*, coalesce(k.class, 'missing_in_right') as class from l0 left join k using (unit_idx)),
     g as (select 'directory' as "by", dir as "group", class from j union all select 'language', language, class from j)
-    select "by", "group", count(*) as total_left, count(*) filter (class in ('exact_copy', 'strong_match', 'split', 'merge')) as covered, count(*) filter (class = 'possible_match') as possible, count(*) filter (class = 'missing') as missing from g group by 1, 2""",
+    select "by", "group", count(*) as total_left, count(*) filter (class in ('exact_copy', 'strong_match', 'split', 'merge')) as covered, count(*) filter (class = 'possible_match') as possible, count(*) filter (class = 'missing_in_right') as missing from g group by 1, 2""",
 )
 def a22(spark, d):
     return _compared(spark, d)["coverage"]
