@@ -566,3 +566,90 @@ def w13(spark, d):
 @query("w10_list_units", "x as (select unit_idx, project, relative_path from u where language = 'rust' order by project, relative_path, start_byte, end_byte, name, unit_idx limit 25) select * from x")
 def w10(spark, d):
     return Q.list_units(units_from_embeddings(spark, d), ["language=rust"], 25)[0].select("unit_idx", "project", "relative_path")
+
+
+# --- parts of the analyses under their own names ---
+
+
+@query("j5_unmatched_units", f"{_CMP} select 'left' as side, unit_idx from pl union all select 'right', unit_idx from pr")
+def j5(spark, d):
+    u = units_from_embeddings(spark, d).where(F.col("body_node_count") >= COMPARE.min_body_node_count)
+    left, right = u.where("project = 'v1'"), u.where("project = 'v2'")
+    exact = staged(C.exact_matches(left, right), "exact")
+    rest = [rows.join(exact.select(F.explode(s).alias("unit_idx")), "unit_idx", "left_anti").select(F.lit(s).alias("side"), "unit_idx") for rows, s in ((left, "left"), (right, "right"))]
+    return rest[0].unionByName(rest[1])
+
+
+@query("j12_w3_cluster_pairs", f"{_ranked(0.40, 1.5)}, {_COMPS} select cluster, a, b, round(raw, 6) as raw, round(boosted, 6) as boosted from ranked join comp on a = unit_idx")
+def j12(spark, d):
+    found = duplicates.duplicates(units(spark, d), UNBOUNDED)["pairs"]
+    return found.orderBy("cluster", F.desc("boosted"), "a", "b").select("cluster", "a", "b", F.round("raw", 6).alias("raw"), F.round("boosted", 6).alias("boosted"))
+
+
+@query("j14_mutual_best", f"{_CMP} select br.l, br.r, round(br.raw, 6) as raw from br0 br join bl0 bl using (l, r)")
+def j14(spark, d):
+    edges = staged(_edges(spark, d), "edges")
+    best_right, best_left = C.best_edges(edges, "l", "r"), C.best_edges(edges, "r", "l")
+    return best_right.join(best_left.select("l", "r"), ["l", "r"]).select("l", "r", F.round("raw", 6).alias("raw"))
+
+
+def _edges(spark, d):
+    u = units(spark, d).where(F.col("body_node_count") >= COMPARE.min_body_node_count)
+    left, right = u.where("project = 'v1'"), u.where("project = 'v2'")
+    exact = staged(C.exact_matches(left, right), "exact")
+    left = left.join(exact.select(F.explode("left").alias("unit_idx")), "unit_idx", "left_anti")
+    right = right.join(exact.select(F.explode("right").alias("unit_idx")), "unit_idx", "left_anti")
+    return C.candidate_edges(left, right, COMPARE, COMPARE.candidate_threshold)
+
+
+@query(
+    "a19_margins",
+    f"""{_CMP}, t as (select l, raw, row_number() over (partition by l order by raw desc) as k from ed) select l, round(max(raw) filter (k = 1), 6) as best, round(max(raw) filter (k = 1) - max(raw) filter (k = 2), 6) as margin from t group by l having count(*) > 1""",
+)
+def a19(spark, d):
+    edges = staged(_edges(spark, d), "edges")
+    return C.best_edges(edges, "l", "r").where(F.col("margin") < float("inf")).join(edges.groupBy("l").agg(F.max("raw").alias("best")), "l").select("l", F.round("best", 6).alias("best"), F.round("margin", 6).alias("margin"))
+
+
+@query("a20_splits_and_merges", f"{_CMP} select class, array_to_string(ls, ',') as left_units, array_to_string(rs, ',') as right_units, round(score, 6) as score from allrec where class in ('split', 'merge')")
+def a20(spark, d):
+    rows = _compared(spark, d)["records"].where(F.col("class").isin("split", "merge"))
+    return rows.select("class", _joined("left").alias("left_units"), _joined("right").alias("right_units"), F.round("score", 6).alias("score"))
+
+
+_KINDS = "kk as (select cluster, case when count(*) filter (unit_idx % 11 = 0) = 0 then 'product' when count(*) filter (unit_idx % 11 = 0) = count(*) then 'test_or_docs' else 'mixed' end as kind from comp group by cluster)"
+
+
+@query("a7_cluster_kinds", f"{_ranked(0.40, 1.5)}, {_COMPS}, {_KINDS} select kind, count(*) as clusters from kk group by kind")
+def a7(spark, d):
+    return duplicates.duplicates(units(spark, d), UNBOUNDED)["clusters"].groupBy("kind").agg(F.count("*").alias("clusters"))
+
+
+_HASHES = "hh as (select cluster, substr(sha256(string_agg(relative_path || chr(0) || body_hash, chr(10) order by relative_path || chr(0) || body_hash)), 1, 16) as hash from comp join uv using (unit_idx) group by cluster)"
+
+
+@query("f7_ignored_clusters", f"{_ranked(0.40, 1.5)}, {_COMPS}, {_HASHES} select hash, hash < '8' as suppressed from hh")
+def f7(spark, d):
+    every = staged(duplicates.duplicates(units(spark, d), UNBOUNDED)["clusters"].select("hash"), "hashes")
+    found = duplicates.duplicates(units(spark, d), UNBOUNDED, ignored=every.where("hash < '8'"))
+    return found["clusters"].select("hash", F.lit(False).alias("suppressed")).unionByName(found["ignored"].select("hash", F.lit(True).alias("suppressed")))
+
+
+@query(
+    "f13_k8_unit_objects",
+    """x as (select unit_idx, project || ':' || relative_path || ':' || start_line || '-' || end_line as place, language || '/' || kind as what, '[' || start_byte || ',' || end_byte || ']' as byte_range from u) select * from x""",
+)
+def f13(spark, d):
+    u = units_from_embeddings(spark, d)
+    return u.select(
+        "unit_idx", F.format_string("%s:%s:%d-%d", "project", "relative_path", "start_line", "end_line").alias("place"), F.concat_ws("/", "language", "kind").alias("what"), F.to_json(F.array("start_byte", "end_byte")).alias("byte_range"),
+    )
+
+
+@query(
+    "w11_top_names",
+    "n as (select module, name, count(*) as k from uv group by all), r as (select *, row_number() over (partition by module order by k desc, name) as rank from n) select module, name, k, rank::int as rank from r where rank <= 3",
+)
+def w11(spark, d):
+    rows = units_from_embeddings(spark, d).groupBy(P.top_level_module("relative_path").alias("module"), "name").agg(F.count("*").alias("k"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("module").orderBy(F.desc("k"), "name"))).where("rank <= 3")
