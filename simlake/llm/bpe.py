@@ -36,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import slices, table
+from simlake.llm.common import slices, table, tidy
 
 #: A block is closed at so many distinct words or characters of text; so many texts make one row.
-BLOCK_WORDS, BLOCK_CHARS, CHUNK_TEXTS = 300_000, 8 << 20, 1024
+BLOCK_WORDS, BLOCK_CHARS, CHUNK_TEXTS = 200_000, 4 << 20, 1024
 #: Words that an owner keeps; beyond this it forgets them and may encode a word again.
 OWNED_WORDS = 2_000_000
 
@@ -131,7 +131,7 @@ def _owned(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterat
     """Encode each word that this task owns once: block, mark, numbers, lengths, words -> block, mark, numbers, counts, ids."""
     encode = _encoding(path, pattern)._core_bpe.encode_single_piece
     known: dict[bytes, bytes] = {}
-    for batch in batches:
+    for batch in slices(batches, 64):
         counts, ids = [], []
         for lengths, packed in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             raw, at, found = zstandard.decompress(packed), 0, []
@@ -168,6 +168,7 @@ def _reassembled(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(_unpack(lengths), dtype=np.int64)])]
         doc_ids += list(ids)
         whole += [found[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    tidy()
     return pd.DataFrame({"doc_id": doc_ids, "ids": whole})
 
 

@@ -40,6 +40,8 @@ from simlake.llm.common import slices, table
 BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2000
 LEAST_TEXTS, RATE, DECAY = 4, 0.05, 2e-5
 THRESHOLD = 0.3
+#: Words whose values a worker keeps: about the distinct words of a split, some 50 MB.
+KNOWN = 250_000
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}@$*]+")
 
 
@@ -168,7 +170,7 @@ class Scorer:
         self.bias, self.share, self.known = model.bias, model.share.tolist(), {}
 
     def word(self, word: str) -> float:
-        if len(self.known) >= 100_000:
+        if len(self.known) >= KNOWN:
             self.known.clear()
         pieces = subwords(word)
         value = self.known[word] = sum(map(self.share.__getitem__, pieces)) / len(pieces)
@@ -220,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model | None, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with ``score, held_out, predicted``."""
+    """The rows of ``docs`` with ``score, held_out, predicted``, which replace columns of these names."""
     types = dict(docs.dtypes)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "score", "_score", "held_out", "predicted")]
     rows = docs.select(*rest, "text")
     fields = [f"`{c}` {types[c]}" for c in rows.columns]
     out = rows.mapInArrow(partial(_scored, model=model), ", ".join([*fields, "_score double"])).withColumnRenamed("_score", "score")
