@@ -165,8 +165,9 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_copies: int =
     """The mix itself: the rows of ``docs``, each as many times as the mix takes it."""
     _, plan = decisions(docs, word_count("text"), weights=weights, max_copies=max_copies, seed=seed, importance=importance)
     plan = plan.select(F.col("source").alias("_src"), *(F.col(c).alias("_p_" + c) for c in plan.columns if c != "source"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_size": word_count("text"), "_u": _uniform(F.col("doc_id"), seed)})
-    rows = keyed.select("*", F.struct(*(F.col(c) for c in docs.columns)).alias("_row")).select("_row", "_id", "_size", "_u", *({"source", importance} - {None}))
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), word_count("text").alias("_size"), _uniform(F.col("doc_id"), seed).alias("_u")]
+    # the whole row goes along as one value, so its columns may have any name
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), *own, "source", *([importance] if importance else []))
     rows = rows.join(small(plan), F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
     rows = rows.select("_row", "_id", "_size", "_u", *([importance] if importance else []), *(F.col(c).alias(c[3:]) for c in rows.columns if c.startswith("_p_")))
     rows = _ranked(rows, importance, max_copies).withColumn("copies", _taken()).where("copies > 0")

@@ -241,6 +241,7 @@ def _applied(batches: Iterator[pa.RecordBatch], key: str, sign: int) -> Iterator
 
 def pseudonymise(docs: DataFrame, *, key: str = TEST_KEY, invert: bool = False) -> DataFrame:
     """The rows of ``docs`` with pseudonyms in ``text``, and the kinds replaced in ``_pii_kinds``."""
+    docs = docs.drop("_pii_kinds")
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(partial(_applied, key=key, sign=-1 if invert else 1), f"{fields}, _pii_kinds array<string>")
 

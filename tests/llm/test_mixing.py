@@ -37,6 +37,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_counts(odd_docs.repartition(7)).collect()))
     mixed = mixing.mix(odd_docs)
     assert mixed.columns == odd_docs.columns and mixed.count() == sum(r["copies"] for r in rows)
+    assert set(map(str, mixed.collect())) <= set(map(str, odd_docs.collect()))
     assert mixing.mix_counts(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 

@@ -112,6 +112,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
         rows = toxicity.scored(odd_docs, toxicity.fit(odd_docs, marks)).collect()
         assert len(rows) == 11 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
         assert all(r["score"] == 0 for r in rows if not (r["text"] or "").strip())
+    assert toxicity.scored(odd_docs.withColumnRenamed("size", "score").withColumnRenamed("_id", "predicted"), None).where("score = 0").count() == 11
     assert toxicity.scored(no_docs, toxicity.fit(no_docs, labels)).count() == 0
 
 
