@@ -2,23 +2,29 @@
 
 Only vectors with equal, non-null labels are compared, by cosine in double precision.
 Equal vectors of a label form one class, which counts once however many copies it
-has.  The classes of a label are split into regions of at most ``REGION`` by nearest
-centroids (each vector goes to its ``OVERLAP`` nearest; levels repeat until a region
-is small enough), so that no label, whatever its share, meets in one task.
-
-Within a region, vectors are again cut into overlapping cluster shards.  Each shard's
-nearest neighbours are pruned robustly (Vamana, Subramanya et al., 2019: an edge is
-dropped when a kept neighbour is closer to its end by a factor), and the shards'
-adjacency lists are united.  A greedy search from the region's medoids finds each
-vector's surroundings; as soon as it meets a vector within the range it goes on to
-expand all neighbours in range until none is new.  Every hit is verified by its exact
-cosine.  Recall is audited on a sample against brute force within the region; if it
-is short, the search is repeated with a wider beam, at last by blocks over the region.
-
-A link that two regions share is counted in the smaller one only, so regions hand on
-one row for each of their vectors and never a pair.
-
-Centroids are fitted on at most ``SAMPLE`` vectors of a region to be split.
+has.
+
+A label of at most ``REGION`` classes is one region.  There, vectors are cut into
+overlapping cluster shards.  Each shard's nearest neighbours are pruned robustly
+(Vamana, Subramanya et al., 2019: an edge is dropped when a kept neighbour is closer to
+its end by a factor), and the shards' adjacency lists are united.  A greedy search from
+the region's medoids finds each vector's surroundings; as soon as it meets a vector
+within the range it goes on to expand all neighbours in range until none is new.  Every
+hit is verified by its exact cosine.  Recall is audited on a sample against brute force;
+if it is short, the search is repeated with a wider beam, at last by blocks.
+
+A larger label is split, and no pair is lost by that.  Each class has one home: the cell
+of its nearest centroid, or, where a cell holds more than ``REGION``, one of the cell's
+pieces by hash.  Pairs within a piece are compared by blocks.  A class is besides a guest
+of every piece before its own that can hold a vector within the limit, by the cell's
+radius and by the plane between the two centroids; guests meet the piece's classes in
+tasks of about ``REGION`` of each, by blocks.  Each pair is thus met once, and what
+leaves a task is one row for each class, never a pair.  A group too dense to split costs
+its square.  A region whose audit shows more than ``DENSE`` links a class goes by blocks
+as well.
+
+Centroids are fitted on about ``SAMPLE`` vectors of a label to be split; they and the
+cells' radii, some four rows for each ``REGION`` classes, pass through the driver.
 
 Defined results.  A vector that is null, zero, or holds null or non-finite components,
 and one with a null label, links with nothing.  A null vec_id is never linked and is
@@ -39,10 +45,12 @@ from simlake.llm.common import table
 from simlake.operators.graph import UnionFind, connected_components
 from simlake.plans.staging import staged
 
-REGION, SHARD, SAMPLE, OVERLAP, LEVELS = 16384, 512, 4096, 2, 6
+REGION, SHARD, SAMPLE, OVERLAP = 16384, 512, 4096, 2
 DEGREE, BEAM, ALPHA, AUDIT = 24, 32, 1.2, 48
 #: Share of the audited links that the graph search must find before it is believed.
 RECALL = 1.0
+#: Links a class beyond which a region is compared by blocks, and rows of a block.
+DENSE, BLOCK = 256, 512
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -155,49 +163,120 @@ def region_links(x: np.ndarray, limit: float) -> tuple[list[np.ndarray], float]:
     return [np.fromiter(sorted(s), np.int64, len(s)) for s in both], recall
 
 
+def block_links(x: np.ndarray, copies: np.ndarray, limit: float, y: np.ndarray | None = None, y_copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's linked copies and the smallest row of its component, over all pairs in ``x``, or of ``x`` with ``y`` (numbered on)."""
+    n, own = len(x), y is None
+    y, y_copies = (x, copies) if own else (y, y_copies)
+    counts, root = np.zeros(n if own else n + len(y), np.int64), np.arange(n if own else n + len(y))
+    for lo in range(0, len(y), BLOCK):
+        near = y[lo : lo + BLOCK] @ x.T >= limit - 1e-9
+        if own:
+            near[np.arange(len(near)), lo + np.arange(len(near))] = False
+        rows = np.flatnonzero(near.any(axis=1))
+        if not len(rows):
+            continue
+        at = rows + (lo if own else n + lo)
+        counts[at] += (near[rows] @ copies.astype(np.float64)).astype(np.int64)
+        if not own:
+            counts[:n] += (y_copies[lo + rows].astype(np.float64) @ near[rows]).astype(np.int64)
+        for i, row in zip(at.tolist(), rows.tolist(), strict=True):
+            meets = np.unique(np.append(root[:n][near[row]], root[i]))
+            for other in meets[1:]:
+                root[root == other] = meets[0]
+    return counts, root
+
+
 _REGION_OUT = "id bigint, root bigint, links bigint, recall double"
 
 
 def _region(rows: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """One region: each class's links counted here, and its smallest linked class here."""
-    rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-    own, ids, copies = rows["region"].iloc[0], rows["id"].to_numpy(), rows["copies"].to_numpy()
-    x = unit_rows(np.stack(rows["v"].to_numpy()).astype(np.float64))
-    places = [set(p) for p in rows["regions"]]
-    found, recall = region_links(x, limit)
-    sets, counts = UnionFind(), np.zeros(len(rows), np.int64)
-    for i, others in enumerate(found):
-        here = [j for j in others.tolist() if len(places[i]) == 1 or min(places[i] & places[j]) == own]
-        counts[i] = copies[here].sum()
-        for j in others.tolist():
-            sets.join(i, j)
-    return pd.DataFrame({"id": ids, "root": ids[[sets.find(i) for i in range(len(rows))]], "links": counts, "recall": recall})
-
-
-def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
-    """Centroids of one region from its sample."""
+    """One task: each class's links counted here, and its smallest linked class here."""
+    rows = rows.sort_values(["guest", "id"], kind="stable").reset_index(drop=True)
+    ids, copies, guest = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["guest"].to_numpy(bool)
+    x, recall = unit_rows(np.stack(rows["v"].to_numpy()).astype(np.float64)), 1.0
+    n = int((~guest).sum())
+    if rows["task"].iloc[0] >= 0:
+        # a piece with some of its guests; classes without a link here have a row in their own piece's task
+        counts, root = block_links(x[:n], copies[:n], limit, x[n:], copies[n:])
+        return pd.DataFrame({"id": ids, "root": ids[root], "links": counts, "recall": recall})[counts > 0]
+    audit = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
+    if rows["pieces"].iloc[0] or (x[audit] @ x.T >= limit - 1e-9).sum() > DENSE * len(audit):
+        counts, root = block_links(x, copies, limit)
+    else:
+        found, recall = region_links(x, limit)
+        sets = UnionFind()
+        counts = np.array([copies[others].sum() for others in found], np.int64)
+        for i, others in enumerate(found):
+            for j in others.tolist():
+                sets.join(i, j)
+        root = np.array([sets.find(i) for i in range(n)])
+    return pd.DataFrame({"id": ids, "root": ids[root], "links": counts, "recall": recall})
+
+
+def _fitted(rows: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Centroids of one label from its sample."""
     x = unit_rows(np.stack(rows.sort_values("id")["v"].to_numpy()).astype(np.float64))
-    k = int(min(256, max(2, -(-rows["n"].iloc[0] * OVERLAP * 2 // REGION)), len(x)))
+    k = int(min(256, max(2, -(-rows["n"].iloc[0] * 4 // size)), len(x)))
     return pd.DataFrame({"region": rows["region"].iloc[0], "number": range(k), "c": list(centroids(x, k))})
 
 
-def split(classes: DataFrame) -> DataFrame:
-    """Deal ``id, copies, v, region`` into overlapping regions of at most about ``REGION`` rows."""
-    for level in range(LEVELS):
-        sizes = staged(classes.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "sizes")
-        if not sizes.limit(1).count():
-            break
-        big = classes.join(sizes, "region")
-        # a bounded sample of each region: a hash decides, so about SAMPLE rows are kept
-        drawn = big.where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) * F.col("n") < SAMPLE << 30)
-        fitted = staged(drawn.groupBy("region").applyInPandas(_fitted, "region string, number int, c array<double>"), "centroids")
-        dot = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, a: s + a)
-        lists = fitted.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("number", "c"))).alias("cs"))
-        near = big.join(lists, "region").withColumn("near", F.slice(F.sort_array(F.transform("cs", lambda c: F.struct((-dot(c["c"])).alias("d"), c["number"].alias("k")))), 1, OVERLAP))
-        moved = near.select("id", "copies", "v", F.explode("near.k").alias("k"), F.col("region").alias("r")).select("id", "copies", "v", F.concat("r", F.lit("/"), F.col("k").cast("string")).alias("region"))
-        rest = classes.join(sizes, "region", "left_anti").select("id", "copies", "v", "region")
-        classes = staged(rest.unionByName(moved), "regions")
-    return classes
+def _units(rows: pd.DataFrame) -> np.ndarray:
+    return unit_rows(np.stack(rows["v"].to_numpy()).astype(np.float64))
+
+
+def split(classes: DataFrame, limit: float, size: int) -> DataFrame:
+    """Deal ``id, copies, v, region`` to tasks ``region, task, guest, pieces``: -1 is a piece by itself, others are it and some of its guests."""
+    whole = {"task": F.lit(-1), "guest": F.lit(False), "pieces": F.lit(False)}
+    sizes = staged(classes.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > size), "sizes")
+    if not sizes.limit(1).count():
+        return classes.withColumns(whole)
+    big, kind = classes.join(sizes, "region"), dict(classes.dtypes)["v"]
+    # a bounded sample of each label: a hash decides, so about SAMPLE rows are kept
+    drawn = big.where(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(1 << 30)).cast("double") * F.col("n") < float(SAMPLE << 30))
+    fitted = drawn.groupBy("region").applyInPandas(lambda rows: _fitted(rows, size), "region string, number int, c array<double>").orderBy("region", "number").collect()
+    cells: dict[str, np.ndarray] = {}
+    for r in fitted:
+        cells.setdefault(r["region"], []).append(r["c"])
+    cells = {r: np.array(c) for r, c in cells.items()}
+
+    def homes(batches):
+        for batch in batches:
+            for region, rows in batch.groupby("region"):
+                near = _units(rows) @ cells[region].T
+                yield rows.assign(cell=near.argmax(axis=1).astype("int32"), near=near.max(axis=1))
+
+    home = staged(big.select("id", "copies", "v", "region", F.xxhash64("id", F.lit(1)).alias("h")).mapInPandas(homes, f"id bigint, copies bigint, v {kind}, region string, h bigint, cell int, near double"), "homes")
+    radius, pieces = {r: np.full(len(c), -1.0) for r, c in cells.items()}, {r: np.zeros(len(c), np.int64) for r, c in cells.items()}
+    for r in home.groupBy("region", "cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).collect():
+        radius[r["region"]][r["cell"]] = np.arccos(np.clip(r["near"], -1, 1))
+        pieces[r["region"]][r["cell"]] = -(-r["n"] // size)
+    far, angle, slack = np.sqrt(max(0.0, 2 - 2 * limit)), np.arccos(min(1.0, limit)), 1e-6
+
+    def places(batches):
+        for batch in batches:
+            for region, rows in batch.groupby("region"):
+                c, many, cell = cells[region], pieces[region], rows["cell"].to_numpy()
+                piece = rows["h"].to_numpy() % many[cell]
+                sims = _units(rows) @ c.T
+                out = rows[["id", "copies", "v", "h"]]
+                yield out.assign(region=[f"{region}/{a}/{p}" for a, p in zip(cell, piece, strict=True)], guest=False)
+                for other in np.flatnonzero(many):
+                    apart = sims[np.arange(len(cell)), cell] - sims[:, other] <= far * np.sqrt(((c[cell] - c[other]) ** 2).sum(axis=1)) + slack
+                    within = np.arccos(np.clip(sims[:, other], -1, 1)) <= radius[region][other] + angle + slack
+                    for p in range(many[other]):
+                        may = (cell > other) & apart & within | (cell == other) & (piece > p)
+                        if may.any():
+                            yield out[may].assign(region=f"{region}/{other}/{p}", guest=True)
+
+    placed = staged(home.mapInPandas(places, f"id bigint, copies bigint, v {kind}, h bigint, region string, guest boolean"), "places")
+    # guests are dealt to tasks of about ``size``; the piece's own classes go to each of them
+    turns = placed.groupBy("region").agg(F.ceil(F.sum(F.col("guest").cast("int")) / size).cast("int").alias("turns"))
+    placed = placed.join(staged(turns, "turns"), "region")
+    guests = placed.where("guest").withColumn("task", F.pmod(F.xxhash64("h", F.lit(2)), F.col("turns")).cast("int"))
+    hosts = placed.where("not guest").withColumn("task", F.explode(F.sequence(F.lit(-1), F.col("turns") - 1)))
+    cols = ["id", "copies", "v", "region", "task", "guest"]
+    dealt = guests.select(cols).unionByName(hosts.select(cols)).withColumn("pieces", F.lit(True))
+    return dealt.unionByName(classes.join(sizes, "region", "left_anti").withColumns(whole).select(*cols, "pieces"))
 
 
 def near_vectors(vectors: DataFrame, *, limit: float = 0.98) -> DataFrame:
@@ -213,14 +292,12 @@ def near_vectors(vectors: DataFrame, *, limit: float = 0.98) -> DataFrame:
     grouped = staged(grouped, "classes")
     first = known.join(grouped.select("key", F.col("id").alias("vec_id")), ["key", "vec_id"]).dropDuplicates(["key"]).select("key", "v")
     classes = grouped.join(first, "key").select("id", "copies", "v", F.concat_ws(":", F.size("v").cast("string"), "label").alias("region"))
-    placed = split(staged(classes, "placed"))
-    homes = placed.groupBy("id").agg(F.collect_set("region").alias("regions"))
-    rows = placed.join(homes, "id")
+    rows = split(staged(classes, "placed"), limit, REGION)
 
     def region(part: pd.DataFrame) -> pd.DataFrame:
         return _region(part, limit)
 
-    found = staged(rows.groupBy("region").applyInPandas(region, _REGION_OUT), "found")
+    found = staged(rows.groupBy("region", "task").applyInPandas(region, _REGION_OUT), "found")
     comps = connected_components(found, "id", "root").select(F.col("node").alias("id"), "component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = staged(grouped.join(links, "id").join(comps, "id", "left").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "decided")

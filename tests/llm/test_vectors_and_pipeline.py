@@ -50,6 +50,46 @@ def test_links_equal_brute_force(spark, monkeypatch, region):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_split_labels_lose_no_pair(spark, monkeypatch):
+    """One dense group and looser ones, each label beyond the region, so that cells, pieces and guests all occur."""
+    monkeypatch.setattr(vector_dedup, "REGION", 60)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=0.13, size=(300, 16)), np.repeat(rng.normal(size=(60, 16)), 5, axis=0) + rng.normal(scale=0.14, size=(300, 16))])
+    rows = [(i, np.float32(v).tolist(), i % 2 if i < 550 else 2) for i, v in enumerate(x)]
+    links, sets = brute(rows)
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert sum(links.values()) > 5000
+    assert {i: r["n_links"] for i, r in got.items()} == {i: links.get(i, 0) for i, _, _ in rows}
+    assert {i: r["component_id"] for i, r in got.items()} == {i: sets.find(i) for i, _, _ in rows}
+
+
+def test_guest_tasks_lose_no_link():
+    """What a piece and its guests count equals brute force, and so do blocks within a piece."""
+    rng = np.random.default_rng(6)
+    x = vector_dedup.unit_rows(np.repeat(rng.normal(size=(40, 16)), 30, axis=0) + rng.normal(scale=0.1, size=(1200, 16)))
+    copies = rng.integers(1, 4, 1200)
+    near = (x @ x.T >= 0.98) & ~np.eye(1200, dtype=bool)
+    counts, root = vector_dedup.block_links(x, copies, 0.98)
+    assert (counts == near @ copies).all()
+    sets = UnionFind()
+    for i, j in np.argwhere(near).tolist():
+        sets.join(i, j)
+    assert root.tolist() == [sets.find(i) for i in range(1200)]
+    counts, _ = vector_dedup.block_links(x[:500], copies[:500], 0.98, x[500:], copies[500:])
+    assert (counts == np.concatenate([near[:500, 500:] @ copies[500:], near[500:, :500] @ copies[:500]])).all()
+
+
+def test_links_of_a_dense_group_are_whole(spark, monkeypatch):
+    """Near copies far beyond a region: with several centroids in the workers, every link is still counted."""
+    monkeypatch.setattr(vector_dedup, "REGION", 4000)
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=16) + rng.normal(scale=0.13, size=(9000, 16)))
+    got = vector_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")).collect()
+    u = vector_dedup.unit_rows(x.astype(np.float64))
+    want = np.concatenate([(u[i : i + 500] @ u.T >= 0.98 - 1e-9).sum(axis=1) - 1 for i in range(0, 9000, 500)])
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_odd_vectors(spark):
     schema = "vec_id bigint, embedding array<float>, label int, key string, id string"
     rows = [(None, [1.0, 0.0], 1, "a", "b"), (5, [1.0, 0.0], 1, "a", "b"), (5, [1.0, 0.0], 1, "a", "b"), (6, [1.0, 0.001], 1, None, None), (7, [1.0, 0.0], None, "a", "b")]
