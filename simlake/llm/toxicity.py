@@ -2,8 +2,10 @@
 
 A word's vector is the mean of the embeddings of its character 3- to 5-grams and of
 itself, all hashed into one table, so a spelling never seen shares the vectors of its
-pieces.  A window of ten words is the mean of its words, and a softmax over two
-classes scores it; table and softmax are trained jointly.  A text is as toxic as its
+pieces.  A run of more than 40 letters, as in a text without spaces, counts as several
+words, which overlap so that every n-gram of the run is in one.  A window of ten words
+is the mean of its words, and a softmax over two classes scores it, for each window of a
+text; table and softmax are trained jointly.  A text is as toxic as its
 worst window, so that one insult in a long text is not averaged away: training first
 takes whole texts, then, for each text, the window that scores highest at the time,
 and other windows of clean texts as well.
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from simlake.llm.common import slices, table
 
 BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2000
+#: Characters after which a run goes on as another word, and the longest n-gram.
+RUN, GRAM = 40, 5
 LEAST_TEXTS, RATE, DECAY = 4, 0.05, 2e-5
 THRESHOLD = 0.3
 #: Words whose values a worker keeps: about the distinct words of a split, some 50 MB.
@@ -47,12 +51,17 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}@$*]+")
 
 def words_of(text: str | None) -> list[str]:
     """Words in order; a run of one word counts once, so that repetition does not add up."""
-    return [w for w, _ in groupby(_WORDS.findall((text or "").lower()))]
+    return [w for w, _ in groupby(p for run in _WORDS.findall((text or "").lower()) for p in (_pieces(run) if len(run) > RUN else (run,)))]
+
+
+def _pieces(run: str) -> list[str]:
+    """A long run in pieces that share their ends, so that no n-gram is cut."""
+    return [run[i : i + RUN + GRAM - 1] for i in range(0, len(run) - GRAM + 1, RUN)]
 
 
 def subwords(word: str) -> set[int]:
     """Buckets of a word and of its character n-grams, with marks at its ends."""
-    s = f"<{word[:40]}>"
+    s = f"<{word}>"
     n, crc, top = len(s), zlib.crc32, BUCKETS - 1
     if s.isascii():
         raw = s.encode()
@@ -72,7 +81,7 @@ def _spans(n: int) -> list[tuple[int, int]]:
     """The windows over n words."""
     if n <= WINDOW:
         return [(0, n)] if n else []
-    return [(i, i + WINDOW) for i in range(0, n - WINDOW, STEP)] + [(n - WINDOW, n)]
+    return [(i, i + WINDOW) for i in range(n - WINDOW + 1)]
 
 
 class _Bags:
@@ -146,16 +155,25 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 14, seed: int =
                 o.step(w, g.astype(np.float32))
 
     steps(docs, y, 12)
-    spans = [_spans(len(d)) for d in docs]
+    spans = [np.array(_spans(len(d))) for d in docs]
     everything = _Bags(subs)
     for _ in range(rounds):
         value = everything.mean((table_ @ (soft[:, 1] - soft[:, 0]))[:, None])[:, 0]
         bags, target = [], []
         for d, label, where in zip(docs, y, spans, strict=True):
             total = np.concatenate([[0], np.cumsum(value[d])])
-            a, b = np.array(where).T
-            order = np.argsort(total[a] - total[b], kind="stable")
-            picks = {int(order[0])} if label else {*order[:4].tolist(), *rng.integers(0, len(where), 2).tolist()}
+            a, b = where.T
+            high = total[b] - total[a]
+            picks = {int(high.argmax())}
+            if not label:
+                # the four highest that are not the same words moved a little, and two by chance
+                open_at = np.ones(len(where), bool)
+                for _ in range(4):
+                    if open_at.any():
+                        k = int(np.where(open_at, high, -np.inf).argmax())
+                        picks.add(k)
+                        open_at[max(0, k - STEP + 1) : k + STEP] = False
+                picks |= set(rng.integers(0, len(where), 2).tolist())
             for k in sorted(picks):
                 bags.append(d[where[k][0] : where[k][1]])
                 target.append(label)
@@ -185,8 +203,7 @@ class Scorer:
         if len(words) <= WINDOW:
             worst = total[-1] / WINDOW
         else:
-            at = np.append(np.arange(0, len(words) - WINDOW, STEP), len(words) - WINDOW)
-            worst = ((total[at + WINDOW] - total[at]) / WINDOW).max()
+            worst = ((total[WINDOW:] - total[:-WINDOW]) / WINDOW).max()
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -500, 500))))
 
 

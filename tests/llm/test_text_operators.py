@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from simlake.llm import html_extract, licenses, media, pii, toxicity
@@ -172,3 +173,28 @@ def test_media_of_odd_rows(spark, odd_docs, no_docs):
     digests = media.digests(odd_docs).collect()
     assert sorted(r["feature"] for r in digests) == sorted(r["feature"] for r in read) and len(digests) == 11
     assert media.digests(no_docs).count() == 0 and json.dumps(digests[0]["n_bytes"])
+
+
+# --- findings of the first review ---
+
+
+def test_long_runs_are_scored_to_their_end():
+    run = "".join(chr(0x4E00 + 7 * i) for i in range(213))
+    pieces = toxicity.words_of(run)
+    assert all(any(run[i : i + 5] in p for p in pieces) for i in range(len(run) - 4))
+    assert toxicity.words_of("x" * 40 + " y") == ["x" * 40, "y"]
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0)
+    model.share[sorted(toxicity.subwords("insult") - toxicity.subwords("a" * 30))] = 50
+    scorer = toxicity.Scorer(model)
+    filler = "".join(chr(97 + i * i % 23) for i in range(90))
+    assert scorer.score(filler + "insult" + filler) > scorer.score(filler + filler) + 0.1
+
+
+def test_toxic_runs_score_alike_at_every_offset():
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), -1.0)
+    bad = [f"bad{i}" for i in range(10)]
+    for w in bad:
+        model.share[sorted(toxicity.subwords(w))] = 2
+    clean = [chr(0x3B1 + i % 24) * (1 + i % 2) for i in range(40)]
+    scores = [toxicity.Scorer(model).score(" ".join(clean[:k] + bad + clean[k:])) for k in range(20)]
+    assert max(scores) - min(scores) < 1e-6
