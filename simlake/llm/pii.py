@@ -97,6 +97,10 @@ def _valid_date(y: int, m: int, d: int) -> date | None:
         return None
 
 
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
 
@@ -149,6 +153,14 @@ class Pseudonyms:
         it = iter(f"{plain[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(it) for c in s)
 
+    def _end(self, kind: str, s: str) -> int:
+        """Where the valid value ends that starts the candidate; 0 without any.  An IBAN may end before any space: at its country's length, else as late as possible."""
+        if kind != "iban":
+            return len(s) if self._replaced(kind, s) is not None else 0
+        ends = [i for i in range(len(s), 0, -1) if i == len(s) or s[i] == " "]
+        ends.sort(key=lambda i: i - s.count(" ", 0, i) != _IBAN_LENGTH.get(s[:2]))
+        return next((i for i in ends if self._replaced(kind, s[:i]) is not None), 0)
+
     def ssn(self, s: str) -> str | None:
         def allowed(x: int) -> bool:
             area, group, serial = x // 10**6, x // 10**4 % 100, x % 10**4
@@ -200,6 +212,7 @@ class Pseudonyms:
         ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
     )
     _FOUND = regex.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=s1)').replace(chr(92) + '2', '(?P=s2)').replace('([-/.])', '(?P<s1>[-/.])', 1).replace('([-/.])', '(?P<s2>[-/.])', 1) if k == 'day' else p})" for k, p in _RULES))
+    _KINDS = frozenset(k for k, _ in _RULES)
     _ANY = regex.compile(r"[0-9@]|password=")
 
     def _replaced(self, kind: str, value: str) -> str | None:
@@ -214,13 +227,26 @@ class Pseudonyms:
         """The text with pseudonyms, and the kinds replaced in order."""
         if not self._ANY.search(text):
             return text, []
-        out, at, kinds = [], 0, []
-        for m in self._FOUND.finditer(text):
-            new = self._replaced(m.lastgroup if m.lastgroup in dict(self._RULES) else "day", m[0])
-            if new is not None:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                kinds.append(m.lastgroup if m.lastgroup in dict(self._RULES) else "day")
+        out, at, kinds, pos = [], 0, [], 0
+        failed: list[tuple[str, int, int]] = []
+        while m := self._FOUND.search(text, pos):
+            kind, start = m.lastgroup if m.lastgroup in self._KINDS else "day", m.start()
+            end = start + self._end(kind, m[0])
+            if end == start:
+                # another value may begin within the candidate
+                failed.append((kind, start, m.end()))
+                pos = start + 1
+                continue
+            old, tail = text[start:end], text[end : m.end()]
+            new = self._replaced(kind, old)
+            over = [(k, text[max(a, at) : start], b) for k, a, b in failed if b > start]
+            # walk on while the text around would be read otherwise than before, so that it can be inverted
+            while (tail and self._end(kind, new + tail) != len(old)) or any(self._end(k, head + (new + text[end:b] if b > end else new[: b - start])) for k, head, b in over):
+                new = self._replaced(kind, new)
+            out += [text[at:start], new]
+            at = pos = end
+            failed = []
+            kinds.append(kind)
         return ("".join(out) + text[at:], kinds) if kinds else (text, [])
 
 

@@ -198,3 +198,16 @@ def test_toxic_runs_score_alike_at_every_offset():
     clean = [chr(0x3B1 + i % 24) * (1 + i % 2) for i in range(40)]
     scores = [toxicity.Scorer(model).score(" ".join(clean[:k] + bad + clean[k:])) for k in range(20)]
     assert max(scores) - min(scores) < 1e-6
+
+
+@pytest.mark.parametrize("text, clear, kind", [
+    ("pay BE68 5390 0754 7034 BIC GKCC now", "BE68 5390 0754 7034", "iban"),
+    ("pay ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332", "iban"),
+    ("pay BE68 5390 0754 7034 GKCCBEBB", "BE68 5390 0754 7034", "iban"),
+    ("no ID12 4111 1111 1111 1111 here", "4111 1111 1111 1111", "card"),
+])
+def test_values_within_failed_candidates(text, clear, kind):
+    for key in map(str, range(300)):
+        done, kinds = pii.Pseudonyms(key).apply(text)
+        assert kinds == [kind] and clear not in done and len(done) == len(text)
+        assert pii.Pseudonyms(key, -1).apply(done) == (text, [kind])
