@@ -148,14 +148,22 @@ class Stream:
 
     def __post_init__(self) -> None:
         at, first, end = self._tag(), True, len(self.data)
+        start, ends = at, [end]
         if self.data[-128:-125] == b"TAG":
             end -= 128
+            ends.append(end)
         if self.data[end - 32 : end - 24] == b"APETAGEX":
             end -= min(end, int.from_bytes(self.data[end - 20 : end - 16], "little") + 32 * (self.data[end - 9] >> 7))
         last: tuple | None = None  # of the frame that ends here
-        while at + 4 <= end:
+        while at + 4 <= len(self.data):
             h = header_at(self.data, at)
             like = h and (h.version, h.hz, h.mono, h.protected)
+            # bytes like a trailing tag are audio if the chain goes on over them
+            after = at + h.length if h else 0
+            if end < after <= len(self.data) and (after in ends or header_at(self.data, after)) and (at == start or like == last) and (self.table_frames is None or len(self.offsets) < self.table_frames):
+                end = min(e for e in ends if e >= after)
+            if at + 4 > end:
+                break
             if h and at + h.length <= end and (like == last or at + h.length == end or header_at(self.data, at + h.length)):
                 if not (first and self._table(at, h)):
                     self.offsets.append(at)
@@ -217,7 +225,10 @@ class Stream:
     def payload(self) -> bytes:
         """What ``encode`` stored."""
         parts = [self.data[at + 6 + h.side : at + h.length] for at, h in zip(self.offsets, self.headers, strict=True)]
-        return b"".join(parts)[: int(self.tags.get("payload_bytes", 0))]
+        whole, n = b"".join(parts), int(self.tags.get("payload_bytes", 0))
+        if len(whole) < n:
+            raise ValueError(f"the stream holds {len(whole)} of {n} bytes")
+        return whole[:n]
 
     def feature(self) -> str:
         """Frames, samples, rate, CRCs, table against stream, and a digest of the seek offsets."""

@@ -211,3 +211,18 @@ def test_values_within_failed_candidates(text, clear, kind):
         done, kinds = pii.Pseudonyms(key).apply(text)
         assert kinds == [kind] and clear not in done and len(done) == len(text)
         assert pii.Pseudonyms(key, -1).apply(done) == (text, [kind])
+
+
+def test_payloads_that_look_like_trailing_tags():
+    size = len(media.encode(b"x" * 128))
+    for mark in (b"TAG", b"APETAGEX"):
+        for n in (64, 128, 192, 5000):
+            for at in range(n - len(mark) + 1):
+                body = b"y" * at + mark + b"z" * (n - at - len(mark))
+                if n < 5000 or at > n - 200:
+                    data = media.encode(body)
+                    assert media.Stream(data).payload() == body
+                    assert media.Stream(data + b"TAG" + b"t" * 125).payload() == body
+    whole = media.encode(b"x" * 128)
+    with pytest.raises(ValueError):
+        media.Stream(whole[: size - 40]).payload()
