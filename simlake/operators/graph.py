@@ -34,8 +34,8 @@ class UnionFind:
         return True
 
 
-#: Edges that one union-find holds before it hands on its stars.
-LOCAL_EDGES = 2_000_000
+#: Edges that one union-find holds (some 100 MB) before it hands on its stars.
+LOCAL_EDGES = 500_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.join(x, y)
         n += batch.num_rows
-        if n >= LOCAL_EDGES:
+        if n > LOCAL_EDGES:
             yield out(sets)
             sets, n = UnionFind(), 0
     yield out(sets)
@@ -63,13 +63,22 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for each node of an edge; ``component`` is the smallest node reachable.
 
-    Every task first contracts its own edges by union-find; alternating large-star
-    and small-star rounds (Kiveris et al., 2014) then join the stars.  A round is an
-    aggregate and a join on the node, so a node with very many edges is summed before
-    the shuffle and its join can be split.  Self-edges and null ends are left out.
+    Every task first contracts about ``LOCAL_EDGES`` edges by union-find, so what fits
+    one task is done by that; alternating large-star and small-star rounds (Kiveris et
+    al., 2014) then join the stars.  A round is an aggregate and a join on the node, so a
+    node with very many edges is summed before the shuffle and its join can be split.
+    Self-edges and null ends are left out.
     """
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
-    e = staged(e.mapInArrow(_stars, "u bigint, v bigint").distinct(), "edges")
+    e = staged(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v"), "edges")
+    tasks = -(-e.count() // LOCAL_EDGES)
+    stars = e.coalesce(max(1, tasks)).mapInArrow(_stars, "u bigint, v bigint")
+    e = staged(stars, "edges") if tasks <= 1 else _joined(staged(stars.distinct(), "edges"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _joined(e: DataFrame) -> DataFrame:
+    """Large-star and small-star rounds until each edge leads to the smallest node of its component."""
     before = _mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,5 +91,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if after == before:
             break
         before = after
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return e

@@ -6,6 +6,7 @@ import pytest
 from simlake.analyze import concerns, drift, spectrum
 from simlake.analyze.compare import CompareConfig, compare, sampled_pairs
 from simlake.analyze.duplicates import DuplicateConfig, duplicates
+from simlake.operators import graph
 from simlake.operators.clusters import capped, merged
 from simlake.operators.graph import UnionFind, connected_components
 from simlake.operators.similarity import similar_pairs, similar_pairs_sql, top_k_between
@@ -86,7 +87,9 @@ def test_greedy_by_component_equals_global():
         assert sorted(kept) == sorted(e for k, _ in by_part for e in k) and home == {u: c for _, h in by_part for u, c in h.items()}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("local", [500_000, 60])
+def test_connected_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(rng.randint(300, 700), rng.randint(300, 700)) for _ in range(250)] + [(9, 9), (None, 4)] + [(1000, x) for x in range(1001, 1300)]
     sets = UnionFind()
