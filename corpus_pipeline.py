@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from simlake.llm import bpe, mixing, near_dup, pii, toxicity
 from simlake.llm.common import table
-from simlake.plans.staging import release, scratch_base, small, staged
+from simlake.plans.staging import release, scratch_base
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,12 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id.
+
+    Rows are dropped, not ids: an id with two unlike texts keeps both.  Rows without words
+    or id stay; of rows that repeat id and text one stays.
+    """
     release(spark)
-    found = near_dup.near_duplicates(docs, k=5)
-    gone = staged(found.where("not kept").select("doc_id").distinct(), "gone")
-    # rows that repeat the id of a kept document are copies of it: the first stays
-    return near_dup.first_rows(docs.join(small(gone), "doc_id", "left_anti")).select(*COLUMNS)
+    return near_dup.deduplicated(docs.select(*COLUMNS), k=5).select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 
@@ -82,5 +83,44 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert all(by[i][0]["n_shingles"] == 0 and by[i][0]["kept"] for i in (3, 4, 5)) and by[8][0]["n_shingles"] == 1
     assert [(r["component_id"], r["kept"]) for r in by[None]] == [(None, True)] * 2
     assert near_dup.near_duplicates(no_docs).count() == 0
-    first = near_dup.first_rows(odd_docs)
-    assert first.count() == 10 and first.where("doc_id = 1").count() == 1 and first.where("doc_id is null").count() == 2
+    kept = near_dup.deduplicated(odd_docs)
+    # of the two equal rows of id 1 and its copy, id 2, one stays
+    assert kept.columns == odd_docs.columns and kept.count() == 9 and kept.where("doc_id in (1, 2)").count() == 1 and kept.where("doc_id is null").count() == 2
+    assert near_dup.deduplicated(no_docs).count() == 0
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    """An id with two texts is one node, so it joins their groups; as rows, no text is lost."""
+    t, u = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(3, t), (5, t), (5, u), (9, u), (9, ""), (11, ""), (12, t + " t30"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs, k=2).collect())
+    assert got == [(3, 29, 3, True), (5, 0, 3, False), (5, 29, 3, False), (5, 29, 3, False), (9, 0, 3, False), (9, 29, 3, False), (11, 0, 11, True), (12, 30, 3, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dup.deduplicated(docs, k=2).collect())
+    assert kept == sorted([(3, t), (5, u), (9, ""), (11, ""), (5, "")])
+
+
+def test_rows_of_one_group_that_repeat_the_smallest_id(spark):
+    """Equal sets, one id, spelled differently: one row stays."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (1, "A b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g H")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in near_dup.deduplicated(docs, k=2).collect()] == [1]
+
+
+def test_star_groups_and_blocks(spark, monkeypatch):
+    """Copies that link with one text only, and not with each other; the last round in several blocks."""
+    monkeypatch.setattr(near_dup, "HEADS", 0)
+    rng = random.Random(3)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(60)]
+        copies = []
+        for c in range(40):
+            at = sorted(rng.sample(range(60), 3))
+            copies.append(" ".join(f"x{group}_{c}_{i}" if i in at else w for i, w in enumerate(base)))
+        for t in [*copies[:20], " ".join(base), *copies[20:]]:
+            rows.append((len(rows), t))
+    want, _ = brute(rows, 2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (near_dup.BLOCK, 7):
+        monkeypatch.setattr(near_dup, "_rest_pairs", partial(near_dup._rest_pairs.func if isinstance(near_dup._rest_pairs, partial) else near_dup._rest_pairs, block=block))
+        assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, k=2).collect()} == want
