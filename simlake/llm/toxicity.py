@@ -14,13 +14,15 @@ Everything is linear up to the softmax, so after training each entry of the tabl
 reduced to its share of the logit; executors get that one vector.
 
 Sample.  Training takes the labelled rows whose crc32(doc_id) mod 4 is not 2, at most
-``SAMPLE`` of each class in the order of a hash of the id; that bound is what reaches
-the driver.  Label, language, source and id are not inputs of a score.
-
-Defined results.  A text without words, or null, scores 0.  Without labelled rows all
-scores are 0.  A null id is scored but not held out.  Repeated rows get equal scores;
-if labels repeat an id, the larger label holds.  Null labels are ignored, and so are
-extra columns; an empty table gives an empty table.
+``SAMPLE`` of each class in the order of a hash of the id, without texts of more than
+``SAMPLE_CHARS`` characters.  One task trains on that bounded sample; the driver gets the
+reduced table (half a megabyte) and no text.  Label, language, source and id are not
+inputs of a score.
+
+Defined results.  A text without words, or null, scores 0.  Long words and long texts are
+scored whole.  Without labelled rows all scores are 0.  A null id is scored but not held
+out.  Repeated rows get equal scores; if labels repeat an id, the larger label holds.
+Null labels are ignored, and so are extra columns; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,17 +31,19 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.llm.common import slices, table
+from simlake.llm.common import slices, table, tidy
 
-BUCKETS, DIM, WINDOW, STEP, SAMPLE = 1 << 17, 8, 10, 5, 2000
+BUCKETS, DIM, WINDOW, STEP = 1 << 17, 8, 10, 5
+#: The training sample: rows of each class, and characters of a text in it.
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Characters after which a run goes on as another word, and the longest n-gram.
 RUN, GRAM = 40, 5
 LEAST_TEXTS, RATE, DECAY = 4, 0.05, 2e-5
@@ -51,7 +55,10 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}@$*]+")
 
 def words_of(text: str | None) -> list[str]:
     """Words in order; a run of one word counts once, so that repetition does not add up."""
-    return [w for w, _ in groupby(p for run in _WORDS.findall((text or "").lower()) for p in (_pieces(run) if len(run) > RUN else (run,)))]
+    runs = _WORDS.findall((text or "").lower())
+    if runs and max(map(len, runs)) > RUN:
+        runs = [p for run in runs for p in (_pieces(run) if len(run) > RUN else (run,))]
+    return [w for w, before in zip(runs, [None, *runs], strict=False) if w != before]
 
 
 def _pieces(run: str) -> list[str]:
@@ -77,13 +84,6 @@ class Model:
     bias: float
 
 
-def _spans(n: int) -> list[tuple[int, int]]:
-    """The windows over n words."""
-    if n <= WINDOW:
-        return [(0, n)] if n else []
-    return [(i, i + WINDOW) for i in range(n - WINDOW + 1)]
-
-
 class _Bags:
     """Means over bags of rows: forward, and the gradient back to the rows."""
 
@@ -155,27 +155,25 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 14, seed: int =
                 o.step(w, g.astype(np.float32))
 
     steps(docs, y, 12)
-    spans = [np.array(_spans(len(d))) for d in docs]
     everything = _Bags(subs)
     for _ in range(rounds):
         value = everything.mean((table_ @ (soft[:, 1] - soft[:, 0]))[:, None])[:, 0]
         bags, target = [], []
-        for d, label, where in zip(docs, y, spans, strict=True):
-            total = np.concatenate([[0], np.cumsum(value[d])])
-            a, b = where.T
-            high = total[b] - total[a]
+        for d, label in zip(docs, y, strict=True):
+            total, width = np.concatenate([[0], np.cumsum(value[d])]), min(WINDOW, len(d))
+            high = total[width:] - total[:-width]  # of each window
             picks = {int(high.argmax())}
             if not label:
                 # the four highest that are not the same words moved a little, and two by chance
-                open_at = np.ones(len(where), bool)
+                open_at = np.ones(len(high), bool)
                 for _ in range(4):
                     if open_at.any():
                         k = int(np.where(open_at, high, -np.inf).argmax())
                         picks.add(k)
                         open_at[max(0, k - STEP + 1) : k + STEP] = False
-                picks |= set(rng.integers(0, len(where), 2).tolist())
+                picks |= set(rng.integers(0, len(high), 2).tolist())
             for k in sorted(picks):
-                bags.append(d[where[k][0] : where[k][1]])
+                bags.append(d[k : k + width])
                 target.append(label)
         steps(bags, np.array(target), 8)
     return Model((table_ @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
@@ -198,8 +196,11 @@ class Scorer:
         words = words_of(text)
         if not words:
             return 0.0
-        get = self.known.get
-        total = np.concatenate([[0.0], np.cumsum([x if (x := get(w)) is not None else self.word(w) for w in words])])
+        values = list(map(self.known.get, words))
+        if None in values:
+            values = [self.word(w) if x is None else x for w, x in zip(words, values, strict=True)]
+        total = np.zeros(len(words) + 1)
+        np.cumsum(values, out=total[1:])
         if len(words) <= WINDOW:
             worst = total[-1] / WINDOW
         else:
@@ -218,8 +219,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``size`` rows of each class that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``doc_id, toxic, text, o`` of at most ``size`` rows of each class that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("o", F.xxhash64("doc_id"))
     picked = None
@@ -227,15 +228,23 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
         one = known.where(F.col("toxic") == label).orderBy("o", "doc_id").limit(size)
         picked = one if picked is None else picked.unionByName(one)
     # at most 2 * size rows, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.first("o").alias("o"))
-    found = rows.orderBy("o", "doc_id").collect()
-    return [r["text"] or "" for r in found], [r["toxic"] for r in found]
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars)
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.first("o").alias("o"))
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.concat([pd.DataFrame({"doc_id": [], "toxic": [], "text": [], "o": []}), *batches]).sort_values(["o", "doc_id"])
+    if len(rows):
+        model = train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+        yield pd.DataFrame({"share": [model.share.astype("<f4").tobytes()], "bias": [model.bias]})
+    tidy()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from the labelled rows; None without any."""
-    texts, marks = sample(docs, labels)
-    return train(texts, marks) if texts else None
+    """A model from the labelled rows, trained by one task; None without any."""
+    found = sample(docs, labels).coalesce(1).mapInPandas(_fitted, "share binary, bias double").collect()
+    return Model(np.frombuffer(found[0]["share"], "<f4"), found[0]["bias"]) if found else None
 
 
 def scored(docs: DataFrame, model: Model | None, *, threshold: float = THRESHOLD) -> DataFrame:
