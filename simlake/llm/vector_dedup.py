@@ -1,8 +1,8 @@
 """Near-duplicate vectors by robust-pruned flat graphs on overlapping shards.
 
 Only vectors with equal, non-null labels are compared, by cosine in double precision.
-Equal vectors of a label form one class, which counts once however many copies it
-has.
+Vectors of a label with the same direction form one class, which counts once however
+many copies it has.
 
 A label of at most ``REGION`` classes is one region.  There, vectors are cut into
 overlapping cluster shards.  Each shard's nearest neighbours are pruned robustly
@@ -10,8 +10,10 @@ overlapping cluster shards.  Each shard's nearest neighbours are pruned robustly
 its end by a factor), and the shards' adjacency lists are united.  A greedy search from
 the region's medoids finds each vector's surroundings; as soon as it meets a vector
 within the range it goes on to expand all neighbours in range until none is new.  Every
-hit is verified by its exact cosine.  Recall is audited on a sample against brute force;
-if it is short, the search is repeated with a wider beam, at last by blocks.
+hit is verified by its cosine in double precision (in extended precision where that is
+within 1e-9 of the limit).  Recall is audited on rows spread over the region against all
+rows of its label; if a link is missing, the search is repeated with a wider beam, at last
+by blocks.  The audited recall is a column of the result.
 
 A larger label is split, and no pair is lost by that.  Each class has one home: the cell
 of its nearest centroid, or, where a cell holds more than ``REGION``, one of the cell's
@@ -28,27 +30,32 @@ cells' radii, some four rows for each ``REGION`` classes, pass through the drive
 
 Defined results.  A vector that is null, zero, or holds null or non-finite components,
 and one with a null label, links with nothing.  A null vec_id is never linked and is
-kept.  Rows that repeat a vec_id count as vectors of their own but are one node.
+kept.  Rows that repeat a vec_id count as vectors of their own but are one node, whatever
+their vectors and labels, so that their groups are one.
 Vectors of unequal length are never compared.  An empty table gives an empty table;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simlake.functions.vectors import bound
 from simlake.llm.common import table
-from simlake.operators.graph import UnionFind, connected_components
+from simlake.operators.graph import connected_components
 from simlake.plans.staging import staged
 
 REGION, SHARD, SAMPLE, OVERLAP = 16384, 512, 4096, 2
-DEGREE, BEAM, ALPHA, AUDIT = 24, 32, 1.2, 48
-#: Share of the audited links that the graph search must find before it is believed.
-RECALL = 1.0
+DEGREE, BEAM, ALPHA, AUDIT = 20, 16, 1.2, 64
+#: Similarity below the limit down to which neighbours are expanded, what single precision may be off, and cells of a batch of queries.
+MARGIN, SLACK, BATCH = 0.05, 1e-4, 1 << 22
+#: A cosine from unit rows is sure beyond so much.
+EPS = 1e-9
+#: Share of the audited links that the graph search must find before it is believed, and the least that a result may have.
+RECALL, LEAST_RECALL = 1.0, 0.9
 #: Links a class beyond which a region is compared by blocks, and rows of a block.
 DENSE, BLOCK = 256, 512
 
@@ -69,29 +76,24 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def robust_prune(x: np.ndarray, at: int, found: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Neighbours of ``at`` among ``found`` (nearest first), none much closer to a kept one than to ``at``."""
-    kept: list[int] = []
-    far = np.sqrt(np.maximum(2 - 2 * (x[found] @ x[at]), 0))
-    mutual = np.sqrt(np.maximum(2 - 2 * (x[found] @ x[found].T), 0))
-    open_ = np.ones(len(found), bool)
-    for i in range(len(found)):
-        if open_[i]:
-            kept.append(int(found[i]))
-            if len(kept) == degree:
-                break
-            open_ &= ~(alpha * mutual[i] <= far)
+def robust_prune(sims: np.ndarray, top: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Which of each row's neighbours ``top`` (nearest first) it keeps: none much closer to a kept one than to the row."""
+    far = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, top, axis=1), 0))
+    open_, kept = np.ones(top.shape, bool), np.zeros(top.shape, bool)
+    for i in range(top.shape[1]):
+        kept[:, i] = open_[:, i] & (kept.sum(axis=1) < degree)
+        rows = np.flatnonzero(kept[:, i])
+        mutual = np.sqrt(np.maximum(2 - 2 * sims[top[rows, i, None], top[rows]], 0))
+        open_[rows] &= alpha * mutual > far[rows]
     return kept
 
 
-def build(x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-    """United adjacency lists over overlapping shards, and the shards' medoids."""
+def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """United adjacency lists over overlapping shards (``start, ends``: those of row i are ends[start[i]:start[i + 1]]), and the shards' medoids."""
     n = len(x)
-    k = max(1, -(-n // SHARD))
-    c = centroids(x[:: max(1, n // SAMPLE)], min(k, n))
+    c = centroids(x[:: max(1, n // SAMPLE)], min(n, max(1, -(-n // SHARD))))
     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-    links: list[set[int]] = [set() for _ in range(n)]
-    medoids = []
+    codes, medoids = [], []
     for shard in range(len(c)):
         mine = np.flatnonzero((near == shard).any(axis=1))
         if not len(mine):
@@ -101,88 +103,170 @@ def build(x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
             sims = x[part] @ x[part].T
             np.fill_diagonal(sims, -2)
             width = min(2 * DEGREE, len(part) - 1)
-            top = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width else np.empty((len(part), 0), int)
-            for row, at in enumerate(part):
-                order = top[row][np.argsort(-sims[row, top[row]], kind="stable")]
-                for other in robust_prune(x, int(at), part[order]):
-                    links[at].add(other)
-                    links[other].add(int(at))
+            if not width:
+                continue
+            top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1, kind="stable"), axis=1)
+            rows, at = np.nonzero(robust_prune(sims, top))
+            codes.append(part[rows] * n + part[top[rows, at]])
     # medoids are linked in a ring, so that every shard can be reached
-    for a, b in zip(medoids, medoids[1:] + medoids[:1], strict=True):
-        if a != b:
-            links[a].add(b)
-            links[b].add(a)
-    return [np.fromiter(s, np.int64, len(s)) for s in links], medoids
-
-
-def range_search(x: np.ndarray, links: list[np.ndarray], medoids: list[int], query: np.ndarray, limit: float, beam: int) -> np.ndarray:
-    """Rows with similarity of at least ``limit``: greedy from the medoids, then all of the range's surroundings."""
-    seen = np.zeros(len(x), bool)
-    ids = np.array(medoids)
-    seen[ids] = True
-    sims = x[ids] @ query
-    done = np.zeros(len(ids), bool)
+    ring = np.array(medoids)
+    codes.append(ring * n + np.roll(ring, -1))
+    a, b = np.divmod(np.concatenate(codes), n)
+    both = np.unique(np.concatenate([a * n + b, b * n + a])[np.concatenate([a != b, a != b])])
+    return np.searchsorted(both // n, np.arange(n + 1)), (both % n).astype(np.int64), ring
+
+
+def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, limit: float, beam: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) with similarity of at least ``limit``, for many queries at a time.
+
+    A greedy search goes from the medoids towards the query; once it has met a row within
+    ``margin`` of the range, all neighbours of such rows are expanded until none is new.
+    """
+    (start, ends, medoids), n, k = graph, len(x), len(queries)
+    q = x[queries]
+    seen = np.zeros(k * n, bool)
+    turn = np.empty(k * n, np.int32)
+    first = q @ x[medoids].T
+    seen.reshape(k, n)[:, medoids] = True
+    at, m = np.nonzero(first >= limit)
+    found = [at * n + medoids[m]]
+    at, m = np.nonzero(first >= limit - margin)
+    go_q, go_id = at, medoids[m]
+    arrived = np.zeros(k, bool)
+    arrived[go_q] = True
+    # the beam of queries under way: rows, similarities, and which have been expanded
+    width = min(beam, len(medoids))
+    best = np.argsort(-first, axis=1, kind="stable")[:, :width]
+    ids, sims = np.full((k, beam), -1), np.full((k, beam), -9.0, x.dtype)
+    ids[:, :width], sims[:, :width] = medoids[best], np.take_along_axis(first, best, axis=1)
+    done = ids < 0
+    while True:
+        under = np.flatnonzero(~arrived & ~done.all(axis=1))
+        pick = np.where(done[under], -9, sims[under]).argmax(axis=1)
+        done[under, pick] = True
+        go_q, go_id = np.concatenate([go_q, under]), np.concatenate([go_id, ids[under, pick]])
+        if not len(go_q):
+            break
+        counts = start[go_id + 1] - start[go_id]
+        flat = np.repeat(start[go_id] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        codes = np.repeat(go_q, counts) * n + ends[flat]
+        codes = codes[~seen[codes]]
+        turn[codes] = np.arange(len(codes))  # of a row met twice at once the last stays
+        codes = codes[turn[codes] == np.arange(len(codes))]
+        seen[codes] = True
+        of, rows = np.divmod(codes, n)
+        near = np.einsum("ij,ij->i", x[rows], q[of])
+        found.append(codes[near >= limit])
+        wide = near >= limit - margin
+        go_q, go_id = of[wide], rows[wide]
+        arrived[go_q] = True
+        open_ = np.flatnonzero(~arrived[of])
+        if len(open_):
+            of, rows, near = of[open_], rows[open_], near[open_]
+            order = np.lexsort((-near, of))
+            of, rows, near = of[order], rows[order], near[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            top = rank < beam
+            new_ids, new_sims = np.full((k, beam), -1), np.full((k, beam), -9.0, x.dtype)
+            new_ids[of[top], rank[top]], new_sims[of[top], rank[top]] = rows[top], near[top]
+            changed = np.unique(of)
+            all_ids, all_sims = np.hstack([ids[changed], new_ids[changed]]), np.hstack([sims[changed], new_sims[changed]])
+            all_done = np.hstack([done[changed], new_ids[changed] < 0])
+            order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+            ids[changed], sims[changed], done[changed] = (np.take_along_axis(z, order, axis=1) for z in (all_ids, all_sims, all_done))
+    at, rows = np.divmod(np.concatenate(found), n)
+    return queries[at], rows
+
+
+def _reaches(v: np.ndarray, a: np.ndarray, b: np.ndarray, sims: np.ndarray, limit: float) -> np.ndarray:
+    """Which pairs have a cosine of at least ``limit``; those too close to tell from unit rows are summed in extended precision."""
+    out = sims >= limit
+    close = np.flatnonzero(np.abs(sims - limit) <= EPS)
+    for at in range(0, len(close), 1 << 16):
+        some = close[at : at + (1 << 16)]
+        x, y = v[a[some]].astype(np.longdouble), v[b[some]].astype(np.longdouble)
+        x, y = (z / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
+        out[some] = ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).astype(np.float64) >= limit
+    return out
+
+
+def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row of its component, from links a-b."""
+    root = np.arange(n)
     while True:
-        order = np.argsort(-sims, kind="stable")
-        # the beam widens to whatever lies within the range
-        order = order[: max(beam, int((sims >= limit).sum()))]
-        ids, sims, done = ids[order], sims[order], done[order]
-        todo = np.flatnonzero(~done)
-        if not len(todo):
-            return ids[sims >= limit]
-        todo = todo[:4] if sims[todo[0]] < limit else todo[sims[todo] >= limit]
-        done[todo] = True
-        new = np.unique(np.concatenate([links[i] for i in ids[todo]]))
-        new = new[~seen[new]]
-        seen[new] = True
-        ids, sims, done = np.concatenate([ids, new]), np.concatenate([sims, x[new] @ query]), np.concatenate([done, np.zeros(len(new), bool)])
-
-
-def region_links(x: np.ndarray, limit: float) -> tuple[list[np.ndarray], float]:
-    """For each row the other rows within the limit, and the audited recall of the graph search."""
-    n, eps = len(x), 1e-9
-    exact = lambda i: np.flatnonzero(x @ x[i] >= limit - eps)
-    audit = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    truth = {int(i): exact(i) for i in audit}
-    links, medoids = build(x)
-    for beam in (BEAM, 4 * BEAM):
-        found = [range_search(x, links, medoids, q, limit - eps, beam) for q in x]
-        total = sum(map(len, truth.values()))
-        recall = sum(len(np.intersect1d(found[i], t)) for i, t in truth.items()) / total
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, root[end], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def audited(x: np.ndarray, limit: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows spread over the region, and for each all rows within the range, by brute force."""
+    audit = np.unique(np.linspace(0, len(x) - 1, min(len(x), AUDIT)).astype(int))
+    return audit, [np.flatnonzero(x @ x[i] >= limit + EPS) for i in audit]
+
+
+def region_links(v: np.ndarray, copies: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each row's linked copies, the smallest row of its component, and the recall audited, over one region."""
+    x, n = unit_rows(v), len(v)
+    audit, truth = audited(x, limit)
+    if sum(map(len, truth)) > DENSE * len(audit):
+        return *block_links(v, copies, limit), 1.0
+    fast = x.astype(np.float32)
+    graph, batch = build(fast), max(1, min(n, BATCH // n))
+    for beam, margin in ((BEAM, MARGIN), (4 * BEAM, 3 * MARGIN)):
+        # every link counts in both directions, so one end's search may miss it
+        pairs = [np.empty(0, np.int64)]
+        for lo in range(0, n, batch):
+            a, b = range_search(fast, graph, np.arange(lo, min(n, lo + batch)), limit - SLACK, beam, margin)
+            pairs.append((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
+        a, b = np.divmod(np.unique(np.concatenate(pairs)), n)
+        sims = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536))])
+        good = _reaches(v, a, b, sims, limit)
+        a, b = a[good], b[good]
+        known = np.unique(np.concatenate([a * n + b, b * n + a, np.arange(n) * n + np.arange(n)]))
+        wanted = np.concatenate([i * n + t for i, t in zip(audit, truth, strict=True)])
+        recall = float(np.isin(wanted, known).mean())
         if recall >= RECALL:
             break
     else:
-        found = [exact(i) for i in range(n)]
-    # verified exactly; a link found from either end counts for both
-    both: list[set[int]] = [set() for _ in range(n)]
-    for i, f in enumerate(found):
-        for j in f.tolist():
-            if j != i:
-                both[i].add(j)
-                both[j].add(i)
-    return [np.fromiter(sorted(s), np.int64, len(s)) for s in both], recall
-
-
-def block_links(x: np.ndarray, copies: np.ndarray, limit: float, y: np.ndarray | None = None, y_copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's linked copies and the smallest row of its component, over all pairs in ``x``, or of ``x`` with ``y`` (numbered on)."""
-    n, own = len(x), y is None
-    y, y_copies = (x, copies) if own else (y, y_copies)
-    counts, root = np.zeros(n if own else n + len(y), np.int64), np.arange(n if own else n + len(y))
-    for lo in range(0, len(y), BLOCK):
-        near = y[lo : lo + BLOCK] @ x.T >= limit - 1e-9
+        return *block_links(v, copies, limit), recall
+    counts = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+    return counts.astype(np.int64), smallest_linked(n, a, b), recall
+
+
+def block_links(v: np.ndarray, copies: np.ndarray, limit: float, w: np.ndarray | None = None, w_copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's linked copies and the smallest row of its component, over all pairs in ``v``, or of ``v`` with ``w`` (numbered on)."""
+    n, own = len(v), w is None
+    every = v if own else np.concatenate([v, w])
+    x, weight = unit_rows(every), copies if own else np.concatenate([copies, w_copies])
+    counts, root = np.zeros(len(every), np.int64), np.arange(len(every))
+    for lo in range(0 if own else n, len(every), BLOCK):
+        hi = min(lo + BLOCK, len(every))
+        sims = x[lo:hi] @ x[:n].T
+        near = sims >= limit
+        a, b = np.nonzero(np.abs(sims - limit) <= EPS)
+        if len(a):
+            near[a, b] = _reaches(every, a + lo, b, sims[a, b], limit)
         if own:
-            near[np.arange(len(near)), lo + np.arange(len(near))] = False
+            near[np.arange(hi - lo), np.arange(lo, hi)] = False
         rows = np.flatnonzero(near.any(axis=1))
         if not len(rows):
             continue
-        at = rows + (lo if own else n + lo)
-        counts[at] += (near[rows] @ copies.astype(np.float64)).astype(np.int64)
+        at = rows + lo
+        counts[at] += (near[rows] @ weight[:n].astype(np.float64)).astype(np.int64)
         if not own:
-            counts[:n] += (y_copies[lo + rows].astype(np.float64) @ near[rows]).astype(np.int64)
+            counts[:n] += (weight[at].astype(np.float64) @ near[rows]).astype(np.int64)
         for i, row in zip(at.tolist(), rows.tolist(), strict=True):
             meets = np.unique(np.append(root[:n][near[row]], root[i]))
-            for other in meets[1:]:
-                root[root == other] = meets[0]
+            if len(meets) > 1:
+                root[np.isin(root, meets)] = meets[0]
     return counts, root
 
 
@@ -193,23 +277,15 @@ def _region(rows: pd.DataFrame, limit: float) -> pd.DataFrame:
     """One task: each class's links counted here, and its smallest linked class here."""
     rows = rows.sort_values(["guest", "id"], kind="stable").reset_index(drop=True)
     ids, copies, guest = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["guest"].to_numpy(bool)
-    x, recall = unit_rows(np.stack(rows["v"].to_numpy()).astype(np.float64)), 1.0
-    n = int((~guest).sum())
+    v, recall, n = np.stack(rows["v"].to_numpy()).astype(np.float64), 1.0, int((~guest).sum())
     if rows["task"].iloc[0] >= 0:
         # a piece with some of its guests; classes without a link here have a row in their own piece's task
-        counts, root = block_links(x[:n], copies[:n], limit, x[n:], copies[n:])
+        counts, root = block_links(v[:n], copies[:n], limit, v[n:], copies[n:])
         return pd.DataFrame({"id": ids, "root": ids[root], "links": counts, "recall": recall})[counts > 0]
-    audit = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    if rows["pieces"].iloc[0] or (x[audit] @ x.T >= limit - 1e-9).sum() > DENSE * len(audit):
-        counts, root = block_links(x, copies, limit)
+    if rows["pieces"].iloc[0]:
+        counts, root = block_links(v, copies, limit)
     else:
-        found, recall = region_links(x, limit)
-        sets = UnionFind()
-        counts = np.array([copies[others].sum() for others in found], np.int64)
-        for i, others in enumerate(found):
-            for j in others.tolist():
-                sets.join(i, j)
-        root = np.array([sets.find(i) for i in range(n)])
+        counts, root, recall = region_links(v, copies, limit)
     return pd.DataFrame({"id": ids, "root": ids[root], "links": counts, "recall": recall})
 
 
@@ -280,32 +356,51 @@ def split(classes: DataFrame, limit: float, size: int) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, *, limit: float = 0.98) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` from ``vec_id, embedding, label``: one row for each row."""
+    """``vec_id, n_links, component_id, kept, recall`` from ``vec_id, embedding, label``: one row for each row.
+
+    ``recall`` is what the search of the row's region found of the links of the audited
+    rows, null for rows that are not compared; it raises if one is below ``LEAST_RECALL``.
+    """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda a: a != 0)
-    # -0.0 + 0.0 is 0.0, so that equal vectors have equal keys
-    key = F.sha2(F.concat_ws("|", F.col("label"), F.size("v").cast("string"), F.array_join(F.transform("v", lambda a: (a + F.lit(0.0)).cast("string")), ",")), 256)
-    v = staged(v.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), key)), "vectors")
+    # one class for each direction: by the largest component, which keeps the sign; 0.0 in place of -0.0
+    direction = bound(F.array_max(F.transform("v", lambda a: F.abs(a.cast("double")))), lambda top: F.transform("v", lambda a: a.cast("double") / top + F.lit(0.0)))
+    hashed = bound(direction, lambda d: F.struct(F.xxhash64("label", d).alias("x"), F.xxhash64(F.lit("again"), F.size("v"), d, "label").alias("y")))
+    v = staged(v.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), hashed)), "vectors")
     known = v.where("key is not null")
-    grouped = known.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min("label").alias("label"))
-    grouped = staged(grouped, "classes")
-    first = known.join(grouped.select("key", F.col("id").alias("vec_id")), ["key", "vec_id"]).dropDuplicates(["key"]).select("key", "v")
-    classes = grouped.join(first, "key").select("id", "copies", "v", F.concat_ws(":", F.size("v").cast("string"), "label").alias("region"))
-    rows = split(staged(classes, "placed"), limit, REGION)
+    grouped = known.groupBy("key").agg(F.min("vec_id").alias("rep"), F.min_by("v", "vec_id").alias("v"), F.count("*").alias("copies"), F.min("label").alias("label"))
+    # numbers are written down with the table, so that they hold from here on
+    classes = staged(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = split(classes.select("id", "copies", "v", F.concat_ws(":", F.size("v").cast("string"), "label").alias("region")), limit, REGION)
 
     def region(part: pd.DataFrame) -> pd.DataFrame:
         return _region(part, limit)
 
     found = staged(rows.groupBy("region", "task").applyInPandas(region, _REGION_OUT), "found")
-    comps = connected_components(found, "id", "root").select(F.col("node").alias("id"), "component")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = staged(grouped.join(links, "id").join(comps, "id", "left").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "decided")
+    worst = found.agg(F.min("recall")).first()[0]
+    if worst is not None and worst < LEAST_RECALL:
+        raise RuntimeError(f"the search found only {worst:.3f} of the audited links")
+    edges = found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    # rows that share an id are one node
+    own = known.select("vec_id", "key").join(classes.select("key", "id"), "key")
+    same = own.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("vec_id", "a")
+    edges = edges.unionByName(own.join(same, "vec_id").where("id != a").select("a", F.col("id").alias("b")).distinct())
+    comps = connected_components(edges).select(F.col("node").alias("id"), "component")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
+    per_class = classes.select("key", "id", "rep", "copies").join(links, "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = per_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_class = staged(per_class.join(least, "component").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id", "recall"), "decided")
     out = v.select("vec_id", "key").join(per_class, "key", "left")
+    # an id may have another row that is compared
+    ids = out.where("component_id is not null").groupBy("vec_id").agg(F.min("component_id").alias("of_id"))
+    alone = staged(out.where("key is null and vec_id is not null").select("vec_id").distinct().join(ids, "vec_id"), "alone")
+    if not alone.isEmpty():
+        out = out.join(alone, "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "of_id")).drop("of_id")
     own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), "recall")
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings, cosine 0.98 within equal labels: ``vec_id, n_links, component_id, kept``."""
+    """All embeddings, cosine 0.98 within equal labels: ``vec_id, n_links, component_id, kept`` (and ``recall``)."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

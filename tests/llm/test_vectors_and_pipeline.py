@@ -101,13 +101,58 @@ def test_odd_vectors(spark):
 def test_graph_search_recall():
     rng = np.random.default_rng(3)
     x = vector_dedup.unit_rows(np.repeat(rng.normal(size=(500, 32)), 4, axis=0) + rng.normal(scale=0.03, size=(2000, 32)))
-    links, medoids = vector_dedup.build(x)
-    hit = total = 0
-    for i in range(0, 2000, 20):
-        truth = np.flatnonzero(x @ x[i] >= 0.95)
-        hit += len(np.intersect1d(vector_dedup.range_search(x, links, medoids, x[i], 0.95, vector_dedup.BEAM), truth))
-        total += len(truth)
-    assert hit / total >= 0.9 and max(len(a) for a in links) < 400
+    graph = vector_dedup.build(x)
+    queries = np.arange(0, 2000, 20)
+    a, b = vector_dedup.range_search(x, graph, queries, 0.95, vector_dedup.BEAM, vector_dedup.MARGIN)
+    truth = {(i, j) for i in queries.tolist() for j in np.flatnonzero(x @ x[i] >= 0.95).tolist()}
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert got <= truth and len(got) >= 0.9 * len(truth) and np.diff(graph[0]).max() < 400
+
+
+def test_pruned_neighbours_are_not_closer_to_a_kept_one():
+    rng = np.random.default_rng(4)
+    x = vector_dedup.unit_rows(rng.normal(size=(60, 5)))
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1)[:, :20]
+    kept = vector_dedup.robust_prune(sims, top, degree=6)
+    for row in range(60):
+        mine = []
+        for other in top[row]:
+            far = np.sqrt(2 - 2 * sims[row, other])
+            if len(mine) < 6 and all(1.2 * np.sqrt(max(0, 2 - 2 * sims[m, other])) > far for m in mine):
+                mine.append(other)
+        assert top[row][kept[row]].tolist() == mine
+
+
+def test_the_limit_is_kept(spark):
+    """Cosines a little below the limit do not link, in graph and blocks alike; at the limit they do."""
+    def at(cosine):
+        return [cosine, math.sqrt((1 - cosine) * (1 + cosine)), 0.0, 0.0]
+
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], "a"), (1, at(0.9799999995), "a"), (2, [1.0, 0.0, 0.0, 0.0], "b"), (3, at(0.9800000005), "b"), (4, [3.0, 4.0, 0.0, 0.0], "c"), (5, [4.0, 3.0, 0.0, 0.0], "c")]
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    equal = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame(rows[4:], "vec_id bigint, embedding array<double>, label string"), limit=0.96).collect()}
+    assert equal == {4: 1, 5: 1}  # 24 / 25 exactly
+    counts, _ = vector_dedup.block_links(np.array([r[1] for r in rows[:2]]), np.ones(2, int), 0.98)
+    assert counts.tolist() == [0, 0]
+
+
+def test_one_direction_is_one_class(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    rows = [(i, (base * 2.0 ** (i % 40 - 20)).tolist(), 1) for i in range(3000)] + [(3000, (-base).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["recall"]) for r in vector_dedup.near_vectors(df).collect()}
+    assert got == {i: (2999, 0, 1.0) for i in range(3000)} | {3000: (0, 3000, 1.0)}
+
+
+def test_repeated_ids_are_one_node(spark):
+    t, u = [1.0, 0.0], [0.0, 1.0]
+    rows = [(3, t, 1), (5, t, 1), (5, u, 1), (9, u, 1), (9, None, 1), (7, u, 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 0, 7, True), (9, 0, 3, False), (9, 1, 3, False)]
 
 
 def test_pipeline_against_its_parts(spark, odd_docs, tmp_path):
