@@ -2,6 +2,9 @@ import json
 import math
 import random
 import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -20,8 +23,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style
 
 def text_of(html):
     blocks, _ = html_extract.parse(html)
-    inside = [t for t, _, i in blocks if i]
-    return inside or [t for t, _, _ in blocks]
+    inside = [t for t, i in blocks if i]
+    return inside or [t for t, _ in blocks]
 
 
 def test_structure():
@@ -45,6 +48,103 @@ def test_site_templates_are_removed_and_copies_kept(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<body class="has-sidebar"><p>kept</p></body>', ["kept"]),
+        ('<body class="nav-open"><div class="page-wrap"><p>kept</p></div></body>', ["kept"]),
+        ('<article class="post comments-open"><p>kept</p></article>', ["kept"]),
+        ('<article class="story-share-enabled"><p class="notice">kept</p><h2 id="menu">too</h2></article>', ["kept", "too"]),
+        ('<div class="content with-sidebar">kept</div><div class="site-sidebar">out</div><div id="mainNav">out</div><ul class="share-buttons"><li>out</li></ul>', ["kept"]),
+        ('<p title="5" tall">a</p><p data-x=it\'s>b</p><p a = \'>\'>c</p>', ["a", "b", "c"]),
+        ("1 < 2 and <b>bold</b> <unclosed", ["1 < 2 and bold <unclosed"]),
+        ('<p>x <a href="open>y</a> z', ["x y z"]),
+        ("<p>a<!-- <p>no</p> -->b<!doctype x><?php no ?>c", ["abc"]),
+    ],
+)
+def test_broken_and_named_pages(html, want):
+    assert text_of(html) == want
+
+
+def test_reading_is_linear():
+    for page in ('<a "' * 25_000, "<div><p>" * 12_000, '<a b="' * 20_000 + '"', "<b>" * 20_000 + "</i>" * 20_000 + "<div></div>" * 20_000, "<p>word " * 50_000):
+        start = time.process_time()
+        html_extract.parse(page)
+        assert time.process_time() - start < 2
+
+
+class _Tree(HTMLParser):
+    """Well-formed pages as nested lists [tag, attributes, children]."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack = [["", {}, []]]
+        self.feed(html)
+        self.root = self.stack[0]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def _template_pages(rng):
+    """Pages of three hosts: blocks that recur on some of them, in and outside of articles."""
+    pages = []
+    for i in range(150):
+        host = rng.choice(["a", "a", "a", "b", "c"])
+        common = [f"<div><p>box {k} of {host}</p><ul><li>one</li><li>{k}</li></ul></div>" for k in range(8) if rng.random() < k / 8]
+        own = [f"<p>story {rng.randint(0, 120)}</p>" for _ in range(rng.randint(1, 2))] + ["<blockquote>said often</blockquote>"]
+        main = "".join(rng.sample(common + own, len(common + own)))
+        pages.append((i, f"https://{host}.example/{i}", f"<html><body>{main}</body></html>" if rng.random() < 0.5 else f"<html><body><div>around</div><article>{main}</article></body></html>"))
+    return pages
+
+
+def test_templates_equal_brute_force(spark, monkeypatch):
+    for name, value in (("PAGES", 4), ("ARTICLE_PAGES", 9), ("TEXT_PAGES", 30)):
+        monkeypatch.setattr(html_extract, name, value)
+    pages = _template_pages(random.Random(2))
+    texts, kinds = {"p", "blockquote"}, Counter()
+
+    def blocks(node, around, inside):
+        """(text, subtrees around it as written, whether in the article)"""
+        tag, _, children = node
+        if tag not in ("", "html", "body", "article") and not (inside and tag in texts):
+            around = [*around, (json.dumps(node), "inside" if inside else "text" if tag in texts else "outside")]
+        for c in children:
+            if isinstance(c, str):
+                yield c, around, inside
+            else:
+                yield from blocks(c, around, inside or tag == "article" or c[0] == "article")
+
+    parsed = {}
+    for i, url, html in pages:
+        found = list(blocks(_Tree(html).root, [], False))
+        parsed[i] = (url.split("/")[2], [b for b in found if b[2]] or found)
+    seen = {(host, s, tuple(t for t, _, _ in found)) for host, found in parsed.values() for _, around, _ in found for s in around}
+    counts = Counter((host, s) for host, s, _ in seen)
+    least = {"outside": 4, "inside": 9, "text": 30}
+    want = {i: "\n\n".join(t for t, around, _ in found if not any(counts[host, s] >= least[s[1]] for s in around)) for i, (host, found) in parsed.items()}
+    for (_, (_, kind)), c in counts.items():
+        kinds[kind, c >= least[kind]] += 1
+    assert all(kinds[k, yes] for k in least for yes in (True, False))
+    rows = [(*p, "x", "y") for p in pages]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, key string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>line {i} &amp; more</p>" for i in range(60_000)) + "</article>"
+    got = html_extract.extract(spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id bigint, url string, html string")).collect()
+    assert [r["n_chars"] for r in got] == [len("\n\n".join(f"line {i} & more" for i in range(60_000)))] * 2
+
+
 # --- personal data ---
 
 
