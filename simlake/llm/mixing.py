@@ -9,15 +9,16 @@ Sample.  A document's expected copies are target / source words (times its
 importance, if a column for that is given).  The whole part is allocated for
 certain; the fraction is its inclusion probability ``p``.  Documents are ranked
 by ``(u / (1 - u)) / (p / (1 - p))`` (Rosen, 1997), with ``u`` a hash of the
-document's id, and taken in rank order while their words fit into what the source
-still lacks; the sample's size is thereby fixed in words.  One more document, of
-the next ``BALANCE_ROWS`` rows in rank order, is taken if it brings the source
-nearer to its target.
+document's id, and each in turn is taken if its words fit into what the source still
+lacks; the sample's size is thereby fixed in words.
 
-Scale.  Only (source, id, words) are staged.  The cut in a source's order is found
-by histograms, which are summed before any shuffle, so a source may hold any share
-of the rows: no source is ever sorted as a whole.  The decision is a comparison
-with one row for each source, so texts are never shuffled.
+Scale.  Only (source, id, words) are staged.  What is taken of a source is a list of
+ranges of its order with a bound on the words of a document: a range ends at a document
+within the bound that no longer fits, and the next begins there with what is then
+lacking.  The end of a range is found by histograms, which are summed before any
+shuffle, so a source may hold any share of the rows: no source is ever sorted as a whole,
+and one task walks over ``RANK_ROWS`` rows at most.  The decision is a comparison with one
+row for each source, so texts are never shuffled.
 
 Defined results.  A null text has 0 words and is taken ``whole part`` times.  Rows
 that repeat id and size within a source are one lot: taken together or not at all.
@@ -29,7 +30,9 @@ but that of the added columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +42,6 @@ from simlake.plans.staging import small, staged
 
 #: Bins of one refinement of a source's order, and rows that one task may rank.
 BINS, RANK_ROWS = 64, 10_000
-#: Rows after the cut of which one may fill up the source.
-BALANCE_ROWS = 256
 WEIGHTS = (5, 2, 1)
 
 
@@ -80,6 +81,8 @@ def _ranked(rows: DataFrame, importance: str | None, max_copies: int) -> DataFra
 
 
 _TUPLE = ("x", "_id", "_size")
+_POINT = "struct<x: double, _id: string, _size: bigint>"
+_RANGES = f"array<struct<start: {_POINT}, last: {_POINT}, most: double>>"
 
 
 def decisions(docs: DataFrame, size: Column, *, weights: Sequence[int] = WEIGHTS, max_copies: int = 3, seed: str = "mix", importance: str | None = None, name: str = "mix") -> tuple[DataFrame, DataFrame]:
@@ -93,28 +96,56 @@ def decisions(docs: DataFrame, size: Column, *, weights: Sequence[int] = WEIGHTS
         sources = sources.join(sums.select(F.col("source").alias("s2"), "mean_importance"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     sources = staged(sources, name)
     ranked = _ranked(_with_source(narrow, sources), importance, max_copies)
-    rest = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("_size"))).alias("rest"), F.count("x").alias("n"))
-    # the interval of x that holds the cut, what lies before it, and how many rows it has
-    cut = staged(rest.select("source", "rest", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("before"), "n", F.lit(1.0).alias("width")), name)
-    while cut.where((F.col("n") > RANK_ROWS) & (F.col("width") > 1e-13)).limit(1).count():
-        cut = staged(_narrowed(ranked, cut), name)
-    inside = _with_source(ranked.where("x is not null").select("source", *_TUPLE), cut).where("x >= lo and x < hi")
-    lots = inside.groupBy("source", *_TUPLE).agg(F.count("*").alias("k"), F.sum("_size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
-    upto = W.partitionBy("source").orderBy(*_TUPLE).rowsBetween(W.unboundedPreceding, W.currentRow)
-    lots = lots.withColumns({"cum": F.sum("words").over(upto) + F.col("before"), "rows": F.sum("k").over(upto)})
-    lots = lots.withColumn("fits", F.col("cum") <= F.col("rest"))
-    by = W.partitionBy("source")
-    lots = lots.withColumns({"gap": F.col("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("cum"))).over(by), F.col("before")), "at": F.coalesce(F.max(F.when(F.col("fits"), F.col("rows"))).over(by), F.lit(0))})
-    off = F.abs(F.col("words") - F.col("gap"))
-    may = ~F.col("fits") & (F.col("rows") - F.col("k") < F.col("at") + BALANCE_ROWS) & (off < F.col("gap"))
-    ends = lots.groupBy("source").agg(
-        F.max(F.when(F.col("fits"), F.struct(*_TUPLE))).alias("end"),
-        F.min(F.when(may, F.struct(off.alias("off"), *_TUPLE))).alias("fill"),
-    )
-    left = cut.select(F.col("source").alias("s2"), "lo")
-    plan = sources.join(left, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    ends = ends.select(F.col("source").alias("s2"), "end", F.struct(*(F.col(f"fill.{c}").alias(c) for c in _TUPLE)).alias("fill"))
-    return narrow, staged(plan.join(ends, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"), name)
+    rest = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("_size"))).alias("gap"))
+    state = staged(rest.withColumn("start", F.lit(None).cast(_POINT)), name)
+    found = []
+    while True:
+        rows = _with_source(ranked.where("x is not null").select("source", *_TUPLE), state).where(F.coalesce(F.struct(*_TUPLE) > F.col("start"), F.lit(True)) & (F.col("_size") <= F.col("gap")))
+        rest = rows.groupBy("source").agg(F.first("gap").alias("gap"), F.first("start").alias("start"), F.count("*").alias("n"))
+        # the interval of x that holds the end of the range, what lies before it, and how many rows it has
+        cut = staged(rest.select("source", "gap", "start", (F.col("n") <= RANK_ROWS).alias("whole_rest"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("before"), "n", F.lit(1.0).alias("width")), name)
+        if cut.isEmpty():
+            break
+        while not cut.where((F.col("n") > RANK_ROWS) & (F.col("width") > 1e-13)).isEmpty():
+            cut = staged(_narrowed(rows.select("source", *_TUPLE), cut), name)
+        inside = _with_source(rows.select("source", *_TUPLE), cut).where("x >= lo and x < hi")
+        lots = inside.groupBy("source", *_TUPLE).agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("gap", "start", "before", "whole_rest")))
+        types = dict(lots.dtypes)
+        out = f"source {types['source']}, ranges {_RANGES}, gap double, start {_POINT}"
+        ends = staged(lots.groupBy("source").applyInPandas(_filled, out), name)
+        found.append(ends.select("source", F.explode("ranges").alias("range")))
+        state = staged(ends.where("start is not null").select("source", "gap", "start"), name)
+        if state.isEmpty():
+            break
+    if not found:
+        return narrow, staged(sources.withColumn("ranges", F.array().cast(_RANGES)), name)
+    ranges = reduce(DataFrame.unionByName, found).groupBy(F.col("source").alias("s2")).agg(F.collect_list("range").alias("ranges"))
+    return narrow, staged(sources.join(ranges, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"), name)
+
+
+def _filled(lots: pd.DataFrame) -> pd.DataFrame:
+    """The ranges taken of one source's rows; where rows follow that are not here, only up to the first lot that does not fit."""
+    lots = lots.sort_values(list(_TUPLE), kind="stable")
+    head, point = lots.iloc[0], lambda r: None if r is None else {"x": r[0], "_id": r[1], "_size": r[2]}
+    most, start = head["gap"], head["start"]
+    start = tuple(start) if start is not None and not isinstance(start, dict) else tuple(start.values()) if start else None
+    gap, last, ranges, stopped = most - head["before"], None, [], None
+    # what lies before these rows is taken
+    begun = head["before"] > 0
+    for x, i, size, k in lots[[*_TUPLE, "k"]].itertuples(index=False, name=None):
+        if k * size <= gap:
+            gap, last, begun = gap - k * size, (x, i, size), True
+        elif size <= most:
+            if begun:
+                ranges.append({"start": point(start), "last": point(last or (x, "", -1)), "most": most})
+            start, last, begun, most = (x, i, size), None, False, gap
+            if not head["whole_rest"]:
+                stopped = start
+                break
+    if begun:
+        end = tuple(lots[list(_TUPLE)].iloc[-1]) if last is None else last
+        ranges.append({"start": point(start), "last": point(end), "most": most})
+    return pd.DataFrame({"source": [head["source"]], "ranges": [ranges], "gap": [gap], "start": [point(stopped)]})
 
 
 def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -123,35 +154,31 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return rows.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-def _narrowed(ranked: DataFrame, cut: DataFrame) -> DataFrame:
-    """Refine each source's interval: to the bin with the cut, and as many bins more as hold the rows that may fill up."""
-    rows = _with_source(ranked.where("x is not null").select("source", "x", "_size"), cut).where("x >= lo and x < hi")
+def _narrowed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Refine each source's interval to the bin that holds the end of the range."""
+    rows = _with_source(rows, cut).where("x >= lo and x < hi")
     bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1))
-    hist = rows.withColumn("bin", bin_).groupBy("source", "bin").agg(F.sum("_size").alias("words"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("rest", "lo", "hi", "before", "n", "width")))
-    upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    keep = ("gap", "start", "whole_rest", "lo", "hi", "before", "n", "width")
+    hist = rows.withColumn("bin", bin_).groupBy("source", "bin").agg(F.sum("_size").alias("words"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in keep))
     by = W.partitionBy("source")
-    hist = hist.withColumns({"cum": F.sum("words").over(upto) + F.col("before"), "rows": F.sum("k").over(upto)})
-    last = F.max("bin").over(by)
-    hist = hist.withColumn("first", F.coalesce(F.min(F.when(F.col("cum") > F.col("rest"), F.col("bin"))).over(by), last))
-    hist = hist.withColumn("need", F.max(F.when(F.col("bin") == F.col("first"), F.col("rows"))).over(by) + BALANCE_ROWS)
-    hist = hist.withColumn("end", F.coalesce(F.min(F.when(F.col("rows") >= F.col("need"), F.col("bin"))).over(by), last))
-    edge = lambda c: F.first("lo") + F.first("width") * F.first(c) / BINS
+    hist = hist.withColumn("cum", F.sum("words").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("before"))
+    hist = hist.withColumn("at", F.coalesce(F.min(F.when(F.col("cum") > F.col("gap"), F.col("bin"))).over(by), F.max("bin").over(by)))
+    open_ = F.first("n") > RANK_ROWS
+    lo = F.first("lo") + F.first("width") * F.first("at") / BINS
     new = hist.groupBy("source").agg(
-        F.first("rest").alias("rest"), F.when(F.first("n") > RANK_ROWS, edge("first")).otherwise(F.first("lo")).alias("lo"),
-        F.when((F.first("n") > RANK_ROWS) & (F.first("end") < BINS - 1), edge("end") + F.first("width") / BINS).otherwise(F.first("hi")).alias("hi"),
-        F.when(F.first("n") > RANK_ROWS, F.first("before") + F.coalesce(F.sum(F.when(F.col("bin") < F.col("first"), F.col("words"))), F.lit(0))).otherwise(F.first("before")).alias("before"),
-        F.when(F.first("n") > RANK_ROWS, F.sum(F.when((F.col("bin") >= F.col("first")) & (F.col("bin") <= F.col("end")), F.col("k")))).otherwise(F.first("n")).alias("n"),
+        *(F.first(c).alias(c) for c in ("gap", "start", "whole_rest")),
+        F.when(open_, lo).otherwise(F.first("lo")).alias("lo"),
+        F.when(open_ & (F.first("at") < BINS - 1), lo + F.first("width") / BINS).otherwise(F.first("hi")).alias("hi"),
+        F.when(open_, F.first("before") + F.coalesce(F.sum(F.when(F.col("bin") < F.col("at"), F.col("words"))), F.lit(0))).otherwise(F.first("before")).alias("before"),
+        F.when(open_, F.sum(F.when(F.col("bin") == F.col("at"), F.col("k")))).otherwise(F.first("n")).alias("n"),
     )
-    new = new.withColumn("width", F.col("hi") - F.col("lo")).select("source", "rest", "lo", "hi", "before", "n", "width")
-    # sources without rows to sample have no histogram
-    none = cut.join(new.select(F.col("source").alias("s2")), F.col("source").eqNullSafe(F.col("s2")), "left_anti")
-    return new.unionByName(none.select(new.columns))
+    return new.withColumn("width", F.col("hi") - F.col("lo")).select(cut.columns)
 
 
 def _taken() -> Column:
-    me = F.struct(*_TUPLE)
-    sampled = F.col("x").isNotNull() & ((F.col("x") < F.col("lo")) | F.coalesce(me <= F.col("end"), F.lit(False)) | F.coalesce(me == F.col("fill"), F.lit(False)))
-    return F.col("whole") + sampled.cast("long")
+    me, size = F.struct(*_TUPLE), F.col("_size")
+    within = F.exists("ranges", lambda r: F.coalesce(me > r["start"], F.lit(True)) & (me <= r["last"]) & (size <= r["most"]))
+    return F.col("whole") + F.coalesce(F.col("x").isNotNull() & within, F.lit(False)).cast("long")
 
 
 def mix_counts(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_copies: int = 3, seed: str = "mix", importance: str | None = None) -> DataFrame:
@@ -181,7 +208,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op1_mixing": r"""
-with d as (
+with recursive d as (
   select doc_id, source, coalesce(cast(doc_id as varchar), '') as i,
     cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
     (cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':mix'), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0 as u
@@ -199,17 +226,17 @@ r as (select d.*, s.source_size, s.target, least(case when s.source_size > 0 the
 q as (select *, cast(floor(e) as bigint) as whole, e - floor(e) as p from r),
 x as (select *, case when p > 0 and size > 0 then (u / (1 - u)) / (p / (1 - p)) end as z from q),
 rest as (select source, any_value(target) - sum(whole * size) as rest from x group by source),
-lots as (select source, z / (1 + z) as x, i, size, count(*) as k, sum(size) as words from x where z is not null group by source, z, i, size),
-c as (select lots.*, rest, sum(words) over o as cum, sum(k) over o as n from lots join rest on lots.source is not distinct from rest.source
-  window o as (partition by lots.source order by x, i, size rows unbounded preceding)),
-g as (select *, rest - coalesce(max(cum) filter (cum <= rest) over (partition by source), 0) as gap,
-    coalesce(max(n) filter (cum <= rest) over (partition by source), 0) as done from c),
-f as (select source, arg_min({'i': i, 'size': size}, {'o': abs(words - gap), 'x': x, 'i': i, 'size': size}) as pick from g
-  where cum > rest and n - k < done + 256 and abs(words - gap) < gap group by source),
-t as (select x.doc_id, x.size, x.source_size, x.target,
-    x.whole + cast(coalesce(c.cum <= c.rest, false) or coalesce(f.pick.i = x.i and f.pick.size = x.size and x.z is not null, false) as bigint) as copies
-  from x left join c on x.source is not distinct from c.source and x.i = c.i and x.size = c.size and x.z is not null
-  left join f on x.source is not distinct from f.source)
+lots as (select sid, z / (1 + z) as x, i, size, sum(size) as words, row_number() over (partition by sid order by z / (1 + z), i, size) as rn
+  from (select *, coalesce('s' || source, 'null') as sid from x) where z is not null group by sid, z, i, size),
+runs(sid, pos, gap, after, last, most) as (
+  select coalesce('s' || source, 'null'), 0::bigint, rest, null::bigint, null::bigint, null::double from rest
+  union all
+  select sid, min(rn) filter (cum > gap), any_value(gap) - coalesce(max(cum) filter (cum <= gap), 0), any_value(pos), max(rn) filter (cum <= gap), any_value(gap)
+  from (select r.sid, r.pos, r.gap, l.rn, sum(l.words) over (partition by r.sid order by l.rn rows unbounded preceding) as cum
+    from runs r join lots l on l.sid = r.sid and l.rn > r.pos and l.size <= r.gap) group by sid),
+picked as (select distinct l.sid, l.i, l.size from lots l join runs r on l.sid = r.sid and l.rn > r.after and l.rn <= r.last and l.size <= r.most),
+t as (select x.doc_id, x.size, x.source_size, x.target, x.whole + cast(p.i is not null as bigint) as copies
+  from x left join picked p on p.sid = coalesce('s' || x.source, 'null') and p.i = x.i and p.size = x.size and x.z is not null)
 select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, copies from t
 """,
 }

@@ -1,5 +1,9 @@
+import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from simlake.llm import mixing
 
 
@@ -54,6 +58,49 @@ def test_targets_are_met_when_the_order_is_refined(spark, monkeypatch):
     assert fine == sorted(map(tuple, mixing.mix_counts(docs).collect()))
 
 
+def greedy(rows):
+    """Copies of each (source, id, size) by walking over each source's order, one lot after the other."""
+    sizes = {}
+    for source, _, n in rows:
+        sizes[source] = sizes.get(source, 0) + n
+    target, copies = water_level(sizes), {}
+    for source, total in sizes.items():
+        e = min(3.0, target[source] / total) if total else 0.0
+        lots = {}
+        for s, i, n in rows:
+            if s == source:
+                lots[i, n] = lots.get((i, n), 0) + 1
+        gap, order = target[source] - sum(int(e) * n * k for (_, n), k in lots.items()), []
+        for i, n in lots:
+            u = (int(hashlib.md5(f"{'' if i is None else i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if e > int(e) and n:
+                q = (u / (1 - u)) / ((e - int(e)) / (1 - (e - int(e))))
+                order.append((q / (1 + q), "" if i is None else str(i), n, lots[i, n], i))
+        copies |= {(source, i, n): int(e) for i, n in lots}
+        for _, _, n, k, i in sorted(order, key=lambda o: o[:3]):
+            if n * k <= gap:
+                gap -= n * k
+                copies[source, i, n] += 1
+    return copies
+
+
+@pytest.mark.parametrize("rank_rows", [10_000, 40])
+def test_what_does_not_fit_is_passed_over(spark, monkeypatch, rank_rows):
+    monkeypatch.setattr(mixing, "RANK_ROWS", rank_rows)
+    rng = random.Random(8)
+    rows = [("a", i, 40_000 if i == 50 else 100) for i in range(101)] + [("b", 1000 + i, rng.choice([1, 3, 10, 400, 5000])) for i in range(300)]
+    rows += [("c", 2000 + i, rng.randint(0, 30)) for i in range(200)] + [(None, 3000 + i % 20, rng.choice([2, 50])) for i in range(200)] + [("", 5000, 7)] * 9 + [("d", None, 4)] * 3
+    docs = spark.createDataFrame([(s, i, "w " * n) for s, i, n in rows], "source string, doc_id bigint, text string").withColumn("x", F.lit(1)).withColumn("gap", F.lit("g"))
+    got = mixing.mix_counts(docs).collect()
+    want = greedy(rows)
+    assert {(r["source"], r["doc_id"], r["size"]): r["copies"] for r in got} == want
+    taken, target = {}, {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(target[s] - taken[s]) <= 100 for s in ("a", "b", "c"))
+    assert mixing.mix(docs).count() == sum(r["copies"] for r in got)
+
+
 def test_importance_changes_inclusion(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a", float(i % 2)) for i in range(400)], "doc_id bigint, text string, source string, quality double")
     rows = mixing.mix_counts(docs, importance="quality").collect()
