@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,22 @@ def largest_difference(a: str | Column, b: str | Column) -> Column:
 
 
 def hash_embedding(text: str | Column, dimensions: int = 256) -> Column:
-    """Counts of lower-cased words hashed into ``dimensions`` buckets, to unit length; null without words."""
+    """Counts of lower-cased words hashed into ``dimensions`` buckets, to unit length; null without words.
+
+    Words and their buckets are found in the JVM; a text's buckets are counted in one pass
+    over an Arrow batch.
+    """
     words = F.filter(F.split(F.lower(_c(text)), "[^a-z0-9]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dimensions)
-    each = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    counts = bound(buckets, lambda b: F.transform(each, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double")))
-    return bound(counts, lambda c: F.when(F.exists(c, lambda x: x > 0), normalised(c)))
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dimensions).cast("int"))
+
+    def counted(column: pd.Series) -> pd.Series:
+        def one(found: np.ndarray | None) -> np.ndarray | None:
+            if found is None or not len(found):
+                return None
+            n = np.bincount(found, minlength=dimensions).astype(np.float64)
+            return n / np.sqrt(n @ n)
+
+        return column.map(one)
+
+    counted.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(counted, "array<double>")(buckets)

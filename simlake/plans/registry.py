@@ -30,16 +30,23 @@ DUPLICATES = duplicates.DuplicateConfig(candidate_threshold=0.30, similarity_thr
 UNBOUNDED = duplicates.DuplicateConfig(candidate_threshold=0.30, similarity_threshold=0.40, rerank_threshold=1.5, min_semantic_body_node_count=15, max_edges_per_unit=10**9, max_cluster_size=10**9, max_semantic_cluster_size=10**9)
 COMPARE = C.CompareConfig(candidate_threshold=0.25, match_threshold=0.36, top_k_per_unit=3, min_body_node_count=12, max_right_candidate_fanout=2)
 
+# the rules for tests, documents and shared helpers as SQL over relative_path and scope
+_DIRS = "list_transform(string_split(relative_path, '/')[1:len(string_split(relative_path, '/')) - 1], lambda x: lower(x))"
+_FILE = "string_split(lower(string_split(relative_path, '/')[-1]), '.')"
+_IS_TEST = f"""(list_has_any({_DIRS}, [{', '.join(f"'{d}'" for d in P.TEST_DOC_DIRS)}]) or array_to_string({_FILE}, '.') = 'conftest.py' or starts_with({_FILE}[1], 'test_') or ends_with({_FILE}[1], '_test')
+  or {_FILE}[1] in ('test', 'tests') or list_has_any({_FILE}[2:len({_FILE}) - 1], ['test', 'spec']) or split_part(coalesce(scope, ''), '.', 1) in ('tests', 'test'))"""
+_IS_GENERIC = f"""list_has_any({_DIRS}, [{', '.join(f"'{d}'" for d in P.GENERIC_DIRS)}])"""
+
 U = """
 u as (select vec_id as unit_idx, case when vec_id % 2 = 0 then 'v1' else 'v2' end as project,
-  'm' || label || '/d' || (vec_id % 7) || '/u' || (vec_id // 4) || case when vec_id % 11 = 0 then '_test.rs' else '.rs' end as relative_path,
+  'm' || label || '/' || case vec_id % 7 when 3 then 'Utils' when 5 then 'examples' else 'd' || (vec_id % 7) end || '/u' || (vec_id // 4)
+    || case vec_id % 11 when 0 then '_test.rs' when 4 then '.spec.rs' else '.rs' end as relative_path,
   case when vec_id % 3 = 0 then 'python' else 'rust' end as language, case when vec_id % 5 = 0 then 'method' else 'function' end as kind,
-  'f' || (vec_id % 25) as name, case when vec_id % 4 <> 0 then 'S' || label end as scope,
+  'f' || case when vec_id % 3 = 0 then vec_id // 4 else vec_id % 25 end as name, case when vec_id % 4 <> 0 then 'S' || label end as scope,
   (vec_id % 4) * 60 as start_byte, (vec_id % 4) * 60 + 80 as end_byte, (vec_id % 4) * 6 + 1 as start_line, (vec_id % 4) * 6 + 9 as end_line,
   10 + vec_id % 30 as body_node_count, sha256('body:' || case when vec_id % 10 = 9 then vec_id - 1 else vec_id end) as body_hash from embeddings),
 e as (select sha256('body:' || vec_id) as body_hash, embedding::double[] as vector from embeddings where vec_id % 10 <> 9 and vec_id % 50 <> 7),
-uv as (select u.*, e.vector, regexp_replace(relative_path, '/?[^/]*$', '') as dir, split_part(relative_path, '/', 1) as module from u left join e using (body_hash))
-"""
+uv as (select u.*, e.vector, regexp_replace(relative_path, '/?[^/]*$', '') as dir, split_part(relative_path, '/', 1) as module, """ + f"{_IS_TEST} as is_test, {_IS_GENERIC} as is_generic from u left join e using (body_hash))\n"
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +100,17 @@ def a3(spark, d):
 
 @query(
     "f1_where",
-    """x as (select unit_idx, relative_path, name from u where project = 'v1' and (regexp_full_match(relative_path, 'm1/.*') or regexp_full_match(relative_path, 'm[^/]*/d3/[^/]*'))
+    """x as (select unit_idx, relative_path, name from u where project = 'v1' and (regexp_full_match(relative_path, 'm1/.*') or regexp_full_match(relative_path, 'm[^/]*/d2/[^/]*'))
     and regexp_full_match(name, 'f1.*') and body_node_count >= 15) select * from x""",
 )
 def f1(spark, d):
-    return units_from_embeddings(spark, d).where(parse(["project=v1", "path=m1/**", "path=m*/d3/*", "name=f1*", "min_nodes=15"])).select("unit_idx", "relative_path", "name")
+    return units_from_embeddings(spark, d).where(parse(["project=v1", "path=m1/**", "path=m*/d2/*", "name=f1*", "min_nodes=15"])).select("unit_idx", "relative_path", "name")
 
 
 @query(
     "f10_f11_x1_path_flags",
     """x as (select unit_idx, dir as directory, module, concat_ws('.', scope, name) as display_name, project || ':' || relative_path as location,
-      vec_test as is_test, false as is_generic, case when dir = '' then '.' else dir end as group_label
-      from (select *, unit_idx % 11 = 0 as vec_test from uv)) select * from x""",
+      is_test, is_generic, case when dir = '' then '.' else dir end as group_label from uv) select * from x""",
 )
 def f10(spark, d):
     rows = units_from_embeddings(spark, d)
@@ -126,14 +132,14 @@ _HINT = """least((case when lower(a.name) = lower(b.name) then 0.02::double when
 @query(
     "x3_x7_pair_metrics",
     f"""{_PAIR} x as (select a.unit_idx as a, b.unit_idx as b, {_DISTANCE} as distance, {_GAP} as line_gap, a.start_byte < b.end_byte and b.start_byte < a.end_byte as overlap,
-      round({_BOOST}, 6) as boost, round({_HINT}, 6) as hint from a join b on b.unit_idx = a.unit_idx + 2) select * from x""",
+      round({_BOOST}, 6) as boost, round({_HINT}, 6) as hint from a join b on a.name = b.name and a.unit_idx < b.unit_idx) select * from x""",
 )
 def x3(spark, d):
     cols = ["project", "relative_path", "name", "start_byte", "end_byte", "start_line", "end_line"]
     rows = units_from_embeddings(spark, d)
     left, a = duplicates.side(rows, "a", cols)
     right, b = duplicates.side(rows, "b", cols)
-    return left.join(right, F.col("b") == F.col("a") + 2).select(
+    return left.join(right, (F.col(a["name"]) == F.col(b["name"])) & (F.col("a") < F.col("b"))).select(
         "a", "b", P.path_distance(a["relative_path"], b["relative_path"]).alias("distance"), P.line_gap(a["start_line"], a["end_line"], b["start_line"], b["end_line"]).alias("line_gap"),
         P.spans_overlap(a["start_byte"], a["end_byte"], b["start_byte"], b["end_byte"]).alias("overlap"), F.round(P.distance_boost(a, b), 6).alias("boost"), F.round(P.hint_bonus(a, b), 6).alias("hint"),
     )
@@ -165,7 +171,7 @@ def e4(spark, d):
 
 @query("j1_units_embeddings", "x as (select unit_idx, body_hash, coalesce(len(vector), 0) as dimensions, round(list_dot_product(vector, vector), 6) as norm2 from uv) select * from x")
 def j1(spark, d):
-    return units(spark, d).select("unit_idx", "body_hash", F.coalesce(F.size("vector"), F.lit(0)).alias("dimensions") if False else F.when(F.col("vector").isNull(), 0).otherwise(F.size("vector")).cast("long").alias("dimensions"), F.round(dot("vector", "vector"), 6).alias("norm2"))
+    return units(spark, d).select("unit_idx", "body_hash", F.when(F.col("vector").isNull(), 0).otherwise(F.size("vector")).cast("long").alias("dimensions"), F.round(dot("vector", "vector"), 6).alias("norm2"))
 
 
 _RAW = "list_dot_product(a.vector, b.vector)"
@@ -218,12 +224,12 @@ def j4(spark, d):
     return found.select(F.col("left")[0].alias("left_unit"), F.array_join(F.col("right").cast("array<string>"), ",").alias("rights"))
 
 
-_NAMES = """n as (select project, lower(name) as name, kind, language, count(*) as c, any_value(unit_idx) as id from uv where unit_idx % 13 = 1 group by all having count(*) = 1)"""
+_NAMES = """n as (select project, lower(name) as name, kind, language, count(*) as c, any_value(unit_idx) as id from uv group by all having count(*) = 1)"""
 
 
 @query("j8_same_name", f"{_NAMES}, x as (select l.id as l, r.id as r from n l join n r using (name, kind, language) where l.project = 'v1' and r.project = 'v2') select * from x")
 def j8(spark, d):
-    u = units(spark, d).where("unit_idx % 13 = 1")
+    u = units(spark, d)
     left, right = (C.unique_names(u.where(F.col("project") == p)).select("key", F.col("id").alias(n)) for p, n in (("v1", "l"), ("v2", "r")))
     return left.join(right, "key").select("l", "r")
 
@@ -418,7 +424,7 @@ def g2(spark, d):
     f"""{_ranked(0.40, 1.5)}, {_COMPS}, m as (select cluster, uv.* from comp join uv using (unit_idx)),
     top as (select cluster, max(raw) as raw, max(boosted) as boosted from ranked join comp on a = unit_idx group by 1)
     select substr(sha256(string_agg(relative_path || chr(0) || body_hash, chr(10) order by relative_path || chr(0) || body_hash)), 1, 16) as hash, count(*) as size, count(distinct body_hash) as bodies,
-      case when count(*) filter (unit_idx % 11 = 0) = 0 then 'product' when count(*) filter (unit_idx % 11 = 0) = count(*) then 'test_or_docs' else 'mixed' end as kind,
+      case when count(*) filter (is_test) = 0 then 'product' when count(*) filter (is_test) = count(*) then 'test_or_docs' else 'mixed' end as kind,
       round(any_value(raw), 6) as top_raw, round(any_value(boosted), 6) as top_boosted, string_agg(unit_idx::varchar, ',' order by unit_idx) as members from m join top using (cluster) group by cluster""",
 )
 def dup_clusters(spark, d):
@@ -444,8 +450,8 @@ def a6(spark, d):
     "a13_cross_directory",
     f"""{_ranked(0.40, 1.5)}, {_COMPS}, m as (select cluster, uv.* from comp join uv using (unit_idx)), {_SPREAD.format(key="cluster", rows="m")},
     heads as (select cluster, substr(sha256(string_agg(relative_path || chr(0) || body_hash, chr(10) order by relative_path || chr(0) || body_hash)), 1, 16) as hash, string_agg(distinct module, ',' order by module) as modules,
-      count(distinct module) as nm, count(distinct scope) as ns from m group by 1)
-    select hash, modules, round(dispersion, 6) as dispersion, round(entropy, 6) as directory_entropy, round((dispersion + entropy + nm) * case when ns >= 2 then 1.5::double else 1.0::double end, 6) as score
+      count(distinct module) as nm, count(distinct scope) as ns, 2 * count(*) filter (is_generic) > count(*) as helper from m group by 1)
+    select hash, modules, round(dispersion, 6) as dispersion, round(entropy, 6) as directory_entropy, round((dispersion + entropy + nm) * case when helper then 0.4::double else 1.0::double end * case when ns >= 2 then 1.5::double else 1.0::double end, 6) as score
     from heads join disp using (cluster) join ent using (cluster) where nm >= 2 or dispersion >= 1""",
 )
 def a13(spark, d):
@@ -617,7 +623,7 @@ def a20(spark, d):
     return rows.select("class", _joined("left").alias("left_units"), _joined("right").alias("right_units"), F.round("score", 6).alias("score"))
 
 
-_KINDS = "kk as (select cluster, case when count(*) filter (unit_idx % 11 = 0) = 0 then 'product' when count(*) filter (unit_idx % 11 = 0) = count(*) then 'test_or_docs' else 'mixed' end as kind from comp group by cluster)"
+_KINDS = "kk as (select cluster, case when count(*) filter (is_test) = 0 then 'product' when count(*) filter (is_test) = count(*) then 'test_or_docs' else 'mixed' end as kind from comp join uv using (unit_idx) group by cluster)"
 
 
 @query("a7_cluster_kinds", f"{_ranked(0.40, 1.5)}, {_COMPS}, {_KINDS} select kind, count(*) as clusters from kk group by kind")

@@ -22,10 +22,12 @@ _written: dict[str, list[str]] = {}
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is configured."""
+    """The shared folder of the session; a local one only where driver and executors are one process and none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
         _own_base[app] = "file://" + tempfile.mkdtemp(prefix="simlake-")

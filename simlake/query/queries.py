@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from simlake.functions.paths import unit_id
@@ -42,6 +42,13 @@ def _scored(units: DataFrame, vector: Sequence[float], where: Column, threshold:
     return units.where(F.col("vector").isNotNull() & where).withColumn("score", dot("vector", q)).where(F.col("score") >= threshold)
 
 
+def _top(found: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The best ``limit`` rows and the number of all, from one pass over them."""
+    seen = Observation()
+    rows = found.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.desc("score"), "unit_idx").limit(limit).collect()
+    return found.sparkSession.createDataFrame(rows, found.schema), seen.get["n"]
+
+
 def similar(units: DataFrame, unit_idx: int, where: Iterable[str] = (), limit: int = 20, threshold: float = -1.0) -> tuple[DataFrame, int]:
     """The nearest other units of one unit, and how many pass the filters; raises if it has no vector."""
     own = units.where(F.col("unit_idx") == unit_idx).select("vector").first()
@@ -49,14 +56,25 @@ def similar(units: DataFrame, unit_idx: int, where: Iterable[str] = (), limit: i
         raise NotFound(f"no unit {unit_idx}")
     if own["vector"] is None:
         raise ValueError(f"unit {unit_idx} is not embedded")
-    found = _scored(units, own["vector"], parse(where) & (F.col("unit_idx") != unit_idx), threshold)
-    return found.orderBy(F.desc("score"), "unit_idx").limit(limit), found.count()
+    return _top(_scored(units, own["vector"], parse(where) & (F.col("unit_idx") != unit_idx), threshold).drop("vector"), limit)
 
 
 def search(units: DataFrame, vector: Sequence[float], where: Iterable[str] = (), limit: int = 20) -> tuple[DataFrame, int]:
     """The units nearest to a query's vector, and how many embedded units pass the filter."""
-    found = _scored(units, vector, parse(where), -1.0)
-    return found.orderBy(F.desc("score"), "unit_idx").limit(limit), found.count()
+    return _top(_scored(units, vector, parse(where), -1.0).drop("vector"), limit)
+
+
+def why(score: Column | str, evidence: dict[str, str], where: Iterable[str] = (), threshold: float | None = None) -> Column:
+    """Evidence for a hit: its scores, what it was compared with, and what decided."""
+    decision = [F.lit("vector_rank").alias("reason"), F.array(*map(F.lit, where)).cast("array<string>").alias("filters"), F.lit(threshold).cast("double").alias("threshold"), F.lit(False).alias("suppressed")]
+    source = F.struct(F.lit("vector").alias("source"), *(F.lit(v).alias(k) for k, v in evidence.items()))
+    score = F.col(score) if isinstance(score, str) else score
+    return F.struct(F.struct(score.alias("cosine")).alias("scores"), F.array(source).alias("evidence"), F.struct(*decision).alias("decision"))
+
+
+def unit_line() -> Column:
+    """A unit as a line of text: id, place, kind, name and scope."""
+    return F.concat_ws(" ", unit_id(), F.format_string("%s:%s:%d-%d", "project", "relative_path", "start_line", "end_line"), "kind", "name", F.when(F.col("scope").isNotNull(), F.concat(F.lit("("), "scope", F.lit(")"))))
 
 
 def envelope(rows: DataFrame, matched: int, limit: int | None) -> dict:

@@ -17,11 +17,13 @@ def units_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     rows = table(spark, sf_dir, "embeddings")
     body = F.when(i % 10 == 9, i - 1).otherwise(i)
+    below = F.when(i % 7 == 3, "Utils").when(i % 7 == 5, "examples").otherwise(F.concat(F.lit("d"), (i % 7).cast("string")))
+    ending = F.when(i % 11 == 0, "_test.rs").when(i % 11 == 4, ".spec.rs").otherwise(".rs")
     return rows.select(
         i.alias("unit_idx"), F.when(i % 2 == 0, "v1").otherwise("v2").alias("project"),
-        F.concat(F.lit("m"), F.col("label").cast("string"), F.lit("/d"), (i % 7).cast("string"), F.lit("/u"), F.floor(i / 4).cast("string"), F.when(i % 11 == 0, "_test.rs").otherwise(".rs")).alias("relative_path"),
+        F.concat_ws("/", F.concat(F.lit("m"), F.col("label").cast("string")), below, F.concat(F.lit("u"), F.floor(i / 4).cast("string"), ending)).alias("relative_path"),
         F.when(i % 3 == 0, "python").otherwise("rust").alias("language"), F.when(i % 5 == 0, "method").otherwise("function").alias("kind"),
-        F.concat(F.lit("f"), (i % 25).cast("string")).alias("name"), F.when(i % 4 != 0, F.concat(F.lit("S"), F.col("label").cast("string"))).alias("scope"),
+        F.concat(F.lit("f"), F.when(i % 3 == 0, F.floor(i / 4)).otherwise(i % 25).cast("string")).alias("name"), F.when(i % 4 != 0, F.concat(F.lit("S"), F.col("label").cast("string"))).alias("scope"),
         ((i % 4) * 60).alias("start_byte"), ((i % 4) * 60 + 80).alias("end_byte"), ((i % 4) * 6 + 1).alias("start_line"), ((i % 4) * 6 + 9).alias("end_line"),
         (F.lit(10) + i % 30).alias("body_node_count"), F.sha2(F.concat(F.lit("body:"), body.cast("string")), 256).alias("body_hash"),
     )
