@@ -7,16 +7,19 @@ matches, missing and new units are aggregates and anti-joins, in any order of ro
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.analyze.duplicates import side
 from simlake.functions import paths as P
 from simlake.functions.vectors import dot
-from simlake.operators.similarity import top_k_between
+from simlake.operators.index import ExactBlocks, SimilarityIndex
+from simlake.operators.ranks import positions, rank_pick
 from simlake.plans.staging import staged
 
 CLASSES = ("exact_copy", "strong_match", "possible_match", "split", "merge", "missing_in_right", "new_in_right")
@@ -43,30 +46,60 @@ class CompareConfig:
     match_sigma_floor: float = 4.0
     strong_min_margin_sigma: float = 0.0
     abtt_components: int = 0
-    block_size: int = 2048
+    block_size: int | None = None
 
 
-def sampled_pairs(n: int, m: int, wanted: int) -> list[tuple[int, int]]:
-    """Pairs of positions in n x m by a 64-bit linear congruential generator (fixed constants)."""
-    mask, state, out = (1 << 64) - 1, 0x9E3779B97F4A7C15 ^ (n * m), []
+# fixed values: a 64-bit linear congruential generator and its first state
+_MULTIPLIER, _INCREMENT, _SEED, _MASK = 6364136223846793005, 1442695040888963407, 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Pairs drawn by one row of the distributed sampler.
+DRAWS = 4096
+
+
+def _steps(state: int, n: int, m: int, wanted: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions in n x m that the generator draws from a state on."""
     for _ in range(wanted):
-        pair = []
-        for size in (n, m):
-            state = (state * 6364136223846793005 + 1442695040888963407) & mask
-            pair.append((state >> 33) % size)
-        out.append(tuple(pair))
-    return out
+        state = (state * _MULTIPLIER + _INCREMENT) & _MASK
+        i = (state >> 33) % n
+        state = (state * _MULTIPLIER + _INCREMENT) & _MASK
+        yield i, (state >> 33) % m
+
+
+def _jumped(steps: int) -> tuple[int, int]:
+    """Multiplier and increment of so many steps at once."""
+    a, c, factor, add = 1, 0, _MULTIPLIER, _INCREMENT
+    while steps:
+        if steps & 1:
+            a, c = a * factor & _MASK, (c * factor + add) & _MASK
+        factor, add = factor * factor & _MASK, add * (factor + 1) & _MASK
+        steps >>= 1
+    return a, c
+
+
+def sampled_pairs(spark: SparkSession, n: int, m: int, wanted: int) -> DataFrame:
+    """``i, j``: pairs of positions in n x m; each row of the driver's list stands for ``DRAWS`` of them."""
+    a, c = _jumped(2 * DRAWS)
+    state, starts = _SEED ^ (n * m), []
+    for at in range(0, wanted, DRAWS):
+        starts.append((f"{state:x}", min(DRAWS, wanted - at)))
+        state = (state * a + c) & _MASK
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, k in batch.itertuples(index=False, name=None):
+                yield pd.DataFrame(list(_steps(int(first, 16), n, m, k)), columns=["i", "j"])
+
+    return spark.createDataFrame(starts, "state string, k int").mapInPandas(drawn, "i bigint, j bigint")
 
 
 def _background(left: DataFrame, right: DataFrame, wanted: int) -> DataFrame:
     """Scores of the whole cross product where it is within the sample, else of sampled pairs."""
-    spark, n, m = left.sparkSession, left.count(), right.count()
+    n, m = left.count(), right.count()
     if n * m <= wanted:
         # the product has at most ``wanted`` rows
         return left.select(F.col("v").alias("x")).crossJoin(right.select(F.col("v").alias("y"))).select(dot("x", "y").alias("score"))
-    pairs = spark.createDataFrame(sampled_pairs(n, m, wanted), "i bigint, j bigint")
-    at = lambda d, name, v: d.select((F.row_number().over(W.orderBy("id")) - 1).cast("long").alias(name), F.col("v").alias(v))
-    return pairs.join(at(left, "i", "x"), "i").join(at(right, "j", "y"), "j").select(dot("x", "y").alias("score"))
+    pairs = sampled_pairs(left.sparkSession, n, m, wanted)
+    x, y = positions(left, "id", "i").select("i", F.col("v").alias("x")), positions(right, "id", "j").select("j", F.col("v").alias("y"))
+    return pairs.join(x, "i").join(y, "j").select(dot("x", "y").alias("score"))
 
 
 def unique_names(units: DataFrame) -> DataFrame:
@@ -76,30 +109,23 @@ def unique_names(units: DataFrame) -> DataFrame:
     return once.where("n = 1").select("key", "id", "v")
 
 
-def nearest_rank(rows: DataFrame, column: str, index: str) -> float | None:
-    """The element at a position, given as SQL over the count ``n``, of the sorted column."""
-    n = rows.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    at = rows.sparkSession.sql(f"select cast({index} as bigint) as i from (select cast({n} as bigint) as n)").first()["i"]
-    # the smaller end of the order is taken off, so no task sorts everything
-    ordered = rows.select(column).orderBy(F.col(column)).limit(at + 1) if at + 1 <= n // 2 else rows.select(column).orderBy(F.desc(column)).limit(n - at)
-    agg = F.max if at + 1 <= n // 2 else F.min
-    return ordered.agg(agg(column)).first()[0]
+def nearest(quantile: float) -> Callable[[int], int]:
+    """The position of a quantile among n sorted values, by nearest rank."""
+    return lambda n: int((n - 1) * quantile + 0.5)
 
 
 def same_name_anchor(left: DataFrame, right: DataFrame) -> tuple[float | None, int]:
     """Upper median of the scores of unambiguous namesakes, and their number."""
     pairs = unique_names(left).select("key", F.col("v").alias("x")).join(unique_names(right).select("key", F.col("v").alias("y")), "key")
     scores = staged(pairs.where("x is not null and y is not null").select(dot("x", "y").alias("score")), "namesakes")
-    return nearest_rank(scores, "score", "floor(n / 2)"), scores.count()
+    return rank_pick(scores, "score", lambda n: n // 2), scores.count()
 
 
 def calibrate(left: DataFrame, right: DataFrame, top: DataFrame, config: CompareConfig) -> dict | None:
     """Thresholds from the background's mean and deviation and an anchor; None without vectors."""
     x, y = (d.where("vector is not null").select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (left, right))
     found = _background(x, y, config.calibration_sample_pairs).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).first()
-    top1 = nearest_rank(top.where("rank = 1"), "score", "floor((n - 1) * 0.95 + 0.5)")
+    top1 = rank_pick(top.where("rank = 1"), "score", nearest(0.95))
     if not found["n"] or top1 is None:
         return None
     named, count = same_name_anchor(left, right)
@@ -130,11 +156,12 @@ def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(rights, "body_hash").select(F.array("unit_idx").alias("left"), "right")
 
 
-def candidate_edges(left: DataFrame, right: DataFrame, config: CompareConfig, threshold: float, top: DataFrame | None = None) -> DataFrame:
+def candidate_edges(left: DataFrame, right: DataFrame, config: CompareConfig, threshold: float, top: DataFrame | None = None, index: SimilarityIndex | None = None) -> DataFrame:
     """``l, r, raw, hint``: the best of either direction, each edge once."""
     x, y = (d.select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (left, right))
-    forth = top.where(F.col("score") >= threshold) if top is not None else top_k_between(x, y, config.top_k_per_unit, threshold, block=config.block_size)
-    back = top_k_between(y, x, config.top_k_per_unit, threshold, block=config.block_size)
+    index = index or ExactBlocks(config.block_size)
+    forth = top.where(F.col("score") >= threshold) if top is not None else index.top_k_between(x, y, config.top_k_per_unit, threshold)
+    back = index.top_k_between(y, x, config.top_k_per_unit, threshold)
     both = forth.select(F.col("a").alias("l"), F.col("b").alias("r"), "score").unionByName(back.select(F.col("b").alias("l"), F.col("a").alias("r"), "score"))
     edges = both.groupBy("l", "r").agg(F.max("score").alias("raw"))
     one, a = side(left, "l", ["name", "relative_path"])
@@ -145,12 +172,11 @@ def candidate_edges(left: DataFrame, right: DataFrame, config: CompareConfig, th
 
 def best_edges(edges: DataFrame, own: str, other: str) -> DataFrame:
     """For each ``own`` its edge of the highest raw + hint (ties: smaller other), with the margin of raw scores."""
-    order = W.partitionBy(own).orderBy(F.desc(F.col("raw") + F.col("hint")), other)
-    tops = edges.groupBy(own).agg(F.max("raw").alias("first"), F.count("*").alias("n"))
-    # the second-best score: the largest below the best, or the best again if it occurs twice
-    second = edges.join(tops, own).groupBy(own).agg(F.max(F.when(F.col("raw") < F.col("first"), F.col("raw"))).alias("less"), F.sum((F.col("raw") == F.col("first")).cast("int")).alias("ties"), F.first("first").alias("first"))
-    margin = second.select(own, F.when(F.col("ties") > 1, F.lit(0.0)).otherwise(F.coalesce(F.col("first") - F.col("less"), F.lit(float("inf")))).alias("margin"))
-    return edges.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k").join(margin, own)
+    mine = W.partitionBy(own)
+    ranked = edges.withColumns({"k": F.row_number().over(mine.orderBy(F.desc(F.col("raw") + F.col("hint")), other)), "by_raw": F.row_number().over(mine.orderBy(F.desc("raw")))})
+    second = F.max(F.when(F.col("by_raw") == 2, F.col("raw"))).over(mine)
+    margin = F.coalesce(F.max("raw").over(mine) - second, F.lit(float("inf")))
+    return ranked.withColumn("margin", margin).where("k = 1").drop("k", "by_raw")
 
 
 def classify(left: DataFrame, right: DataFrame, edges: DataFrame, exact: DataFrame, config: CompareConfig, match: float, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -159,11 +185,15 @@ def classify(left: DataFrame, right: DataFrame, edges: DataFrame, exact: DataFra
     best_right = best_edges(edges, "l", "r").withColumnRenamed("margin", "margin_l")
     best_left = best_edges(edges, "r", "l").withColumnRenamed("margin", "margin_r")
     fanout = best_right.groupBy(F.col("r").alias("right")).agg(F.count("*").alias("fanout"))
-    suppressed = fanout.where(F.col("fanout") > config.max_right_candidate_fanout) if config.max_right_candidate_fanout > 0 else fanout.limit(0)
-    suppressed = staged(suppressed, "suppressed")
-    gone = suppressed.select(F.col("right").alias("r"))
-    best_right = staged(best_right.join(gone, "r", "left_anti"), "best_right")
-    best_left = staged(best_left.join(gone, "r", "left_anti"), "best_left")
+    if config.max_right_candidate_fanout > 0:
+        suppressed = staged(fanout.where(F.col("fanout") > config.max_right_candidate_fanout), "suppressed")
+        gone = suppressed.select(F.col("right").alias("r"))
+        best_right, best_left = (best.join(gone, "r", "left_anti") for best in (best_right, best_left))
+    else:
+        suppressed = edges.sparkSession.createDataFrame([], fanout.schema)
+    both = best_right.select(F.lit("l").alias("side"), "l", "r", "raw", "hint", F.col("margin_l").alias("margin")).unionByName(best_left.select(F.lit("r").alias("side"), "l", "r", "raw", "hint", F.col("margin_r").alias("margin")))
+    both = staged(both, "best")
+    best_right, best_left = (both.where(F.col("side") == s).drop("side").withColumnRenamed("margin", f"margin_{s}") for s in ("l", "r"))
 
     def record(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.lit(name).alias("class"), "score", "hint", "left", "right")
@@ -171,7 +201,7 @@ def classify(left: DataFrame, right: DataFrame, edges: DataFrame, exact: DataFra
     top = F.max(F.struct("raw", F.col("o").alias("o"), "hint"))
     claims = best_left.where(F.col("raw") >= match).withColumn("o", -F.col("r"))
     splits = claims.groupBy("l").agg(F.sort_array(F.collect_list("r")).alias("right"), top.alias("top")).where(F.size("right") >= 2)
-    splits = staged(splits.select("l", F.array("l").alias("left"), "right", F.col("top.raw").alias("score"), F.col("top.hint").alias("hint")), "splits")
+    splits = splits.select("l", F.array("l").alias("left"), "right", F.col("top.raw").alias("score"), F.col("top.hint").alias("hint"))
     split_right = splits.select(F.explode("right").alias("r"))
     open_left = best_right.where(F.col("raw") >= match).join(splits, "l", "left_anti").join(split_right, "r", "left_anti").withColumn("o", -F.col("l"))
     merges = open_left.groupBy("r").agg(F.sort_array(F.collect_list("l")).alias("left"), top.alias("top")).where(F.size("left") >= 2)
@@ -180,7 +210,7 @@ def classify(left: DataFrame, right: DataFrame, edges: DataFrame, exact: DataFra
     used_right = split_right.unionByName(merges.select("r"))
     mutual = best_right.join(best_left.select("l", "r", "margin_r"), ["l", "r"]).where((F.col("raw") >= match) & (F.col("margin_l") >= margin) & (F.col("margin_r") >= margin))
     strong = mutual.join(used_left, "l", "left_anti").join(used_right, "r", "left_anti")
-    strong = staged(strong.select("l", "r", F.array("l").alias("left"), F.array("r").alias("right"), F.col("raw").alias("score"), "hint"), "strong")
+    strong = strong.select("l", "r", F.array("l").alias("left"), F.array("r").alias("right"), F.col("raw").alias("score"), "hint")
     matched_left = used_left.unionByName(strong.select("l"))
     possible = best_right.join(matched_left, "l", "left_anti").select(F.array("l").alias("left"), F.array("r").alias("right"), F.col("raw").alias("score"), "hint")
     whole = exact.select("left", "right", F.lit(1.0).alias("score"), F.lit(0.0).alias("hint"))
@@ -216,14 +246,15 @@ def coverage(records: DataFrame, left: DataFrame) -> DataFrame:
     return counts.agg(F.count("*").alias("total_left"), F.count_if(is_covered).alias("covered"), F.count_if(F.col("class") == "possible_match").alias("possible"), F.count_if(~F.coalesce(is_covered | (F.col("class") == "possible_match"), F.lit(False))).alias("missing"))
 
 
-def compare(units: DataFrame, left_label: str, right_label: str, config: CompareConfig = CompareConfig()) -> dict[str, object]:
+def compare(units: DataFrame, left_label: str, right_label: str, config: CompareConfig = CompareConfig(), index: SimilarityIndex | None = None) -> dict[str, object]:
     """``records``, ``suppressed``, ``counts``, ``coverage`` and the ``calibration`` of two projects of ``units``."""
     if left_label == right_label:
         raise ValueError("the two projects must be different")
-    labels = {r["project"] for r in units.select("project").distinct().limit(1000).collect()}
+    named = [r["project"] for r in units.where(F.col("project").isin(left_label, right_label)).select("project").distinct().collect()]
     for label in (left_label, right_label):
-        if label not in labels:
-            raise ValueError(f"no project {label!r}; there are {', '.join(sorted(labels))}")
+        if label not in named:
+            some = [r["project"] for r in units.select("project").distinct().orderBy("project").limit(20).collect()]
+            raise ValueError(f"no project {label!r}; the first are {', '.join(some)}")
     left, right = (units.where(F.col("project") == label) for label in (left_label, right_label))
     can = F.col("body_node_count") >= config.min_body_node_count
     exact = staged(exact_matches(left.where(can), right.where(can)), "exact")
@@ -238,11 +269,11 @@ def compare(units: DataFrame, left_label: str, right_label: str, config: Compare
     calibration, top, threshold, match, margin = None, None, config.candidate_threshold, config.match_threshold, 0.0
     if config.calibration == "background":
         x, y = (d.select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (pending_left, pending_right))
-        top = staged(top_k_between(x, y, max(1, config.top_k_per_unit), -1.0, block=config.block_size), "top")
+        top = staged((index or ExactBlocks(config.block_size)).top_k_between(x, y, max(1, config.top_k_per_unit), -1.0), "top")
         calibration = calibrate(pending_left, pending_right, top, config)
         if calibration and calibration["applied"]:
             threshold, match, margin = (calibration[c] for c in ("effective_candidate_threshold", "effective_match_threshold", "margin_required"))
-    edges = candidate_edges(pending_left, pending_right, config, threshold, top)
+    edges = candidate_edges(pending_left, pending_right, config, threshold, top, index)
     records, suppressed = classify(left, right, edges, exact, config, match, margin)
     ordered = records.orderBy(class_order(), F.desc("score"), "left", "right")
     return {"records": ordered, "suppressed": suppressed, "counts": class_counts(records), "coverage": coverage(records, left), "calibration": calibration}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simlake.analyze.compare import nearest_rank
+from simlake.analyze.compare import nearest
 from simlake.functions.vectors import dot, largest_difference, normalised
+from simlake.operators.ranks import evenly_spaced, rank_pick
 from simlake.operators.similarity import top_k_between
 from simlake.plans.staging import staged
 
@@ -43,11 +44,7 @@ def neighbor_recall(shared: DataFrame, k: int, sample: int = 0) -> DataFrame:
     """``id, recall``: the share of each query's k nearest that are nearest in both; evenly spaced queries if sampled."""
     n = shared.count()
     k = min(k, max(0, n - 1))
-    queries = shared
-    if 0 < sample < n:
-        at = F.row_number().over(W.orderBy("id")) - 1
-        picks = {i * n // sample for i in range(sample)}
-        queries = shared.withColumn("at", at).where(F.col("at").isin(*picks)).drop("at")
+    queries = evenly_spaced(shared, "id", sample, n)
     found = []
     for column, name in (("x", "near_x"), ("y", "near_y")):
         rows = lambda d, c=column: d.select("id", F.col(c).alias("v"))
@@ -67,5 +64,5 @@ def drift(baseline: DataFrame, candidate: DataFrame, top_k: int = 10, sample: in
     if not s["n"]:
         raise ValueError("the two sides share no body hashes to compare")
     recall = neighbor_recall(shared, top_k, sample).agg(F.count("*").alias("n"), F.avg("recall").alias("mean")).first()
-    p = lambda q: nearest_rank(shared, "cosine", f"floor((n - 1) * {q} + 0.5)")
+    p = lambda q: rank_pick(shared, "cosine", nearest(q))
     return DriftReport(baseline.count(), candidate.count(), s["n"], s["mean"], p(0.5), p(0.05), s["least"], s["delta"], recall["n"], recall["mean"] if recall["n"] else 1.0)

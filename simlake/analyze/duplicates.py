@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.functions import paths as P
 from simlake.functions.vectors import dot
 from simlake.operators.clusters import bounded_clusters
-from simlake.operators.similarity import expand_copies, similar_pairs
+from simlake.operators.index import ExactBlocks, SimilarityIndex
+from simlake.operators.similarity import expand_copies
 from simlake.plans.staging import staged
 
 #: When a cluster reads as one name implemented by many scopes.
@@ -27,7 +28,7 @@ class DuplicateConfig:
     candidate_threshold: float = 0.70
     similarity_threshold: float = 0.81
     rerank_threshold: float = 0.85
-    block_size: int = 2048
+    block_size: int | None = None
     min_semantic_body_node_count: int = 20
     max_edges_per_unit: int = 5
     max_cluster_size: int = 100
@@ -40,10 +41,10 @@ def body_vectors(units: DataFrame) -> DataFrame:
     return known.groupBy("body_hash").agg(F.min_by("vector", "unit_idx").alias("v"), F.min("unit_idx").alias("id")).select("id", "v", "body_hash")
 
 
-def candidate_pairs(units: DataFrame, config: DuplicateConfig) -> DataFrame:
+def candidate_pairs(units: DataFrame, config: DuplicateConfig, index: SimilarityIndex | None = None) -> DataFrame:
     """``a, b, score`` over units: bodies are compared once, then expanded to their copies."""
     bodies = staged(body_vectors(units), "bodies")
-    pairs = similar_pairs(bodies.select("id", "v"), config.candidate_threshold, block=config.block_size)
+    pairs = (index or ExactBlocks(config.block_size)).similar_pairs(bodies.select("id", "v"), config.candidate_threshold)
     own = units.where("vector is not null").join(bodies.select("body_hash", F.col("id").alias("body")), "body_hash").select(F.col("unit_idx").alias("id"), "body")
     within = bodies.select(F.col("id").alias("a"), dot("v", "v").alias("score")).where(F.col("score") >= config.candidate_threshold)
     return expand_copies(pairs, own, within)
@@ -104,12 +105,17 @@ def families(members: DataFrame) -> DataFrame:
     return top.join(scopes, "cluster").where(fits).select("cluster", F.col("top.name").alias("name_family"))
 
 
-def duplicates(units: DataFrame, config: DuplicateConfig = DuplicateConfig(), ignored: DataFrame | None = None) -> dict[str, DataFrame]:
+def cluster_order() -> list[Column]:
+    """Product code first, families last within a kind, then the highest boosted score."""
+    return [F.col("kind_ord"), F.col("name_family").isNotNull(), F.desc("top_boosted"), F.col("hash")]
+
+
+def duplicates(units: DataFrame, config: DuplicateConfig = DuplicateConfig(), ignored: DataFrame | None = None, index: SimilarityIndex | None = None) -> dict[str, DataFrame]:
     """Clusters, their members and pairs, cross-directory candidates, and ignored hashes.
 
     ``units`` is the fact table with ``vector``; ``ignored`` has the column ``hash``.
     """
-    candidates = staged(candidate_pairs(units, config), "candidates")
+    candidates = staged(candidate_pairs(units, config, index), "candidates")
     edges = staged(ranked_pairs(units, candidates, config), "ranked")
     kept, clusters = bounded_clusters(edges, units, max_edges=config.max_edges_per_unit, max_units=config.max_cluster_size, max_bodies=config.max_semantic_cluster_size)
     facts = ["unit_idx", "project", "relative_path", "name", "scope", "body_hash", "start_line", "end_line"]
@@ -130,10 +136,9 @@ def duplicates(units: DataFrame, config: DuplicateConfig = DuplicateConfig(), ig
     left = staged(heads.join(hashes, "hash", "left_anti"), "clusters")
     live = members.join(left.select("cluster", "hash"), "cluster")
     exact = live.groupBy("cluster", "body_hash").agg(F.sort_array(F.collect_list("unit_idx")).alias("members"))
-    order = [F.col("kind_ord"), F.col("name_family").isNotNull(), F.desc("top_boosted"), F.col("hash")]
     return {
         "candidates": candidates, "pairs": pairs.join(left.select("cluster"), "cluster", "left_semi"), "members": live, "exact_groups": exact, "ignored": gone,
-        "clusters": left.orderBy(*order), "cross_directory": cross_directory(live),
+        "clusters": left.orderBy(*cluster_order()), "cross_directory": cross_directory(live),
     }
 
 

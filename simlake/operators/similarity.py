@@ -16,11 +16,18 @@ from pyspark.sql import functions as F
 
 from simlake.functions.vectors import dot
 
+#: Rows of a block at least; a block holds more where its vectors are short.
 BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 
 
-def _blocks(n: int, block: int) -> int:
-    return max(1, -(-n // block))
+def _blocks(rows: DataFrame, block: int | None) -> int:
+    """Blocks that hold ``block`` rows, by default some 32 MB of doubles, but enough for every core while there are ``BLOCK`` rows for each."""
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    if block is None:
+        cores = int(rows.sparkSession.sparkContext.defaultParallelism)
+        block = max(BLOCK, min(BLOCK_BYTES // (8 * max(1, size["d"] or 1)), size["n"] // cores))
+    return max(1, -(-size["n"] // block))
 
 
 def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
@@ -31,10 +38,22 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in rows["v"]])
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, *, block: int = BLOCK) -> DataFrame:
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest scores, best first; among equal ones the smaller column."""
+    if k >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    # all above the k-th score, and of those equal to it the first that there is room for
+    above, equal = scores > least, scores == least
+    room = k - above.sum(axis=1, keepdims=True)
+    picked = np.nonzero(above | (equal & (equal.cumsum(axis=1) <= room)))[1].reshape(len(scores), k)
+    return np.take_along_axis(picked, np.argsort(-np.take_along_axis(scores, picked, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
     """``a, b, score`` with a < b for all pairs of ``id, v`` whose inner product is at least ``threshold``."""
     known = vectors.where("v is not null").select("id", "v")
-    blocks = _blocks(known.count(), block)
+    blocks = _blocks(known, block)
     dealt = _dealt(known, blocks)
     left = dealt.select("id", "v", "block", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
     right = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
@@ -59,10 +78,10 @@ def similar_pairs_sql(vectors: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).withColumn("score", dot("va", "vb")).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
-def top_k_between(left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0, *, block: int = BLOCK) -> DataFrame:
+def top_k_between(left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0, *, block: int | None = None) -> DataFrame:
     """``a, b, score, rank``: for each row of ``left`` its best k of ``right`` (ties: smaller b), at least ``threshold``."""
     x, y = left.where("v is not null"), right.where("v is not null")
-    n, m = _blocks(x.count(), block), _blocks(y.count(), block)
+    n, m = _blocks(x, block), _blocks(y, block)
     xs = _dealt(x, n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumnRenamed("block", "i")
     ys = _dealt(y, m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("block", "j")
 
@@ -71,8 +90,7 @@ def top_k_between(left: DataFrame, right: DataFrame, k: int, threshold: float =
             return pd.DataFrame({"a": [], "b": [], "score": []})
         q = q.sort_values("id", kind="stable")
         scores, ids = _matrix(p) @ _matrix(q).T, q["id"].to_numpy()
-        # a stable sort keeps the smaller id first among equal scores
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        order = _best(scores, k)
         a = np.repeat(p["id"].to_numpy(), order.shape[1])
         s = np.take_along_axis(scores, order, axis=1).reshape(-1)
         found = pd.DataFrame({"a": a, "b": ids[order].reshape(-1), "score": s})

@@ -9,15 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.analyze import compare as C
-from simlake.analyze import concerns, drift, duplicates, spectrum
+from simlake.analyze import concerns, drift, duplicates, experiments, spectrum
 from simlake.functions import paths as P
 from simlake.functions.vectors import dot, hash_embedding, normalised
 from simlake.operators import similarity
 from simlake.operators.graph import connected_components
-from simlake.operators.reports import stratified_split, token_report
+from simlake.operators.ranks import evenly_spaced
+from simlake.operators.reports import COMMON_NAMES, MARKERS, boilerplate_heavy, length_bucket, stable_id, stratified_split, token_report
 from simlake.plans.staging import staged
 from simlake.query import queries as Q
 from simlake.query.where import parse
+from simlake.report import render
+from simlake.sources import offline
 from simlake.sources.adapters import body_embeddings, table, units_from_documents, units_from_embeddings, with_vectors
 from simlake.streaming import incremental
 
@@ -367,7 +370,13 @@ select project, relative_path, case when k.i is null then 'new' when s.i is null
 """
 
 
-@query("a4_index_stats")
+@query(
+    "a4_index_stats",
+    """p as (select url, any_value(page_id) as i from pages group by url having count(*) = 1), k as (select * from p where i % 5 <> 0), s as (select * from p where i % 7 <> 0),
+    st as (select case when k.i is null then 'new' when s.i is null then 'removed' when s.i % 6 = 0 then 'changed' else 'unchanged' end as status from k full join s using (url))
+    select count(*) filter (status in ('new', 'changed')) as indexed, count(*) filter (status = 'unchanged') as skipped, count(*) filter (status = 'removed') as removed, (select count(*) from embeddings) as units from st""",
+    facts=False,
+)
 def a4(spark, d):
     return incremental.index_stats(incremental.changes(*_snapshots(spark, d)), units_from_embeddings(spark, d))
 
@@ -375,28 +384,47 @@ def a4(spark, d):
 # --- reports over tokens, strata and samples ---
 
 
-QUERIES["a25_a26_token_report"] = lambda spark, d: token_report(table(spark, d, "documents").select(F.col("lang").alias("language"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("tokens")), caps=(512, 2048))
+QUERIES["a25_a26_token_report"] = lambda spark, d: token_report(table(spark, d, "documents").select(F.col("lang").alias("language"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("tokens")), caps=(512, 2048)).withColumn("padding_waste", F.round("padding_waste", 9))
 ORACLE["a25_a26_token_report"] = r"""
 with t as (select lang as language, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as tokens from documents), g as (select * from t union all select 'ALL', tokens from t),
 o as (select language, tokens, row_number() over (partition by language order by tokens) - 1 as i, count(*) over (partition by language) as n from g)
 select language, count(*) as units, sum(tokens)::bigint as tokens, max(case when i = floor((n - 1) * 0.5 + 0.5) then tokens end) as p50, max(case when i = floor((n - 1) * 0.9 + 0.5) then tokens end) as p90,
-  max(case when i = floor((n - 1) * 0.99 + 0.5) then tokens end) as p99, max(tokens) as max_tokens, count(*) filter (tokens > 512) as over_512, count(*) filter (tokens > 2048) as over_2048 from o group by language
+  max(case when i = floor((n - 1) * 0.99 + 0.5) then tokens end) as p99, max(tokens) as max_tokens, count(*) filter (tokens > 512) as over_512, count(*) filter (tokens > 2048) as over_2048,
+  round(1 - sum(least(tokens, 2048)) / sum(longest), 9) as padding_waste from (select *, max(least(tokens, 2048)) over (partition by language, i // 32) as longest from o) group by language
 """
 
-QUERIES["w15_stratified_split"] = lambda spark, d: stratified_split(units_from_documents(spark, d).select("unit_idx", "language", "body_node_count", "relative_path"), 0.2)
-ORACLE["w15_stratified_split"] = r"""
-with x as (select doc_id as unit_idx, lang as language, len(string_split(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ')) as n from documents)
-select unit_idx, language || '/' || case when n < 64 then 'short' when n < 512 then 'medium' else 'long' end as stratum,
+def _boilerplate(text: str, name: str) -> str:
+    marks = " + ".join(f"contains({text}, '{m}')::int" for m in MARKERS)
+    return f"({marks} >= 2 or {name} in ({', '.join(repr(n) for n in COMMON_NAMES)}))"
+
+
+_LENGTH = "case when length(coalesce(text, '')) >= 1536 then 'near-max' when length(coalesce(text, '')) >= 512 then 'long' when length(coalesce(text, '')) <= 300 then 'short' else 'medium' end"
+
+
+def _document_units(spark, d):
+    return units_from_documents(spark, d).drop("vector").join(table(spark, d, "documents").select(F.col("doc_id").alias("unit_idx"), "text"), "unit_idx")
+
+
+QUERIES["w15_stratified_split"] = lambda spark, d: stratified_split(_document_units(spark, d), 0.2, is_test=P.is_test_or_docs_unit())
+ORACLE["w15_stratified_split"] = rf"""
+with x as (select *, doc_id as unit_idx, lang || '/' || source || '/doc_' || doc_id || '.txt' as relative_path, source as scope, lower(coalesce(text, '')) as low,
+  split_part(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ', 1) as name from documents)
+select unit_idx, lang || '/' || {_LENGTH} || '/' || case when {_IS_TEST} then 'test' else 'prod' end || '/' || case when {_boilerplate("low", "name")} then 'boilerplate' else 'plain' end as stratum,
   case when cast('0x' || substr(sha256(unit_idx::varchar), 1, 8) as bigint) / 4294967295.0::double < 0.2 then 'holdout' else 'calibration' end as part from x
 """
 
+QUERIES["x14_length_boilerplate_id"] = lambda spark, d: _document_units(spark, d).withColumn("n", F.length(F.coalesce("text", F.lit("")))).select(
+    "unit_idx", length_bucket("n").alias("length"), boilerplate_heavy("text", "name").alias("boilerplate"), stable_id("unit_idx", "language", "scope").alias("id")
+)
+ORACLE["x14_length_boilerplate_id"] = rf"""
+with x as (select *, lower(coalesce(text, '')) as low, split_part(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ', 1) as name from documents)
+select doc_id as unit_idx, {_LENGTH} as length, {_boilerplate("low", "name")} as boilerplate, sha256(doc_id || chr(0) || coalesce(lang, 'None') || chr(0) || coalesce(source, 'None') || chr(0)) as id from x
+"""
+
 
 @query("w12_even_sample", "o as (select unit_idx, row_number() over (order by unit_idx) - 1 as i, count(*) over () as n from u) select unit_idx from o where i in (select s * n // 16 from range(0, 16) r(s))")
 def w12(spark, d):
-    rows = units_from_embeddings(spark, d).select("unit_idx")
-    n = rows.count()
-    # the sample asks for a few positions only, so the order is kept to as many rows as the last one needs
-    return rows.withColumn("at", F.row_number().over(W.orderBy("unit_idx")) - 1).where(F.col("at").isin(*(i * n // 16 for i in range(16)))).select("unit_idx")
+    return evenly_spaced(units_from_embeddings(spark, d).select("unit_idx"), "unit_idx", 16)
 
 
 @query("u1_u4_set_operations", "x as (select body_hash from u where project = 'v1' intersect select body_hash from u where project = 'v2'), y as (select body_hash from u where language = 'rust' except select body_hash from x) select body_hash from y")
@@ -432,12 +460,76 @@ def dup_clusters(spark, d):
     return found.select("hash", "size", "bodies", "kind", F.round("top_raw", 6).alias("top_raw"), F.round("top_boosted", 6).alias("top_boosted"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-@query("g3_g4_bounded_clusters")
+_BOUNDED = """ord as (select *, row_number() over (order by boosted desc, a, b) as i from ranked),
+  bd as (select list(body_hash order by unit_idx) as bodies, count(*) as n from u),
+  cap(i, used, kept) as (select 0::bigint, list_transform(range(n), lambda x: 0), false from bd union all
+    select o.i, case when {keep} then list_transform(c.used, lambda x, j: case when j = o.a + 1 or j = o.b + 1 then x + 1 else x end) else c.used end, {keep} from cap c join ord o on o.i = c.i + 1),
+  ke as (select o.*, row_number() over (order by o.i) as k from ord o join cap c on c.i = o.i and c.kept),
+  mg(k, home) as (select 0::bigint, list_transform(range(n), lambda x: x::bigint) from bd union all
+    select k, case when x <> y and sx + sy <= {units} and (vu <= greatest(vx, vy) or vu <= {bodies}) then list_transform(home, lambda h: case when h = greatest(x, y) then least(x, y) else h end) else home end
+    from (select *, len(list_distinct(list_concat(bx, by_))) as vu, len(list_distinct(bx)) as vx, len(list_distinct(by_)) as vy, len(bx) as sx, len(by_) as sy
+      from (select e.k, m.home, m.home[e.a + 1] as x, m.home[e.b + 1] as y, list_filter(bodies, lambda h, j: m.home[j] = m.home[e.a + 1]) as bx, list_filter(bodies, lambda h, j: m.home[j] = m.home[e.b + 1]) as by_
+        from mg m join ke e on e.k = m.k + 1, bd))),
+  hm as (select unnest(home) as cluster, unnest(range(n)) as unit_idx from mg, bd where k = (select max(k) from mg)),
+  m as (select cluster, uv.* from hm join uv using (unit_idx) where cluster in (select cluster from hm group by 1 having count(*) > 1)),
+  tops as (select h.cluster, max(boosted) as boosted from ke join hm h on h.unit_idx = ke.a join hm g on g.unit_idx = ke.b and g.cluster = h.cluster group by 1)""".format(
+    keep="(o.exact or (c.used[o.a + 1] < 5 and c.used[o.b + 1] < 5))", units=100, bodies=16
+)
+_FAMILY = """fam as (select cluster, case when sum(k) >= 6 and any_value(s) >= 3 and max(k) >= 0.75 * sum(k) then arg_max(name, k) end as name_family
+  from (select cluster, name, count(*) as k from {rows} group by all) join (select cluster, count(distinct scope) as s from {rows} group by 1) using (cluster) group by cluster)"""
+
+
+@query(
+    "g3_g4_bounded_clusters",
+    f"""{_ranked(0.38, 0.40)}, {_BOUNDED}, {_FAMILY.format(rows="m")}
+    select substr(sha256(string_agg(relative_path || chr(0) || body_hash, chr(10) order by relative_path || chr(0) || body_hash)), 1, 16) as hash, count(*) as size, count(distinct body_hash) as bodies,
+      case when count(*) filter (is_test) = 0 then 'product' when count(*) filter (is_test) = count(*) then 'test_or_docs' else 'mixed' end as kind, any_value(name_family) as name_family,
+      round(any_value(boosted), 6) as top_boosted, string_agg(unit_idx::varchar, ',' order by unit_idx) as members from m join tops using (cluster) join fam using (cluster) group by cluster""",
+)
 def g3(spark, d):
     found = duplicates.duplicates(units(spark, d), DUPLICATES)["clusters"]
     return found.select("hash", "size", "bodies", "kind", "name_family", F.round("top_boosted", 6).alias("top_boosted"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
+@query(
+    "a8_name_families",
+    f"""m as (select unit_idx % 25 || '/' || language as cluster, name, scope from u), {_FAMILY.format(rows="m")} select cluster, name_family from fam where name_family is not null""",
+)
+def a8(spark, d):
+    rows = units_from_embeddings(spark, d).withColumn("cluster", F.concat_ws("/", F.col("unit_idx") % 25, "language"))
+    return duplicates.families(rows)
+
+
+_ORDERED = f"""{_ranked(0.40, 1.5)}, {{comps}}, m as (select cluster, uv.* from comp join uv using (unit_idx)), {_FAMILY.format(rows="m")},
+    top as (select cluster, max(boosted) as boosted from ranked join comp on a = unit_idx group by 1),
+    hd as (select cluster, substr(sha256(string_agg(relative_path || chr(0) || body_hash, chr(10) order by relative_path || chr(0) || body_hash)), 1, 16) as hash,
+      case when count(*) filter (is_test) = 0 then 0 when count(*) filter (is_test) = count(*) then 2 else 1 end as kind from m group by 1)""".format(comps=_COMPS)
+
+
+@query(
+    "w4_cluster_order",
+    f"{_ORDERED} select hash, kind, name_family, round(boosted, 6) as top_boosted, row_number() over (order by kind, name_family is not null, round(boosted, 6) desc, hash)::int as rank from hd join top using (cluster) join fam using (cluster)",
+)
+def w4(spark, d):
+    found = duplicates.duplicates(units(spark, d), UNBOUNDED)["clusters"].withColumn("top_boosted", F.round("top_boosted", 6))
+    # one row for each cluster of a report
+    return found.select("hash", F.col("kind_ord").alias("kind"), "name_family", "top_boosted", F.row_number().over(W.orderBy(*duplicates.cluster_order())).alias("rank"))
+
+
+@query(
+    "a31_expected_clusters",
+    f"""{_ranked(0.40, 1.5)}, {_COMPS}, ex as (select unit_idx - 1 as a, unit_idx as b from u where unit_idx % 10 = 9)
+    select (select count(distinct cluster) from comp) as clusters, count(*) as expected, count(*) filter (ca.cluster = cb.cluster) as found,
+      (select count(*) from (select cluster from comp where unit_idx % 4 = 1 group by 1 having count(*) > 1)) as false_filler_groups
+    from ex left join comp ca on ca.unit_idx = ex.a left join comp cb on cb.unit_idx = ex.b""",
+)
+def a31(spark, d):
+    u = units(spark, d)
+    members = duplicates.duplicates(u, UNBOUNDED)["members"]
+    pairs = u.where("unit_idx % 10 = 9").select((F.col("unit_idx") - 1).alias("a"), F.col("unit_idx").alias("b"))
+    return experiments.expected_clusters(members, pairs, u.where("unit_idx % 4 = 1"))
+
+
 @query(
     "a6_exact_groups",
     f"{_ranked(0.40, 1.5)}, {_COMPS} select cluster, body_hash, string_agg(unit_idx::varchar, ',' order by unit_idx) as members from comp join uv using (unit_idx) group by 1, 2",
@@ -485,6 +577,30 @@ def _compared(spark, d):
     return C.compare(units(spark, d), "v1", "v2", COMPARE)
 
 
+_ORDINAL = "list_position(['exact_copy', 'strong_match', 'possible_match', 'split', 'merge', 'missing_in_right', 'new_in_right'], class)"
+
+
+@query(
+    "w7_x10_match_order_and_ids",
+    f"""{_CMP}, nr as (select *, row_number() over () as key from allrec), pr_ as (select unit_idx, project || chr(0) || relative_path || chr(0) || body_hash as print from u),
+    lp as (select key, string_agg(print, chr(10) order by pos) as p from (select key, unnest(ls) as unit_idx, generate_subscripts(ls, 1) as pos from nr) join pr_ using (unit_idx) group by 1),
+    rp as (select key, string_agg(print, chr(10) order by pos) as p from (select key, unnest(rs) as unit_idx, generate_subscripts(rs, 1) as pos from nr) join pr_ using (unit_idx) group by 1)
+    select row_number() over (order by {_ORDINAL}, round(score, 6) desc, ls, rs)::int as rank, class, 'match:' || substr(sha256(class || chr(1) || coalesce(lp.p, '') || chr(1) || coalesce(rp.p, '')), 1, 16) as match_id
+    from nr left join lp using (key) left join rp using (key)""",
+)
+def w7(spark, d):
+    u = units(spark, d)
+    records = render.with_match_ids(C.compare(u, "v1", "v2", COMPARE)["records"], u)
+    # one row for each record of a report
+    order = W.orderBy(C.class_order(), F.desc(F.round("score", 6)), "left", "right")
+    return records.select(F.row_number().over(order).alias("rank"), "class", "match_id")
+
+
+@query("w8_suppressed_order", f'{_CMP} select "right", fanout, row_number() over (order by fanout desc, "right")::int as rank from sup')
+def w8(spark, d):
+    return _compared(spark, d)["suppressed"].select("right", "fanout", F.row_number().over(W.orderBy(F.desc("fanout"), "right")).alias("rank"))
+
+
 def _joined(column: str) -> F.Column:
     return F.array_join(F.col(column).cast("array<string>"), ",")
 
@@ -527,18 +643,71 @@ def j6(spark, d):
     return C.candidate_edges(left, right, COMPARE, COMPARE.candidate_threshold).select("l", "r", F.round("raw", 6).alias("raw"), F.round("hint", 6).alias("hint"))
 
 
+_SCORES = f"a as (select * from uv where project = 'v1' and vector is not null), b as (select * from uv where project = 'v2' and vector is not null), g as (select a.unit_idx as l, b.unit_idx as r, {_RAW} as score from a join b on true)"
+_NAMESAKES = f"{_NAMES}, nl as (select l.id as l, r.id as r from n l join n r using (name, kind, language) where l.project = 'v1' and r.project = 'v2'), ns as (select g.* from nl join g using (l, r))"
+
+
 @query(
     "a15_a17_calibration",
-    f"""a as (select * from uv where project = 'v1' and vector is not null), b as (select * from uv where project = 'v2' and vector is not null), g as (select a.unit_idx as l, {_RAW} as score from a join b on true),
-    t as (select max(score) as score from g group by l), o as (select score, row_number() over (order by score) - 1 as i, count(*) over () as n from t)
-    select count(*) as pairs, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, (select round(score, 6) from o where i = floor((n - 1) * 0.95 + 0.5)) as top1_anchor from g""",
+    f"""{_SCORES}, {_NAMESAKES},
+    t as (select max(score) as score from g group by l), o as (select score, row_number() over (order by score) - 1 as i, count(*) over () as n from t),
+    no as (select score, row_number() over (order by score) - 1 as i, count(*) over () as n from ns),
+    s as (select count(*) as pairs, avg(score) as mean, stddev_pop(score) as std, (select score from o where i = floor((n - 1) * 0.95 + 0.5)) as top1, (select score from no where i = n // 2) as named, (select count(*) from ns) as k from g),
+    c as (select *, case when k >= 3 and named > top1 then named else top1 end as anchor, case when k >= 3 and named > top1 then 'same_name' else 'top1_p95' end as source from s),
+    th as (select *, greatest(mean + 0.78::double * (anchor - mean), mean + 2 * std) as candidate from c)
+    select pairs, round(mean, 6) as mean, round(std, 6) as std, round(top1, 6) as top1_anchor, round(named, 6) as same_name_anchor, k as same_name_count, source as anchor_source, round(mean + 2 * std, 6) as candidate_floor,
+      round(mean + 4 * std, 6) as match_floor, round(candidate, 6) as candidate_threshold, round(greatest(mean + 0.86::double * (anchor - mean), mean + 4 * std, candidate), 6) as match_threshold from th""",
 )
 def a15(spark, d):
     u = units(spark, d)
     left, right = u.where("project = 'v1'"), u.where("project = 'v2'")
     top = staged(similarity.top_k_between(*_sides(spark, d), 1), "top")
-    found = C.calibrate(left, right, top, C.CompareConfig(calibration="background", calibration_sample_pairs=10**7))
-    return spark.createDataFrame([(found["sampled_pairs"], round(found["background_mean"], 6), round(found["background_std"], 6), round(found["top1_anchor"], 6))], "pairs bigint, mean double, std double, top1_anchor double")
+    c = C.calibrate(left, right, top, C.CompareConfig(calibration="background", calibration_sample_pairs=10**7))
+    names = {
+        "pairs": "sampled_pairs", "mean": "background_mean", "std": "background_std", "top1_anchor": "top1_anchor", "same_name_anchor": "same_name_anchor", "same_name_count": "same_name_count", "anchor_source": "anchor_source",
+        "candidate_floor": "candidate_floor", "match_floor": "match_floor", "candidate_threshold": "effective_candidate_threshold", "match_threshold": "effective_match_threshold",
+    }
+    kinds = {"pairs": "bigint", "same_name_count": "bigint", "anchor_source": "string"}
+    row = tuple(round(c[v], 6) if isinstance(c[v], float) else c[v] for v in names.values())
+    return spark.createDataFrame([row], ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
+
+
+@query(
+    "a29_separation",
+    f"""{_SCORES}, {_NAMESAKES}, x as (select ns.l, ns.r, any_value(ns.score) as s, max(g.score) filter (g.r <> ns.r) as other from ns join g using (l) group by 1, 2)
+    select count(*) as gt_pairs, round(avg((s - 0.01::double) / 0.125::double), 6) as gt_z_mean, round(min((s - 0.01::double) / 0.125::double), 6) as gt_z_min, avg((other is null or other < s)::int) as gt_top1_rate, round(avg(s - other), 6) as gt_margin_mean from x""",
+)
+def a29(spark, d):
+    u = units(spark, d)
+    left, right = (C.unique_names(u.where(F.col("project") == p)).select("key", F.col("id").alias(n)) for p, n in (("v1", "l"), ("v2", "r")))
+    found = experiments.separation(*_sides(spark, d), left.join(right, "key").select("l", "r"), 0.01, 0.125)
+    return found.withColumns({c: F.round(c, 6) for c in ("gt_z_mean", "gt_z_min", "gt_margin_mean")})
+
+
+_PAIRED = f"""{_ALIGNED}, od as (select *, row_number() over (order by body_hash) - 1 as i, count(*) over () as n from s), qs as (select * from od where n <= 512 or i in (select j * n // 512 from range(0, 512) r(j))),
+    pp as (select list_dot_product(q.x, o.x) as x, list_dot_product(q.y, o.y) as y from qs q join od o on o.i > q.i or (o.i < q.i and o.body_hash not in (select body_hash from qs)))"""
+
+
+@query(
+    "a30_agreement",
+    f"""{_PAIRED}, dl as (select abs(x - y) as delta from pp), nx as (select p.body_hash as q, r.body_hash as h, row_number() over (partition by p.body_hash order by list_dot_product(p.x, r.x) desc) as k from s p join s r on p.body_hash <> r.body_hash),
+    ny as (select p.body_hash as q, r.body_hash as h, row_number() over (partition by p.body_hash order by list_dot_product(p.y, r.y) desc) as k from s p join s r on p.body_hash <> r.body_hash),
+    m as (select s.body_hash, count(nx.h) / 10.0::double as recall from s left join (select nx.q, nx.h from nx join ny on nx.q = ny.q and nx.h = ny.h where nx.k <= 10 and ny.k <= 10) nx on nx.q = s.body_hash group by 1)
+    select round(avg(cosine), 6) as mean_pooled_cosine, round(min(cosine), 6) as min_pooled_cosine, (select round(quantile_cont(delta, 0.95), 6) from dl) as p95_pairwise_delta, (select round(max(delta), 6) from dl) as max_pairwise_delta, (select round(avg(recall), 6) from m) as top10_recall from s""",
+)
+def a30(spark, d):
+    shared = staged(drift.aligned(*_drift_sides(spark, d)), "aligned")
+    found = experiments.agreement(shared, drift.neighbor_recall(shared, 10).agg(F.avg("recall")).first()[0])
+    return spark.createDataFrame([tuple(round(x, 6) for x in found.values())], ", ".join(f"{n} double" for n in found))
+
+
+@query(
+    "w14_spearman",
+    f"""{_PAIRED}, rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double as ry from pp) select round(corr(rx, ry), 6) as rho from rk""",
+)
+def w14(spark, d):
+    pairs = staged(experiments.pair_similarities(staged(drift.aligned(*_drift_sides(spark, d)), "aligned")), "similarities")
+    return spark.createDataFrame([(round(experiments.spearman(pairs, "x", "y"), 6),)], "rho double")
 
 
 # --- linear algebra ---
@@ -652,6 +821,40 @@ def f13(spark, d):
     )
 
 
+@query(
+    "k9_unit_lines",
+    """x as (select unit_idx, 'unit:' || substr(sha256(concat(project, chr(0), relative_path, chr(0), start_byte::varchar, chr(0), end_byte::varchar, chr(0), body_hash, chr(0), name, chr(0), coalesce(scope, ''), chr(0), language)), 1, 16)
+      || ' ' || project || ':' || relative_path || ':' || start_line || '-' || end_line || ' ' || kind || ' ' || name || coalesce(' (' || scope || ')', '') as line from u) select * from x""",
+)
+def k9(spark, d):
+    return units_from_embeddings(spark, d).select("unit_idx", Q.unit_line().alias("line"))
+
+
+@query(
+    "c11_why",
+    f"""{_PAIR} x as (select b.unit_idx, {_RAW} as score from a join b on a.unit_idx = 5 and b.unit_idx <> 5 and b.vector is not null where b.language = 'rust' order by score desc, b.unit_idx limit 20)
+    select unit_idx, round(score, 6) as cosine, 'vector' as source, 'unit:5' as unit, 'vector_rank' as reason, 'language=rust' as filters, -1.0::double as threshold, false as suppressed from x""",
+)
+def c11(spark, d):
+    found = Q.similar(units(spark, d), 5, ["language=rust"], 20)[0].withColumn("why", Q.why("score", {"unit": "unit:5"}, ["language=rust"], -1.0))
+    w = F.col("why")
+    return found.select(
+        "unit_idx", F.round(w["scores"]["cosine"], 6).alias("cosine"), w["evidence"][0]["source"].alias("source"), w["evidence"][0]["unit"].alias("unit"), w["decision"]["reason"].alias("reason"),
+        F.array_join(w["decision"]["filters"], " ").alias("filters"), w["decision"]["threshold"].alias("threshold"), w["decision"]["suppressed"].alias("suppressed"),
+    )
+
+
+@query(
+    "s13_offline_join",
+    "f as (select project, relative_path, count(*) as units_in_file from u group by all), p as (select project, count(*) as units_in_project from u group by 1) select unit_idx, units_in_file, units_in_project from u join f using (project, relative_path) join p using (project)",
+)
+def s13(spark, d):
+    u = units_from_embeddings(spark, d)
+    files = u.groupBy("project", "relative_path").agg(F.count("*").alias("units_in_file"))
+    projects = u.groupBy(F.col("project").alias("label")).agg(F.count("*").alias("units_in_project"))
+    return offline.joined(u, files, projects).select("unit_idx", "units_in_file", "units_in_project")
+
+
 @query(
     "w11_top_names",
     "n as (select module, name, count(*) as k from uv group by all), r as (select *, row_number() over (partition by module order by k desc, name) as rank from n) select module, name, k, rank::int as rank from r where rank <= 3",

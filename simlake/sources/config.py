@@ -71,7 +71,7 @@ def load(values: dict | None) -> Config:
     check(config.retention in ("full", "report", "minimal"), "retention is full, report or minimal")
     a, c, k = config.analysis, config.comparison, config.concerns
     check(0 < a.candidate_threshold <= a.similarity_threshold <= a.rerank_threshold <= 1.5, "thresholds must rise: 0 < candidate <= similarity <= rerank <= 1.5")
-    check(min(a.block_size, a.max_edges_per_unit, a.max_semantic_cluster_size) >= 1 and a.max_cluster_size >= 2, "sizes must be positive and clusters hold two units")
+    check(min(a.block_size or 1, a.max_edges_per_unit, a.max_semantic_cluster_size) >= 1 and a.max_cluster_size >= 2, "sizes must be positive and clusters hold two units")
     check(0 < c.candidate_threshold <= c.match_threshold <= 1.5 and c.top_k_per_unit >= 1, "comparison needs 0 < candidate <= match <= 1.5 and top_k of at least 1")
     check(c.calibration in ("none", "background") and c.calibration_anchor in ("top1_p95", "same_name", "hybrid"), "unknown calibration")
     check(0 <= c.candidate_sigma_floor <= c.match_sigma_floor and c.strong_min_margin_sigma >= 0, "sigma floors must rise from 0")

@@ -1,192 +1,379 @@
+"""The analyses against plain Python versions of their rules, on random units."""
+
+import math
 import random
+from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from simlake.analyze import concerns, drift, spectrum
-from simlake.analyze.compare import CompareConfig, compare, sampled_pairs
-from simlake.analyze.duplicates import DuplicateConfig, duplicates
-from simlake.operators import graph
+from simlake.analyze import compare as C
+from simlake.analyze import concerns, drift, duplicates, experiments, spectrum
+from simlake.operators import graph, ranks
 from simlake.operators.clusters import capped, merged
 from simlake.operators.graph import UnionFind, connected_components
+from simlake.operators.index import Comparison, Contract, Duplicates, ExactBlocks, HashEmbedder, contract_diff, query_vector
 from simlake.operators.similarity import similar_pairs, similar_pairs_sql, top_k_between
-from tests.helpers import frame, norm, unit
-
-CONFIG = DuplicateConfig(candidate_threshold=0.88, similarity_threshold=0.92, rerank_threshold=0.94)
-
-
-def clusters(spark, rows, **kwargs):
-    found = duplicates(frame(spark, rows), CONFIG, **kwargs)
-    return found, found["clusters"].collect()
-
-
-def test_near_duplicates_and_folded_copies(spark):
-    same, close = norm(1, 0.1, 0, 0), norm(1, 0.2, 0.05, 0)
-    rows = [unit("main", "a/one.rs", "f1", None, "same", 10, same), unit("main", "b/two.rs", "f2", None, "same", 10, same), unit("main", "c/three.rs", "f3", None, "close", 10, close), unit("main", "d/four.rs", "f4", None, "other", 10, norm(0, 0, 1, 0)), unit("main", "e/five.rs", "f5", None, "none", 10, None)]
-    found, got = clusters(spark, rows)
-    assert [r["members"] for r in got] == [[0, 1, 2]] and len(got[0]["hash"]) == 16
-    assert {r["body_hash"]: r["members"] for r in found["exact_groups"].collect()} == {"same": [0, 1], "close": [2]}
-    ignored = spark.createDataFrame([(got[0]["hash"],)], "hash string")
-    found, left = clusters(spark, rows, ignored=ignored)
-    assert not left and [r["hash"] for r in found["ignored"].collect()] == [got[0]["hash"]]
-
-
-def test_nested_units_distance_and_complexity(spark):
-    v = norm(1, 0, 0, 0)
-    nested = [unit("main", "x.rs", "o", None, "h1", 1, v, start_byte=0, end_byte=500), unit("main", "x.rs", "i", None, "h2", 30, v, start_byte=100, end_byte=300)]
-    assert not clusters(spark, nested)[1]
-    a, b = norm(1, 0, 0, 0), norm(1, 0.45, 0, 0)
-    far = [unit("main", "mod1/deep/one.rs", "f", None, "h1", 10, a), unit("main", "mod2/other/deep/two.rs", "g", None, "h2", 10, b)]
-    near = [unit("main", "mod1/one.rs", "f", None, "h1", 10, a), unit("main", "mod1/two.rs", "g", None, "h2", 10, b)]
-    assert len(clusters(spark, far)[1]) == 1 and not clusters(spark, near)[1]
-    for body, n in (("h2", 0), ("h1", 1)):
-        small = [unit("main", "a/x.rs", "f", None, "h1", 1, v, body_node_count=10), unit("main", "b/y.rs", "g", None, body, 1, v, body_node_count=10)]
-        assert len(clusters(spark, small)[1]) == n
-
-
-def test_name_family_orders_last(spark):
-    rows = [unit("main", f"m{i}/f.rs", "update", f"S{i}", f"h{i}", 10, norm(1, 0.01 * i, 0, 0)) for i in range(6)]
-    rows += [unit("main", "p/a.rs", "x", None, "p1", 10, norm(0, 0, 1, 0)), unit("main", "p/b.rs", "y", None, "p2", 10, norm(0, 0, 1, 0.38))]
-    _, got = clusters(spark, rows)
-    assert [r["members"] for r in got] == [[6, 7], [0, 1, 2, 3, 4, 5]] and got[1]["name_family"] == "update"
-    plain = [r | {"scope": None} for r in rows[:6]]
-    assert clusters(spark, plain)[1][0]["name_family"] is None
-
-
-def test_cross_directory(spark):
-    rows = [unit("main", "billing/a.rs", "f", "Invoice", "a1", 1, norm(1, 0, 0, 0)), unit("main", "shipping/b.rs", "f", "Label", "a2", 1, norm(1, 0, 0, 0))]
-    rows += [unit("main", "one/a.rs", "g", None, "b1", 1, norm(0, 1, 0, 0)), unit("main", "one/b.rs", "g", None, "b2", 1, norm(0, 1, 0, 0))]
-    rows += [unit("main", "x/utils/a.rs", "h", None, "c1", 1, norm(0, 0, 1, 0)), unit("main", "y/utils/b.rs", "h", None, "c2", 1, norm(0, 0, 1, 0))]
-    found, got = clusters(spark, rows)
-    cross = found["cross_directory"].collect()
-    assert len(got) == 3 and [(r["modules"], r["generic_helper"]) for r in cross] == [(["billing", "shipping"], False), (["x", "y"], True)]
-    assert cross[0]["score"] == pytest.approx((2 + 1 + 2) * 1.5) and cross[1]["score"] == pytest.approx((4 + 1 + 2) * 0.4)
-
-
-def global_greedy(edges, bodies, limit, units, variety):
-    kept = capped(edges, limit)
-    return kept, merged(kept, bodies, units, variety)
-
-
-def test_greedy_by_component_equals_global():
-    rng = random.Random(2)
-    for _ in range(300):
-        n = rng.randint(2, 14)
-        bodies = {i: f"b{rng.randint(0, n)}" for i in range(n)}
-        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 2 * n))}
-        edges = sorted(((a, b, s, s, bodies[a] == bodies[b]) for a, b in pairs for s in [rng.choice([0.8, 0.9, 1.0])]), key=lambda e: (-e[3], e[0], e[1]))
-        limits = rng.randint(1, 3), rng.randint(2, 6), rng.randint(1, 4)
-        kept, home = global_greedy(edges, bodies, *limits)
-        sets = UnionFind()
-        for a, b, *_ in edges:
-            sets.join(a, b)
-        parts = {}
+from tests.helpers import direction, drawn, entry, table
+
+SETTINGS = duplicates.DuplicateConfig(candidate_threshold=0.9, similarity_threshold=0.96, rerank_threshold=1.0, max_edges_per_unit=3, max_cluster_size=7, max_semantic_cluster_size=4)
+TEST_FOLDERS, HELPER_FOLDERS = {"tests", "docs"}, {"util", "lib"}
+
+
+def cosine(u, v):
+    return sum(x * y for x, y in zip(u["vector"], v["vector"], strict=True))
+
+
+def folders(u):
+    return u["relative_path"].split("/")[:-1]
+
+
+def steps(u, v):
+    x, y = folders(u), folders(v)
+    same = 0
+    while same < min(len(x), len(y)) and x[same] == y[same]:
+        same += 1
+    return len(x) + len(y) - 2 * same
+
+
+def is_test(u):
+    file = u["relative_path"].split("/")[-1]
+    return bool(TEST_FOLDERS & {f.lower() for f in folders(u)}) or "_test." in file or ".spec." in file or (u["scope"] or "").split(".")[0] == "tests"
+
+
+def ranked(rows, config):
+    found = []
+    for i, u in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            v = rows[j]
+            if u["vector"] is None or v["vector"] is None or (raw := cosine(u, v)) < config.candidate_threshold:
+                continue
+            same_file = (u["project"], u["relative_path"]) == (v["project"], v["relative_path"])
+            if same_file and u["start_byte"] < v["end_byte"] and v["start_byte"] < u["end_byte"]:
+                continue
+            exact = u["body_hash"] == v["body_hash"]
+            if not exact and min(u["body_node_count"], v["body_node_count"]) < config.min_semantic_body_node_count:
+                continue
+            gap = max(0, v["start_line"] - u["end_line"], u["start_line"] - v["end_line"])
+            boosted = raw * (1 + (0.1 * min(gap / 200, 1) if same_file else min(0.03 * steps(u, v), 0.15)))
+            if raw >= config.similarity_threshold or boosted >= config.rerank_threshold:
+                found.append((i, j, raw, boosted, exact))
+    return sorted(found, key=lambda e: (-round(e[3], 12), e[0], e[1]))
+
+
+def spread(rows, members):
+    """Mean way to the nearest other member, entropy of directories."""
+    where = [folders(rows[m]) for m in members]
+    ways = [min((steps(rows[m], rows[o]) for o in members if o != m), default=0) for m in members]
+    counts = Counter(map(tuple, where)).values()
+    return sum(ways) / len(ways), -sum(c / len(members) * math.log2(c / len(members)) for c in counts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_duplicates_equal_the_rules(spark, seed):
+    rows = drawn(seed, 70, ("one", "two"))
+    found = duplicates.duplicates(table(spark, rows), SETTINGS)
+    edges = ranked(rows, SETTINGS)
+    kept = capped(edges, SETTINGS.max_edges_per_unit)
+    home = merged(kept, {i: u["body_hash"] for i, u in enumerate(rows)}, SETTINGS.max_cluster_size, SETTINGS.max_semantic_cluster_size)
+    want = defaultdict(list)
+    for unit, cluster in sorted(home.items()):
+        want[cluster].append(unit)
+    assert len(want) > 3
+    got = {tuple(r["members"]): r for r in found["clusters"].collect()}
+    assert set(got) == set(map(tuple, want.values()))
+    for members, r in got.items():
+        tests = sum(is_test(rows[m]) for m in members)
+        inside = [e for e in kept if e[0] in members and e[1] in members]
+        assert r["kind"] == ("product" if not tests else "test_or_docs" if tests == len(members) else "mixed")
+        assert r["top_raw"] == pytest.approx(max(e[2] for e in inside)) and r["top_boosted"] == pytest.approx(max(e[3] for e in inside)) and r["bodies"] == len({rows[m]["body_hash"] for m in members})
+    cross = {r["hash"]: r for r in found["cross_directory"].collect()}
+    for members, r in got.items():
+        dispersion, entropy = spread(rows, members)
+        tops = {rows[m]["relative_path"].split("/")[0] for m in members}
+        assert (r["hash"] in cross) == (len(tops) >= 2 or dispersion >= 1)
+        if r["hash"] in cross:
+            helpers = 2 * sum(bool(HELPER_FOLDERS & {f.lower() for f in folders(rows[m])}) for m in members) > len(members)
+            scopes = {rows[m]["scope"] for m in members} - {None}
+            score = (dispersion + entropy + len(tops)) * (0.4 if helpers else 1) * (1.5 if len(scopes) >= 2 else 1)
+            assert cross[r["hash"]]["score"] == pytest.approx(score) and cross[r["hash"]]["generic_helper"] == helpers
+    # what is ignored leaves every table, and an index of the same shape can take the place of the default
+    gone = sorted(r["hash"] for r in got.values())[0]
+    again = Duplicates().run(table(spark, rows), SETTINGS)
+    less = duplicates.duplicates(table(spark, rows), SETTINGS, ignored=spark.createDataFrame([(gone,)], "hash string"), index=ExactBlocks(9))
+    assert again["clusters"].count() == len(got) and less["clusters"].count() == len(got) - 1 and [r["hash"] for r in less["ignored"].collect()] == [gone]
+
+
+def test_a_family_is_one_name_in_many_scopes(spark):
+    rows = [entry(f"one:shapes/s{i}.go", f"area{i}", direction(i / 9), name="Area" if i < 6 else "Border", scope=f"Shape{i % 4}") for i in range(8)]
+    members = table(spark, rows).withColumn("cluster", F.lit(0))
+    assert [tuple(r) for r in duplicates.families(members).collect()] == [(0, "Area")]
+    assert not duplicates.families(members.where("unit_idx < 5")).count() and not duplicates.families(members.withColumn("scope", F.lit("Shape"))).count()
+    config = replace(SETTINGS, max_edges_per_unit=20, max_cluster_size=20, max_semantic_cluster_size=20)
+    rows += [entry(f"one:other/o{i}.go", f"o{i}", direction(120 + 3 * i)) for i in range(2)]
+    assert [r["name_family"] for r in duplicates.duplicates(table(spark, rows), config)["clusters"].collect()] == [None, "Area"]
+
+
+def test_deciding_by_component_is_deciding_globally():
+    for seed in range(200):
+        rng = random.Random(seed)
+        n = rng.randint(3, 16)
+        body = [rng.choice("pqrstuv") for _ in range(n)]
+        edges = [(a, b, 1.0, rng.choice([0.7, 0.8, 0.9]), body[a] == body[b]) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.25]
+        edges.sort(key=lambda e: (-e[3], e[0], e[1]))
+        sets, parts = UnionFind(), defaultdict(list)
         for e in edges:
-            parts.setdefault(sets.find(e[0]), []).append(e)
-        by_part = [global_greedy(p, bodies, *limits) for p in parts.values()]
-        assert sorted(kept) == sorted(e for k, _ in by_part for e in k) and home == {u: c for _, h in by_part for u, c in h.items()}
+            sets.join(e[0], e[1])
+        for e in edges:
+            parts[sets.find(e[0])].append(e)
+        decide = lambda some: (k := capped(some, 2), merged(k, dict(enumerate(body)), 5, 3))
+        kept, home = decide(edges)
+        apart = [decide(p) for p in parts.values()]
+        assert sorted(kept) == sorted(e for k, _ in apart for e in k) and home == {u: c for _, h in apart for u, c in h.items()}
 
 
-@pytest.mark.parametrize("local", [500_000, 60])
-def test_connected_components(spark, monkeypatch, local):
+@pytest.mark.parametrize("local", [500_000, 40])
+def test_components_of_chains_stars_and_noise(spark, monkeypatch, local):
     monkeypatch.setattr(graph, "LOCAL_EDGES", local)
-    rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(200)] + [(rng.randint(300, 700), rng.randint(300, 700)) for _ in range(250)] + [(9, 9), (None, 4)] + [(1000, x) for x in range(1001, 1300)]
-    sets = UnionFind()
+    rng = random.Random(11)
+    edges = [(7 * i, 7 * i + 7) for i in range(120)] + [(5000, 5001 + i) for i in range(150)] + [(rng.randrange(9000, 9300), rng.randrange(9000, 9300)) for _ in range(180)] + [(3, 3), (None, 5), (6, None)]
+    want = UnionFind()
     for a, b in edges:
-        if None not in (a, b) and a != b:
-            sets.join(a, b)
-            sets.join(b, a)
-    nodes = {x for e in edges if None not in e and e[0] != e[1] for x in e}
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {x: sets.find(x) for x in nodes}
-    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
-
-
-def test_blocks_equal_nested_loops(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=8)] if i % 9 else None) for i in range(70)]
+        if a is not None and b is not None:
+            want.join(a, b)
+    nodes = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()} == {x: want.find(x) for x in nodes}
+    assert connected_components(spark.createDataFrame([], "a int, b int")).isEmpty()
+
+
+def test_vector_joins_equal_nested_loops(spark):
+    rng = np.random.default_rng(12)
+    grid = rng.integers(-2, 3, size=(60, 4)).astype(float)  # equal scores occur
+    rows = [(i * 3, None if i % 11 == 5 else v.tolist()) for i, v in enumerate(grid)]
     df = spark.createDataFrame(rows, "id bigint, v array<double>")
-    want = {(r["a"], r["b"]): round(r["score"], 9) for r in similar_pairs_sql(df, 2.0).collect()}
-    for block in (5, 64, 2048):
-        assert {(r["a"], r["b"]): round(r["score"], 9) for r in similar_pairs(df, 2.0, block=block).collect()} == want
-    left, right = df.where("id < 30"), df.where("id >= 30")
-    tops = [sorted((r["a"], r["rank"], r["b"]) for r in top_k_between(left, right, 3, -9.0, block=b).collect()) for b in (4, 2048)]
-    assert tops[0] == tops[1] and len(tops[0]) == 3 * 26
-
-
-def test_all_classes_of_the_comparison(spark):
-    v = norm(0.3, 0.3, 0.3, 0.3)
-    rows = [
-        unit("v1", "src/exact.rs", "same", None, "e", 1, v), unit("v1", "src/api.rs", "handle", None, "l1", 10, norm(1, 0.1, 0, 0)), unit("v1", "src/big.rs", "monolith", None, "l2", 20, norm(0, 1, 0.3, 0)), unit("v1", "src/gone.rs", "legacy", None, "l3", 30, norm(0, 0, 0, 1)),
-        unit("v2", "lib/exact.rs", "same", None, "e", 1, v), unit("v2", "lib/api.rs", "handle", None, "r1", 10, norm(1, 0.15, 0.05, 0)), unit("v2", "lib/one.rs", "part1", None, "r2", 20, norm(0, 1, 0.25, 0.05)), unit("v2", "lib/two.rs", "part2", None, "r3", 25, norm(0.05, 1, 0.35, 0)), unit("v2", "lib/fresh.rs", "new", None, "r4", 40, norm(0.5, 0, 0.86, 0)),
-    ]
-    found = compare(frame(spark, rows), "v1", "v2")
-    got = [(r["class"], r["left"], r["right"]) for r in found["records"].collect()]
-    assert got == [("exact_copy", [0], [4]), ("strong_match", [1], [5]), ("split", [2], [6, 7]), ("missing_in_right", [3], []), ("new_in_right", [], [8])]
-    assert {r["class"]: r["n"] for r in found["counts"].collect()} == {"exact_copy": 1, "strong_match": 1, "possible_match": 0, "split": 1, "merge": 0, "missing_in_right": 1, "new_in_right": 1}
-    cover = {(r["by"], r["group"]): tuple(r[c] for c in ("total_left", "covered", "possible", "missing")) for r in found["coverage"].collect()}
-    assert cover == {("directory", "src"): (4, 3, 0, 1), ("language", "rust"): (4, 3, 0, 1)}
-    for labels in (("v1", "v1"), ("v1", "nope")):
-        with pytest.raises(ValueError):
-            compare(frame(spark, rows), *labels)
-
-
-def test_merge_hints_nodes_and_fanout(spark):
-    merge = [unit("v1", "src/a.rs", "p1", None, "h1", 1, norm(0, 1, 0.25, 0.05)), unit("v1", "src/b.rs", "p2", None, "h2", 1, norm(0.05, 1, 0.35, 0)), unit("v2", "lib/all.rs", "c", None, "h3", 1, norm(0, 1, 0.3, 0))]
-    classes = lambda rows, **c: [(r["class"], r["left"], r["right"]) for r in compare(frame(spark, rows), "v1", "v2", CompareConfig(**c))["records"].collect()]
-    assert classes(merge) == [("merge", [0, 1], [2])]
-    hinted = [unit("v1", "src/a.rs", "same", None, "h1", 1, norm(1, 0, 0, 0)), unit("v2", "src/a.rs", "same", None, "h2", 1, norm(0.83, 0.5577, 0, 0))]
-    record = compare(frame(spark, hinted), "v1", "v2")["records"].first()
-    assert record["class"] == "possible_match" and 0 < record["hint"] <= 0.04
-    tiny = [r | {"body_node_count": 12} for r in hinted]
-    assert [c for c, *_ in classes(tiny, min_body_node_count=20)] == ["missing_in_right", "new_in_right"]
-    crowd = [unit("v1", f"src/{i}.rs", f"f{i}", None, f"h{i}", 1, norm(1, 0.01 * i, 0, 0)) for i in range(3)] + [unit("v2", "lib/x.rs", "g", None, "r", 1, norm(1, 0.005, 0, 0))]
-    found = compare(frame(spark, crowd), "v1", "v2", CompareConfig(max_right_candidate_fanout=2))
-    assert {r["class"]: r["n"] for r in found["counts"].collect() if r["n"]} == {"missing_in_right": 3, "new_in_right": 1} and [tuple(r) for r in found["suppressed"].collect()] == [(3, 3)]
-
-
-def test_calibration(spark):
-    rows = [unit("v1", f"a{i}.rs", f"l{i}", None, f"l{i}", 1, v) for i, v in enumerate([norm(1, 0, 0, 0), norm(0, 1, 0, 0)])]
-    rows += [unit("v2", f"b{i}.rs", f"r{i}", None, f"r{i}", 1, v) for i, v in enumerate([[0.8, 0.0, 0.6, 0.0], [0.0, 0.8, 0.0, 0.6]])]
-    found = compare(frame(spark, rows), "v1", "v2", CompareConfig(calibration="background", candidate_sigma_floor=0, match_sigma_floor=0))
-    cal = found["calibration"]
-    assert cal["applied"] and cal["background_mean"] == pytest.approx(0.4) and cal["top1_anchor"] == pytest.approx(0.8) and cal["effective_match_threshold"] == pytest.approx(0.744)
-    assert {r["class"]: r["n"] for r in found["counts"].collect()}["strong_match"] == 2
-    floors = compare(frame(spark, rows), "v1", "v2", CompareConfig(calibration="background", candidate_sigma_floor=2, match_sigma_floor=3))
-    assert floors["calibration"]["candidate_floor"] == pytest.approx(1.2) and floors["calibration"]["match_floor"] == pytest.approx(1.6)
-    assert {r["class"]: r["n"] for r in floors["counts"].collect()}["strong_match"] == 0
-    equal = [r | {"vector": norm(1, 0, 0, 0)} for r in rows]
-    assert not compare(frame(spark, equal), "v1", "v2", CompareConfig(calibration="background"))["calibration"]["applied"]
-    assert len(sampled_pairs(7, 5, 40)) == 40 and sampled_pairs(7, 5, 40) == sampled_pairs(7, 5, 40)
-
-
-def test_all_but_the_top_matches_numpy(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(40, 6)) + 3
-    rows = [unit("v1", "a.rs", "f", None, f"h{i}", i, [float(y) for y in v]) for i, v in enumerate(x)]
-    got = np.array([r["vector"] for r in spectrum.all_but_the_top(frame(spark, rows), 2).orderBy("unit_idx").collect()])
+    pairs = sorted(tuple(r) for r in similar_pairs_sql(df, 3.0).collect())
+    for block in (None, 7):
+        assert sorted(tuple(r) for r in similar_pairs(df, 3.0, block=block).collect()) == pairs
+    known = [(i, v) for i, v in rows if v is not None]
+    for k, block in ((1, None), (4, 7), (99, 13)):
+        want = []
+        for i, v in known[:25]:
+            order = sorted(((-float(np.dot(v, w)), j) for j, w in known[25:]))[:k]
+            want += [(i, j, -s, at) for at, (s, j) in enumerate(order, 1)]
+        cut = known[24][0]
+        got = top_k_between(df.where(F.col("id") <= cut), df.where(F.col("id") > cut), k, -99.0, block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_positions_and_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "LEAF", 10)
+    rng = random.Random(13)
+    values = [rng.choice([rng.gauss(0, 1), 0.25, 1e9]) for _ in range(400)] + [None] * 5
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(5)
+    real = sorted(v for v in values if v is not None)
+    for at in (0, 1, 133, 200, 399):
+        assert ranks.rank_pick(df, "x", lambda n, at=at: at) == real[at]
+    assert ranks.rank_pick(df.where("x is null"), "x", lambda n: 0) is None
+    assert [r["p"] for r in ranks.positions(df, "i", "p").orderBy("i").collect()] == list(range(405))
+    assert sorted(r["i"] for r in ranks.evenly_spaced(df, "i", 7).collect()) == [k * 405 // 7 for k in range(7)] and ranks.evenly_spaced(df, "i", 0).count() == 405
+    assert experiments.interpolated(df, "x", 0.3) == pytest.approx(np.percentile(real, 30))
+
+
+def compared(rows, config):
+    """Records (class, left, right, score) by the rules, one after the other."""
+    left, right = ([i for i, u in enumerate(rows) if u["project"] == p] for p in ("old", "new"))
+    able = {i for i, u in enumerate(rows) if u["body_node_count"] >= config.min_body_node_count}
+    records = []
+    for i in left:
+        if i in able and (same := [j for j in right if j in able and rows[j]["body_hash"] == rows[i]["body_hash"]]):
+            records.append(("exact_copy", [i], same, 1.0))
+    used_l, used_r = {i for r in records for i in r[1]}, {j for r in records for j in r[2]}
+    ls, rs = ([i for i in side if i in able and i not in used and rows[i]["vector"]] for side, used in ((left, used_l), (right, used_r)))
+
+    def hint(i, j):
+        u, v = rows[i], rows[j]
+        a, b = u["name"].lower(), v["name"].lower()
+        name = 0.02 if a == b else 0.01 if a in b or b in a else 0
+        top = lambda w: w["relative_path"].split("/")[0]
+        return min(0.04, name + (0.02 if folders(u) == folders(v) else 0.01 if top(u) == top(v) else 0))
+
+    raw = {(i, j): cosine(rows[i], rows[j]) for i in ls for j in rs}
+    raw = {e: s for e, s in raw.items() if s >= config.candidate_threshold}
+    best = lambda own, mine, other: set(sorted((e for e in raw if e[own] == mine), key=lambda e: (-round(raw[e], 12), e[other]))[: config.top_k_per_unit])
+    edges = set().union(*(best(0, i, 1) for i in ls), *(best(1, j, 0) for j in rs))
+    pick = lambda own, other: {m: min((e for e in edges if e[own] == m), key=lambda e: (-round(raw[e] + hint(*e), 12), e[other])) for m in {e[own] for e in edges}}
+    to_right, to_left = pick(0, 1), pick(1, 0)
+    fans = Counter(j for _, j in to_right.values())
+    crowded = {j for j, c in fans.items() if config.max_right_candidate_fanout and c > config.max_right_candidate_fanout}
+    to_right, to_left = ({m: e for m, e in way.items() if e[1] not in crowded} for way in (to_right, to_left))
+    claims = defaultdict(list)
+    for j, e in sorted(to_left.items()):
+        if raw[e] >= config.match_threshold:
+            claims[e[0]].append(j)
+    for i, js in claims.items():
+        if len(js) >= 2:
+            records.append(("split", [i], js, max(raw[i, j] for j in js)))
+    split_l, split_r = {r[1][0] for r in records if r[0] == "split"}, {j for r in records if r[0] == "split" for j in r[2]}
+    claims = defaultdict(list)
+    for i, e in sorted(to_right.items()):
+        if raw[e] >= config.match_threshold and i not in split_l and e[1] not in split_r:
+            claims[e[1]].append(i)
+    for j, some in claims.items():
+        if len(some) >= 2:
+            records.append(("merge", some, [j], max(raw[i, j] for i in some)))
+    taken_l = split_l | {i for r in records if r[0] == "merge" for i in r[1]}
+    taken_r = split_r | {r[2][0] for r in records if r[0] == "merge"}
+    for i, e in sorted(to_right.items()):
+        if i not in taken_l:
+            strong = raw[e] >= config.match_threshold and to_left.get(e[1]) == e and e[1] not in taken_r
+            records.append(("strong_match" if strong else "possible_match", [i], [e[1]], raw[e]))
+    seen_l, seen_r = {i for r in records for i in r[1]}, {j for r in records for j in r[2]}
+    records += [("missing_in_right", [i], [], 0.0) for i in left if i not in seen_l] + [("new_in_right", [], [j], 0.0) for j in right if j not in seen_r]
+    return records, {(j, fans[j]) for j in crowded}
+
+
+@pytest.mark.parametrize(("seed", "fanout"), [(21, 0), (22, 2), (23, 1)])
+def test_comparisons_equal_the_rules(spark, seed, fanout):
+    rows = drawn(seed, 60, ("old", "new"))
+    rows = [u | {"body_hash": u["body_hash"] + (u["project"] if i % 3 else "")} for i, u in enumerate(rows)]
+    config = C.CompareConfig(candidate_threshold=0.93, match_threshold=0.985, top_k_per_unit=4, min_body_node_count=10, max_right_candidate_fanout=fanout)
+    found = Comparison("old", "new").run(table(spark, rows), config)
+    want, crowded = compared(rows, config)
+    key = lambda r: (r[0], list(r[1]), list(r[2]), round(r[3], 6))
+    got = [(r["class"], r["left"], r["right"], r["score"]) for r in found["records"].collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({r[0] for r in want}) >= 5
+    assert got == sorted(got, key=lambda r: (C.CLASSES.index(r[0]), -r[3], r[1], r[2]))
+    assert {tuple(r) for r in found["suppressed"].collect()} == crowded
+    assert {r["class"]: r["n"] for r in found["counts"].collect()} == {c: sum(r[0] == c for r in want) for c in C.CLASSES}
+    classes = {i: r[0] for r in want for i in r[1]}
+    for r in found["coverage"].collect():
+        mine = [classes[i] for i, u in enumerate(rows) if u["project"] == "old" and r["group"] == ("/".join(folders(u)) if r["by"] == "directory" else u["language"])]
+        assert (r["total_left"], r["possible"], r["missing"]) == (len(mine), mine.count("possible_match"), mine.count("missing_in_right"))
+    for labels in (("old", "old"), ("old", "gone")):
+        with pytest.raises(ValueError, match="project"):
+            C.compare(table(spark, rows), *labels)
+
+
+def test_many_projects_can_be_compared(spark):
+    rows = [entry(f"p{i:04d}:a.go", f"b{i}", direction(i)) for i in range(1001)] + [entry("zz:a.go", "b0", direction(0))]
+    counts = {r["class"]: r["n"] for r in C.compare(table(spark, rows), "p1000", "zz")["counts"].collect()}
+    assert counts["missing_in_right"] == 1 and counts["new_in_right"] == 1
+
+
+def test_margins(spark):
+    edges = [(1, 1, 0.9, 0.0), (1, 2, 0.8, 0.2), (2, 1, 0.7, 0.0), (3, 1, 0.5, 0.0), (3, 2, 0.5, 0.0)]
+    got = {r["l"]: (r["r"], r["margin"]) for r in C.best_edges(spark.createDataFrame(edges, "l int, r int, raw double, hint double"), "l", "r").collect()}
+    assert got == {1: (2, pytest.approx(0.1)), 2: (1, math.inf), 3: (1, 0.0)}
+
+
+def test_calibration_by_background(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = [entry(f"{p}:f{i}.go", f"{p}{i}", (v := rng.normal(size=8)) is not None and (v / np.linalg.norm(v)).tolist(), name=f"n{i if i < 4 else i % 2}") for p in ("old", "new") for i in range(30)]
+    x, y = (np.array([u["vector"] for u in rows if u["project"] == p]) for p in ("old", "new"))
+    s = x @ y.T
+    top = np.sort(s.max(axis=1))[int(29 * 0.95 + 0.5)]
+    named = np.sort([s[i, i] for i in (2, 3)])[1]
+    for anchor, wanted in (("top1_p95", top), ("same_name", named), ("hybrid", max(top, named))):
+        config = C.CompareConfig(calibration="background", calibration_anchor=anchor, min_same_name_anchors=2)
+        c = C.compare(table(spark, rows), "old", "new", config)["calibration"]
+        assert c["background_mean"] == pytest.approx(s.mean()) and c["background_std"] == pytest.approx(s.std()) and c["effective_anchor"] == pytest.approx(wanted) and c["same_name_count"] == 2
+        assert c["applied"] == (wanted - s.mean() >= 0.05)
+        if c["applied"]:
+            assert c["effective_candidate_threshold"] == pytest.approx(max(s.mean() + 0.78 * (wanted - s.mean()), s.mean() + 2 * s.std()))
+    # more pairs than the sample: positions are drawn, alike however the draws are cut into rows
+    few = [tuple(r) for r in C.sampled_pairs(spark, 13, 7, 50).collect()]
+    monkeypatch.setattr(C, "DRAWS", 8)
+    assert [tuple(r) for r in C.sampled_pairs(spark, 13, 7, 50).collect()] == few and all(0 <= i < 13 and 0 <= j < 7 for i, j in few) and len(set(few)) > 20
+    drawn_scores = C._background(*(table(spark, rows).where(F.col("project") == p).select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for p in ("old", "new")), 40)
+    pairs = [tuple(r) for r in C.sampled_pairs(spark, 30, 30, 40).collect()]
+    assert sorted(r["score"] for r in drawn_scores.collect()) == pytest.approx(sorted(s[i, j] for i, j in pairs))
+
+
+def test_all_but_the_top_and_the_spectrum(spark):
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(50, 7)) * [5, 3, 1, 1, 1, 0.5, 0.1] - 2
+    units = table(spark, [entry(f"one:a.go#{i}", f"b{i}", v.tolist()) for i, v in enumerate(x)] + [entry("one:b.go", "none")])
+    got = {r["unit_idx"]: r["vector"] for r in spectrum.all_but_the_top(units, 3).collect()}
     y = x - x.mean(axis=0)
-    top = np.linalg.svd(y, full_matrices=False)[2][:2]
-    y = y - y @ top.T @ top
-    assert np.allclose(got, y / np.linalg.norm(y, axis=1, keepdims=True))
-    gauge = spectrum.gauge(frame(spark, rows))
-    assert gauge["n"] == 40 and gauge["mean_norm"] == pytest.approx(np.linalg.norm(x.mean(axis=0))) and 0 < gauge["top1_energy"] <= gauge["top3_energy"] <= 1
-
-
-def test_concerns_and_drift(spark):
-    rows = [unit("main", "api/retry.rs", "r", None, "h1", 1, norm(1, 0.05, 0, 0)), unit("main", "worker/back.rs", "b", None, "h2", 1, norm(1, 0.9, 0, 0)), unit("main", "x.rs", "o", None, "h3", 1, norm(0, 0, 1, 0)), unit("main", "y.rs", "n", None, "h4", 1, None)]
-    units = frame(spark, rows)
-    kept = concerns.project(units, [("errors", [1.0, 0, 0, 0]), ("cache", [0, 0, 1.0, 0])])
-    assert [(r["concern"], r["unit_idx"]) for r in kept.orderBy("concern", "rank").collect()] == [("cache", 2), ("errors", 0), ("errors", 1)]
-    spread = {r["concern"]: r for r in concerns.spread(kept, units).collect()}
-    assert (spread["errors"]["files"], spread["errors"]["directories"], spread["errors"]["directory_entropy"], spread["errors"]["dispersion"]) == (2, 2, 1.0, 2.0) and spread["cache"]["dispersion"] == 0.0
-    side = lambda rows: spark.createDataFrame(rows, "body_hash string, vector array<double>")
-    base = [(f"h{i}", [1.0, i * 1.0]) for i in range(6)]
-    same = drift.drift(side(base), side([(h, [2 * x for x in v]) for h, v in base]), top_k=2)
-    assert same.cosine_min == pytest.approx(1) and same.mean_neighbor_recall == 1 and same.max_abs_component_delta == pytest.approx(0) and same.passes(0.999, 1.0)
-    moved = drift.drift(side(base), side([("h0", [0.0, 1.0]), ("h1", [1.0, 1.0]), ("x", [1.0, 1.0])]), top_k=1, sample=1)
-    assert moved.shared == 2 and moved.cosine_min == pytest.approx(0) and moved.recall_queries == 1 and not moved.passes(0.5, 0)
-    for other in ([("h0", [1.0, 0.0, 0.0])], [("zz", [1.0, 0.0])]):
+    _, _, axes = np.linalg.svd(y, full_matrices=False)
+    y = y - y @ axes[:3].T @ axes[:3]
+    assert got.pop(50) is None and np.allclose([got[i] for i in range(50)], y / np.linalg.norm(y, axis=1, keepdims=True))
+    values = np.linalg.eigvalsh(x.T @ x / 50)[::-1]
+    share = values / values.sum()
+    g = spectrum.gauge(units)
+    assert (g["n"], g["top1_energy"], g["top3_energy"]) == (50, pytest.approx(share[0]), pytest.approx(share[:3].sum())) and g["effective_rank"] == pytest.approx(np.exp(-(share * np.log(share)).sum()))
+
+
+def test_concerns(spark):
+    rows = drawn(41, 40, ("one", "two"))
+    queries = [("low", direction(0)), ("high", direction(80)), ("none", direction(0, -90))]
+    kept = [tuple(r) for r in concerns.project(table(spark, rows), queries, 0.8, 5).collect()]
+    for name, q in queries:
+        scores = sorted(((-sum(a * b for a, b in zip(u["vector"], q, strict=True)), i) for i, u in enumerate(rows) if u["vector"]))
+        want = [(i, at) for at, (s, i) in enumerate(scores, 1) if -s >= 0.8][:5]
+        assert sorted((r[1], r[3]) for r in kept if r[0] == name) == sorted(want)
+    got = {r["concern"]: r for r in concerns.spread(concerns.project(table(spark, rows), queries, 0.8, 5), table(spark, rows)).collect()}
+    for name, r in got.items():
+        members = [k[1] for k in kept if k[0] == name]
+        dispersion, entropy = spread(rows, members)
+        assert r["dispersion"] == pytest.approx(dispersion) and r["directory_entropy"] == pytest.approx(entropy) and r["files"] == len({(rows[m]["project"], rows[m]["relative_path"]) for m in members})
+
+
+def _models(seed, n=40, d=6):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    return x, x + rng.normal(scale=0.3, size=(n, d))
+
+
+def _side(spark, x):
+    return spark.createDataFrame([(f"h{i:03d}", v.tolist()) for i, v in enumerate(x)], "body_hash string, vector array<double>")
+
+
+def test_drift_and_agreement_of_models(spark):
+    x, y = _models(51)
+    u, w = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+    report = drift.drift(_side(spark, x), _side(spark, y[:35]), top_k=4)
+    cosines = np.sort((u * w).sum(axis=1)[:35])
+    assert (report.baseline_count, report.candidate_count, report.shared, report.recall_queries) == (40, 35, 35, 35)
+    assert report.cosine_min == pytest.approx(cosines[0]) and report.cosine_p50 == pytest.approx(cosines[17]) and report.max_abs_component_delta == pytest.approx(np.abs(u - w)[:35].max())
+    near = lambda z: [set(np.argsort(-(row := z[:35] @ z[i]) + 9 * (np.arange(35) == i), kind="stable")[:4]) for i in range(35)]
+    recall = np.mean([len(a & b) / 4 for a, b in zip(near(u), near(w), strict=True)])
+    assert report.mean_neighbor_recall == pytest.approx(recall) and report.passes(-1, recall - 0.01) and not report.passes(0.9999, 0)
+    assert drift.drift(_side(spark, x), _side(spark, 3 * x), top_k=4, sample=5).recall_queries == 5
+    for wrong in (x[:, :3], None):
         with pytest.raises(ValueError):
-            drift.drift(side(base), side(other))
+            drift.drift(_side(spark, x), _side(spark, wrong) if wrong is not None else _side(spark, x).where("false"))
+    shared = drift.aligned(_side(spark, x), _side(spark, y))
+    got = experiments.agreement(shared, 0.5)
+    delta = np.abs(u @ u.T - w @ w.T)[np.triu_indices(40, 1)]
+    assert got["p95_pairwise_delta"] == pytest.approx(np.percentile(delta, 95)) and got["max_pairwise_delta"] == pytest.approx(delta.max()) and got["min_pooled_cosine"] == pytest.approx((u * w).sum(axis=1).min())
+    assert experiments.pair_similarities(shared, 10).count() == 10 * 30 + 45
+    score = lambda z: np.linalg.svd(z - z.mean(axis=0), full_matrices=False)[0][:, :4]
+    want = np.linalg.svd(score(u).T @ score(w), compute_uv=False)
+    assert experiments.canonical_correlations(shared, 4) == pytest.approx(want.tolist())
+    tied = spark.createDataFrame([(float(a), float(b)) for a, b in [(1, 5), (2, 6), (2, 7), (4, 7), (9, 1)]], "a double, b double")
+    assert experiments.spearman(tied, "a", "b") == pytest.approx(np.corrcoef([1, 2.5, 2.5, 4, 5], [2, 3, 4.5, 4.5, 1])[0, 1])
+
+
+def test_separation_and_expected_clusters(spark):
+    rows = [(i, direction(10 * i)) for i in range(6)]
+    left, right = (spark.createDataFrame(rows, "id bigint, v array<double>") for _ in range(2))
+    pairs = spark.createDataFrame([(0, 0), (1, 1), (2, 4), (3, 99)], "l bigint, r bigint")
+    r = experiments.separation(left, right, pairs, 0.5, 0.25).first()
+    cos = lambda a: math.cos(math.radians(a))
+    assert r["gt_pairs"] == 3 and r["gt_top1_rate"] == pytest.approx(2 / 3) and r["gt_z_min"] == pytest.approx((cos(20) - 0.5) / 0.25) and r["gt_margin_mean"] == pytest.approx(((1 - cos(10)) * 2 + cos(20) - 1) / 3)
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)], "unit_idx bigint, cluster bigint")
+    expected = spark.createDataFrame([(1, 2), (2, 3), (4, 9)], "a bigint, b bigint")
+    assert tuple(experiments.expected_clusters(members, expected, members.where("unit_idx in (2, 4, 5)")).first()) == (2, 3, 1, 1)
+
+
+def test_contracts(spark):
+    a = HashEmbedder(16).contract
+    assert contract_diff(a, a) == [] and contract_diff(a, Contract("simlake", "other", "1", 32)) == ["model", "dimensions"]
+    assert len(query_vector(spark, HashEmbedder(16), "open the door", a)) == 16 and query_vector(spark, HashEmbedder(4), "") == [0.0] * 4
+    with pytest.raises(ValueError, match="dimensions"):
+        query_vector(spark, HashEmbedder(8), "x", a)
+    with pytest.raises(ValueError, match="query"):
+        HashEmbedder().embed(F.lit("x"), "title")

@@ -15,7 +15,7 @@ from simlake.sources import config
 from simlake.sources.scan import python_units
 from simlake.sources.store import Store, ignored_hashes, retained, unit_source
 from simlake.streaming import incremental
-from tests.helpers import frame, norm, unit
+from tests.helpers import direction, entry, table
 
 
 def test_paths(spark):
@@ -36,9 +36,9 @@ def test_vectors(spark):
 
 def test_where(spark):
     assert glob_pattern("a/*", True) == "^a/[^/]*$" and glob_pattern("a/**", True) == "^a/.*$"
-    units = frame(spark, [unit("v1", "a/x.rs", "load", "S", "h", 1, None), unit("v1", "a/b/x.rs", "load_all", None, "h", 1, None), unit("v2", "c.rs", "store", None, "h", 1, None, body_node_count=99)])
+    units = table(spark, [entry("v1:a/x.go", "h", name="load", scope="S"), entry("v1:a/b/x.go", "h", name="load_all"), entry("v2:c.go", "h", name="store", body_node_count=99)])
     pick = lambda *c: [r["unit_idx"] for r in units.where(parse(c)).orderBy("unit_idx").collect()]
-    assert pick() == [0, 1, 2] and pick("path=a/*") == [0] and pick("path=a/**") == [0, 1] and pick("path=a/*", "path=c.rs") == [0, 2]
+    assert pick() == [0, 1, 2] and pick("path=a/*") == [0] and pick("path=a/**") == [0, 1] and pick("path=a/*", "path=c.go") == [0, 2]
     assert pick("name=load*", "project=v1") == [0, 1] and pick("min_nodes=50") == [2] and pick("scope=S") == [0]
     for bad in ("path", "colour=red"):
         with pytest.raises(ValueError):
@@ -46,16 +46,19 @@ def test_where(spark):
 
 
 def test_queries(spark):
-    units = frame(spark, [unit("m", "a.rs", "f", None, "h0", 1, norm(1, 0)), unit("m", "b.rs", "g", None, "h1", 1, norm(1, 0.1)), unit("m", "c.rs", "h", None, "h2", 1, norm(0, 1)), unit("m", "d.rs", "i", None, "h3", 1, None)])
+    units = table(spark, [entry(f"m:{i}.go", f"h{i}", v) for i, v in enumerate([direction(0), direction(9), direction(90), None])])
     rows, matched = Q.similar(units, 0, limit=1)
     assert matched == 2 and [r["unit_idx"] for r in rows.collect()] == [1] and Q.envelope(rows, matched, 1) == {"matched": 2, "returned": 1, "exhaustive": False, "has_more": True}
-    assert Q.similar(units, 0, threshold=0.9)[1] == 1 and Q.search(units, [0.0, 1.0])[0].first()["unit_idx"] == 2
+    assert Q.similar(units, 0, threshold=0.9)[1] == 1 and Q.search(units, direction(90))[0].first()["unit_idx"] == 2
     with pytest.raises(ValueError):
         Q.similar(units, 3)
     with pytest.raises(Q.NotFound):
         Q.inspect(units, "unit:0000000000000000")
     wanted = Q.with_ids(units).first()["unit_id"]
     assert Q.inspect(units, wanted).count() == 1 and len(wanted) == 21
+    why = Q.similar(units, 0, limit=1)[0].select(Q.why("score", {"unit": wanted}, ["kind=function"])).first()[0].asDict(True)
+    assert why["evidence"] == [{"source": "vector", "unit": wanted}] and why["decision"] == {"reason": "vector_rank", "filters": ["kind=function"], "threshold": None, "suppressed": False} and why["scores"]["cosine"] == pytest.approx(math.cos(math.radians(9)))
+    assert units.where("unit_idx = 0").select(Q.unit_line()).first()[0] == f"{wanted} m:0.go:1-3 function work"
 
 
 def test_config():
