@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.analyze.compare import CLASSES
 from simlake.functions import paths as P
 
-#: Rows that a report may hold; it is written by the driver.
-MOST_ROWS = 100_000
+VERSION = "0.2"
+# fixed values: numbers of shown rows, titles and sections of the reports
 TOP_PAIRS, TOP_NAMES, EXAMPLES, SUPPRESSED = 5, 3, 5, 25
 TITLES = {"exact_copy": "Exact copies", "strong_match": "Strong matches", "possible_match": "Possible matches", "split": "Splits (one → many)", "merge": "Merges (many → one)", "missing_in_right": "Possible missing coverage", "new_in_right": "Possible new behavior"}
 SECTIONS = {"product": "Product code clusters", "mixed": "Mixed clusters", "test_or_docs": "Test and documentation clusters"}
@@ -22,7 +23,8 @@ _GENERATED = re.compile(r"index\.md|cluster-\d+\.md|(?:" + "|".join(CLASSES) + r
 
 
 def bounded(rows: DataFrame, limit: int | None) -> list:
-    return rows.limit(min(limit, MOST_ROWS) if limit is not None else MOST_ROWS).collect()
+    """At most ``limit`` rows; without a limit all, part by part, as a report that is asked for whole is written whole."""
+    return list(rows.toLocalIterator()) if limit is None else rows.limit(limit).collect()
 
 
 def summary(matched: int, returned: int) -> dict:
@@ -42,11 +44,27 @@ def _units(units: DataFrame, wanted: Sequence[int]) -> dict[int, dict]:
     return {u["unit_idx"]: unit_object(u) for u in units.drop("vector").withColumn("unit_id", P.unit_id()).join(F.broadcast(ids), "unit_idx").collect()}
 
 
-def envelope(kind: str, items: list, matched: int, query: dict | None = None, **more: object) -> dict:
-    return {"schema_version": f"simlake.{kind}.v1", "kind": kind, "query": query or {}, "summary": summary(matched, len(items)), "items": items, **more}
+def envelope(kind: str, items: list, matched: int, query: dict | None = None, model: dict | None = None, **more: object) -> dict:
+    """Kind and version, the model that made the vectors, what was asked, honest counts, and the items."""
+    return {"schema_version": f"simlake.{kind}.v1", "version": VERSION, "kind": kind, "model": model, "query": query or {}, "summary": summary(matched, len(items)), "items": items, **more}
 
 
-def duplicate_envelope(found: dict[str, DataFrame], units: DataFrame, limit: int | None = None) -> dict:
+def concern_envelope(kept: DataFrame, spread: DataFrame, units: DataFrame, queries: dict[str, str], limit: int | None = None, model: dict | None = None) -> dict:
+    """Concerns in order of name, each with its query, spread and units, best first."""
+    names = sorted(queries)
+    shown = names if limit is None else names[:limit]
+    about = {r["concern"]: r for r in spread.where(F.col("concern").isin(*shown)).collect()} if shown else {}
+    rows = kept.where(F.col("concern").isin(*shown)).orderBy("concern", "rank").collect() if shown else []  # bounded by the units kept for each concern
+    known = _units(units, [r["unit_idx"] for r in rows])
+    measures = ("files", "directories", "top_level_modules", "directory_entropy", "dispersion")
+    items = [
+        {"name": n, "query": queries[n], "spread": {m: about[n][m] if n in about else 0 for m in measures}, "units": [known[r["unit_idx"]] | {"score": r["projection"]} for r in rows if r["concern"] == n]}
+        for n in shown
+    ]
+    return envelope("concerns", items, len(names), model=model)
+
+
+def duplicate_envelope(found: dict[str, DataFrame], units: DataFrame, limit: int | None = None, model: dict | None = None) -> dict:
     """Clusters best first with their members, and the cross-directory candidates."""
     rows = bounded(found["clusters"], limit)
     known = _units(units, [m for r in rows for m in r["members"]])
@@ -55,7 +73,7 @@ def duplicate_envelope(found: dict[str, DataFrame], units: DataFrame, limit: int
         for r in rows
     ]
     cross = [{"cluster_id": f"cluster:{r['hash']}", **{c: r[c] for c in ("modules", "scopes", "dispersion", "directory_entropy", "generic_helper", "score")}} for r in bounded(found["cross_directory"], limit)]
-    return envelope("duplicates", items, found["clusters"].count(), cross_directory=cross, candidate_pairs=found["candidates"].count(), ignored=[r["hash"] for r in bounded(found["ignored"], None)])
+    return envelope("duplicates", items, found["clusters"].count(), model=model, cross_directory=cross, candidate_pairs=found["candidates"].count(), ignored=[r["hash"] for r in bounded(found["ignored"], None)])
 
 
 def with_match_ids(records: DataFrame, units: DataFrame) -> DataFrame:
@@ -70,13 +88,13 @@ def with_match_ids(records: DataFrame, units: DataFrame) -> DataFrame:
     return keyed.withColumn("match_id", P.match_id(F.col("class"), side(F.col("left_prints")), side(F.col("right_prints")))).drop("key", "left_prints", "right_prints")
 
 
-def comparison_envelope(found: dict, units: DataFrame, left: str, right: str, limit: int | None = None) -> dict:
+def comparison_envelope(found: dict, units: DataFrame, left: str, right: str, limit: int | None = None, model: dict | None = None) -> dict:
     records = with_match_ids(found["records"], units)
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class"))
     rows = bounded(records.orderBy(order, F.desc("score"), "left", "right"), limit)
     known = _units(units, [m for r in rows for m in (*r["left"], *r["right"])])
     items = [{"match_id": r["match_id"], "class": r["class"], "score": r["score"], "hint_bonus": r["hint"], "left": [known[m] for m in r["left"]], "right": [known[m] for m in r["right"]]} for r in rows]
-    out = envelope("comparison", items, records.count(), left=left, right=right, calibration=found["calibration"])
+    out = envelope("comparison", items, records.count(), model=model, left=left, right=right, calibration=found["calibration"])
     out["summary"] |= {r["class"]: r["n"] for r in found["counts"].collect()}
     out["coverage"] = [r.asDict() for r in bounded(found["coverage"].orderBy("by", "group"), None)]
     out["suppressed_right_candidates"] = [r.asDict() for r in bounded(found["suppressed"], None)]
@@ -120,7 +138,8 @@ def write_duplicates(found: dict[str, DataFrame], units: DataFrame, directory: s
     lines += [f"Append a cluster hash to `{ignore_file}` to suppress it.", ""]
     (to / "index.md").write_text("\n".join(lines))
     pairs: dict[int, list] = {}
-    for p in bounded(found["pairs"].orderBy("cluster", F.desc("boosted"), "a", "b"), None):
+    order = W.partitionBy("cluster").orderBy(F.desc("boosted"), "a", "b")
+    for p in bounded(found["pairs"].withColumn("k", F.row_number().over(order)).where(F.col("k") <= TOP_PAIRS).orderBy("cluster", "k"), None):
         pairs.setdefault(p["cluster"], []).append(p)
     for n, c in enumerate(data["items"], 1):
         known = {u["unit_idx"]: u for u in c["members"]}

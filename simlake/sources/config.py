@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
+from pathlib import Path
 from typing import Any
 
 from simlake.analyze.compare import CompareConfig
@@ -31,6 +35,7 @@ class Config:
     min_body_nodes: int = 8
     max_body_chars: int = 10_000
     dimensions: int = 256
+    page_size: int = 100_000
     analysis: DuplicateConfig = DuplicateConfig()
     concerns: ConcernsConfig = ConcernsConfig()
     comparison: CompareConfig = CompareConfig()
@@ -83,5 +88,56 @@ def load(values: dict | None) -> Config:
     return config
 
 
+#: Settings from the environment: SIMLAKE__COMPARISON__TOP_K_PER_UNIT=3 sets comparison.top_k_per_unit.
+PREFIX = "SIMLAKE__"
+
+TEMPLATE = """\
+source_dir: .              # one project; or several, as label: folder
+projects: {}
+store: simlake-store
+exclude: []
+analysis:
+  candidate_threshold: 0.70
+  similarity_threshold: 0.81
+  rerank_threshold: 0.85
+concerns:
+  enabled: false
+  queries: []              # - {name: errors, query: retry after a failure}
+comparison:
+  candidate_threshold: 0.78
+  match_threshold: 0.86
+"""
+
+
+def _read(text: str) -> Any:
+    """YAML where a reader for it is installed, else JSON."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ConfigError(f"the settings cannot be read: {e}") from e
+
+
+def load_file(path: str, environment: Mapping[str, str] = os.environ) -> Config:
+    """A configuration from a file; folders are relative to it, and the environment overrides it."""
+    file = Path(path)
+    values = _read(file.read_text(encoding="utf-8")) or {}
+    if not isinstance(values, dict):
+        raise ConfigError("settings are names and values")
+    for name in sorted(environment):
+        if name.startswith(PREFIX):
+            at, keys = values, name[len(PREFIX) :].lower().split("__")
+            for key in keys[:-1]:
+                at[key] = dict(at.get(key) or {})
+                at = at[key]
+            at[keys[-1]] = _read(environment[name])
+    config = load(values)
+    here = lambda p: p if "://" in p or os.path.isabs(p) else str((file.parent / p).resolve())
+    return replace(config, source_dir=here(config.source_dir) if config.source_dir else None, projects={k: here(v) for k, v in config.projects.items()}, store=here(config.store))
+
+
 def as_dict(config: Config) -> dict:
     return asdict(config)

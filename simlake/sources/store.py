@@ -17,8 +17,16 @@ SCHEMAS = {
 }
 
 
+#: Tables with a part for each value of a column: a part is replaced without touching the others.
+PARTS = {"units": "project", "files": "project"}
+
+
 class Store:
-    """Tables below ``path``; each write makes a new version, and a pointer row names the current one."""
+    """Tables below ``path``, or parts of them: a base, which replaces all before it, and additions after it.
+
+    A base or addition counts once its writer has committed it, so readers are not
+    disturbed and what breaks off leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -27,33 +35,52 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self, table: str) -> list[int]:
-        fs, p = self._fs(f"{self.path}/{table}")
-        if not fs.exists(p):
-            return []
-        # a version counts once its writer has committed it
-        found = [int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v")]
-        return sorted(v for v in found if fs.exists(self._fs(f"{self.path}/{table}/v{v:06d}/_SUCCESS")[1]))
+    def _names(self, where: str) -> list[str]:
+        fs, p = self._fs(where)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _committed(self, where: str) -> list[tuple[int, str]]:
+        """Number and name of what counts in a table or part, in order."""
+        found = sorted((int(n[1:]), n) for n in self._names(where) if n[0] in "ba" and n[1:].isdigit())
+        found = [v for v in found if self._fs(f"{where}/{v[1]}/_SUCCESS")[0].exists(self._fs(f"{where}/{v[1]}/_SUCCESS")[1])]
+        base = max((i for i, (_, n) in enumerate(found) if n[0] == "b"), default=0)
+        return found[base:]
+
+    def _places(self, table: str) -> list[str]:
+        where = f"{self.path}/{table}"
+        return [f"{where}/{n}" for n in self._names(where)] if table in PARTS else [where]
 
     def read(self, table: str) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
+        paths = [f"{where}/{name}" for where in self._places(table) for _, name in self._committed(where)]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}/v{versions[-1]:06d}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*paths)
 
-    def write(self, table: str, rows: DataFrame, keep: int = 2) -> None:
-        """Replace a table: readers of the old version are not disturbed."""
-        versions = self._versions(table)
-        new = (versions[-1] if versions else 0) + 1
+    def _put(self, table: str, rows: DataFrame, part: str | None, kind: str) -> None:
+        if (table in PARTS) != (part is not None):
+            raise ValueError(f"{table} is {'written by ' + PARTS[table] if table in PARTS else 'one table'}")
+        where = f"{self.path}/{table}" + (f"/{part}" if part else "")
+        before = self._committed(where)
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
-        rows.select(*columns).write.parquet(f"{self.path}/{table}/v{new:06d}")
-        for old in versions[: max(0, len(versions) + 1 - keep)]:
-            fs, p = self._fs(f"{self.path}/{table}/v{old:06d}")
-            fs.delete(p, True)
+        rows.select(*columns).write.mode("overwrite").parquet(f"{where}/{kind}{(before[-1][0] if before else 0) + 1:06d}")
+        if kind == "b":
+            # what the base before the last one held is no longer read by anyone
+            for name in self._names(where):
+                if name[1:].isdigit() and before and int(name[1:]) < before[0][0]:
+                    fs, p = self._fs(f"{where}/{name}")
+                    fs.delete(p, True)
+
+    def write(self, table: str, rows: DataFrame, part: str | None = None) -> None:
+        """Replace a table, or one part of it."""
+        self._put(table, rows, part, "b")
+
+    def append(self, table: str, rows: DataFrame, part: str | None = None) -> None:
+        """Add rows to a table, or to one part of it."""
+        self._put(table, rows, part, "a")
 
     def log_run(self, kind: str, model: str, scope: list[str], config: dict) -> None:
         row = [(kind, model, json.dumps(scope), json.dumps(config, sort_keys=True), datetime.datetime.now(datetime.UTC))]
-        self.write("runs", self.read("runs").unionByName(self.spark.createDataFrame(row, SCHEMAS["runs"])))
+        self.append("runs", self.spark.createDataFrame(row, SCHEMAS["runs"]).coalesce(1))
 
     def context(self, projects: list[str] | None = None, space: str = "default/implementation") -> DataFrame:
         """Units of the chosen projects (all by default) with the vectors of one space; raises if there is nothing."""

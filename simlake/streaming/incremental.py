@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simlake.plans.staging import staged
+
 KEYS = ["project", "relative_path"]
 
 
@@ -41,10 +43,22 @@ def pruned(embeddings: DataFrame, units: DataFrame) -> DataFrame:
     return embeddings.join(units.select("body_hash").distinct(), "body_hash", "left_semi")
 
 
-def embed_pending(units: DataFrame, embeddings: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Embeddings with those of pending bodies added, each distinct body embedded once."""
-    todo = units.join(embeddings.select("body_hash"), "body_hash", "left_anti").dropDuplicates(["body_hash"])
-    return embeddings.unionByName(embed(todo).select(*embeddings.columns))
+def pending(units: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One unit for each body without an embedding."""
+    return units.join(embeddings.select("body_hash"), "body_hash", "left_anti").dropDuplicates(["body_hash"])
+
+
+def embed_paged(todo: DataFrame, embed: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None], page: int = 100_000) -> int:
+    """Embed each pending body once, in pages of about ``page`` that are appended as they are done.
+
+    What breaks off keeps the pages before it; the rest is pending again.
+    """
+    todo = staged(todo, "pending")
+    n = todo.count()
+    pages = max(1, -(-n // page))
+    for at in range(pages if n else 0):
+        append(embed(todo.where(F.pmod(F.xxhash64("body_hash"), F.lit(pages)) == at)))
+    return n
 
 
 def embed_stream(files: DataFrame, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame]):
