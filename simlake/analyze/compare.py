@@ -160,10 +160,13 @@ def candidate_edges(left: DataFrame, right: DataFrame, config: CompareConfig, th
     """``l, r, raw, hint``: the best of either direction, each edge once."""
     x, y = (d.select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (left, right))
     index = index or ExactBlocks(config.block_size)
-    forth = top.where(F.col("score") >= threshold) if top is not None else index.top_k_between(x, y, config.top_k_per_unit, threshold)
-    back = index.top_k_between(y, x, config.top_k_per_unit, threshold)
-    both = forth.select(F.col("a").alias("l"), F.col("b").alias("r"), "score").unionByName(back.select(F.col("b").alias("l"), F.col("a").alias("r"), "score"))
-    edges = both.groupBy("l", "r").agg(F.max("score").alias("raw"))
+    if top is None:
+        edges = index.top_k_both(x, y, config.top_k_per_unit, threshold).select(F.col("a").alias("l"), F.col("b").alias("r"), F.col("score").alias("raw"))
+    else:
+        # one direction is known
+        back = index.top_k_between(y, x, config.top_k_per_unit, threshold)
+        both = top.where(F.col("score") >= threshold).select(F.col("a").alias("l"), F.col("b").alias("r"), "score").unionByName(back.select(F.col("b").alias("l"), F.col("a").alias("r"), "score"))
+        edges = both.groupBy("l", "r").agg(F.max("score").alias("raw"))
     one, a = side(left, "l", ["name", "relative_path"])
     two, b = side(right, "r", ["name", "relative_path"])
     hint = P.hint_bonus(a, b, config.use_name_hints, config.use_path_hints)
@@ -250,12 +253,14 @@ def compare(units: DataFrame, left_label: str, right_label: str, config: Compare
     """``records``, ``suppressed``, ``counts``, ``coverage`` and the ``calibration`` of two projects of ``units``."""
     if left_label == right_label:
         raise ValueError("the two projects must be different")
-    named = [r["project"] for r in units.where(F.col("project").isin(left_label, right_label)).select("project").distinct().collect()]
+    # both sides with their vectors, which every step reads
+    both = staged(units.where(F.col("project").isin(left_label, right_label)), "units")
+    named = [r["project"] for r in both.select("project").distinct().collect()]
     for label in (left_label, right_label):
         if label not in named:
             some = [r["project"] for r in units.select("project").distinct().orderBy("project").limit(20).collect()]
             raise ValueError(f"no project {label!r}; the first are {', '.join(some)}")
-    left, right = (units.where(F.col("project") == label) for label in (left_label, right_label))
+    left, right = (both.where(F.col("project") == label) for label in (left_label, right_label))
     can = F.col("body_node_count") >= config.min_body_node_count
     exact = staged(exact_matches(left.where(can), right.where(can)), "exact")
     pending_left = left.where(can).join(exact.select(F.explode("left").alias("unit_idx")), "unit_idx", "left_anti")
@@ -263,9 +268,8 @@ def compare(units: DataFrame, left_label: str, right_label: str, config: Compare
     if config.abtt_components:
         from simlake.analyze.spectrum import all_but_the_top
 
-        moved = all_but_the_top(units.where(F.col("project").isin(left_label, right_label)), config.abtt_components).select("unit_idx", "vector")
-        pending_left, pending_right = (d.drop("vector").join(moved, "unit_idx", "left") for d in (pending_left, pending_right))
-    pending_left, pending_right = staged(pending_left, "pending"), staged(pending_right, "pending")
+        moved = all_but_the_top(both, config.abtt_components).select("unit_idx", "vector")
+        pending_left, pending_right = (staged(d.drop("vector").join(moved, "unit_idx", "left"), "pending") for d in (pending_left, pending_right))
     calibration, top, threshold, match, margin = None, None, config.candidate_threshold, config.match_threshold, 0.0
     if config.calibration == "background":
         x, y = (d.select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (pending_left, pending_right))

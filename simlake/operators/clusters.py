@@ -3,7 +3,8 @@
 Two rules depend on the order of edges: each unit keeps only so many of its best
 edges, and clusters merge best edge first while they stay within their bounds.  Both
 concern one connected component at a time, so components are found in the open and
-the rules are then applied within each of them.
+dealt to tasks, about ``TASK_EDGES`` edges to each; deciding several components at once
+decides each of them.  A component is decided by one task, which holds its edges.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from simlake.operators.graph import connected_components
 from simlake.plans.staging import staged
 
 
+#: Edges that one task decides, some 50 MB.
+TASK_EDGES = 100_000
+
+
 def capped(edges: list[tuple], limit: int) -> list[tuple]:
     """Best-first edges ``(a, b, ..., exact)`` that both ends have room for; exact copies always stay and take room."""
     used: dict[int, int] = {}
@@ -69,7 +74,8 @@ def bounded_clusters(edges: DataFrame, bodies: DataFrame, *, max_edges: int = 5,
         out = [(a, b, raw, boosted, exact, home.get(a), home.get(b)) for a, b, raw, boosted, exact in kept]
         return pd.DataFrame(out, columns=["a", "b", "raw", "boosted", "exact", "home_a", "home_b"]).astype({"home_a": "Int64", "home_b": "Int64"})
 
-    done = staged(rows.groupBy("component").applyInPandas(decide, "a bigint, b bigint, raw double, boosted double, exact boolean, home_a bigint, home_b bigint"), "kept")
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    done = staged(rows.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks))).applyInPandas(decide, "a bigint, b bigint, raw double, boosted double, exact boolean, home_a bigint, home_b bigint"), "kept")
     ends = done.select(F.explode(F.array(F.struct(F.col("a").alias("unit_idx"), F.col("home_a").alias("cluster")), F.struct(F.col("b").alias("unit_idx"), F.col("home_b").alias("cluster")))).alias("e"))
     clusters = ends.select("e.*").where("cluster is not null").distinct()
     return done.select("a", "b", "raw", "boosted", "exact"), clusters

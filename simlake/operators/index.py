@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simlake.functions.vectors import hash_embedding
-from simlake.operators.similarity import similar_pairs, top_k_between
+from simlake.operators.similarity import similar_pairs, top_k_between, top_k_both
 
 
 class SimilarityIndex(Protocol):
@@ -22,6 +22,9 @@ class SimilarityIndex(Protocol):
     def top_k_between(self, left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
         """``a, b, score, rank``."""
 
+    def top_k_both(self, left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
+        """``a, b, score``: the best k of either direction, each pair once."""
+
 
 @dataclass(frozen=True)
 class ExactBlocks:
@@ -35,6 +38,9 @@ class ExactBlocks:
     def top_k_between(self, left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
         return top_k_between(left, right, k, threshold, block=self.block)
 
+    def top_k_both(self, left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
+        return top_k_both(left, right, k, threshold, block=self.block)
+
 
 @dataclass(frozen=True)
 class Contract:

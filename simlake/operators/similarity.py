@@ -101,6 +101,30 @@ def top_k_between(left: DataFrame, right: DataFrame, k: int, threshold: float =
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k_both(left: DataFrame, right: DataFrame, k: int, threshold: float = -1.0, *, block: int | None = None) -> DataFrame:
+    """``a, b, score``: the pairs of rows of which one is among the best k of the other (ties: smaller id), once each, from one product of each pair of blocks."""
+    x, y = left.where("v is not null"), right.where("v is not null")
+    n, m = _blocks(x, block), _blocks(y, block)
+    xs = _dealt(x, n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumnRenamed("block", "i")
+    ys = _dealt(y, m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("block", "j")
+
+    def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "score": [], "of_left": []})
+        p, q = p.sort_values("id", kind="stable"), q.sort_values("id", kind="stable")
+        scores, a, b = _matrix(p) @ _matrix(q).T, p["id"].to_numpy(), q["id"].to_numpy()
+        forth, back = _best(scores, k), _best(scores.T, k)
+        rows = np.concatenate([np.repeat(np.arange(len(a)), forth.shape[1]), back.reshape(-1)])
+        cols = np.concatenate([forth.reshape(-1), np.repeat(np.arange(len(b)), back.shape[1])])
+        found = pd.DataFrame({"a": a[rows], "b": b[cols], "score": scores[rows, cols], "of_left": np.arange(len(rows)) < forth.size})
+        return found[found["score"] >= threshold]
+
+    found = xs.groupBy("i", "j").cogroup(ys.groupBy("i", "j")).applyInPandas(best, "a bigint, b bigint, score double, of_left boolean")
+    own, other = F.when(F.col("of_left"), F.col("a")).otherwise(F.col("b")), F.when(F.col("of_left"), F.col("b")).otherwise(F.col("a"))
+    rank = F.row_number().over(W.partitionBy("of_left", own).orderBy(F.desc("score"), other))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
 def expand_copies(pairs: DataFrame, units: DataFrame, score_within: DataFrame | None = None) -> DataFrame:
     """Pairs of bodies (``a, b, score`` by body hash id) to pairs of units; ``units`` has ``id, body``."""
     left = units.select(F.col("id").alias("ua"), F.col("body").alias("a"))

@@ -167,6 +167,17 @@ def test_vector_joins_equal_nested_loops(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_both_directions_at_once(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, size=(50, 3)).astype(float))] + [(50, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    left, right = df.where("id < 22"), df.where("id >= 22")
+    index = ExactBlocks(8)
+    want = {(r["a"], r["b"], r["score"]) for r in index.top_k_between(left, right, 2, 1.0).collect()} | {(r["b"], r["a"], r["score"]) for r in index.top_k_between(right, left, 2, 1.0).collect()}
+    for block in (8, None):
+        assert sorted(tuple(r) for r in ExactBlocks(block).top_k_both(left, right, 2, 1.0).collect()) == sorted(want)
+
+
 def test_positions_and_ranks(spark, monkeypatch):
     monkeypatch.setattr(ranks, "LEAF", 10)
     rng = random.Random(13)
