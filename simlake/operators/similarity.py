@@ -108,7 +108,8 @@ def top_k_both(left: DataFrame, right: DataFrame, k: int, threshold: float = -1.
     xs = _dealt(x, n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumnRenamed("block", "i")
     ys = _dealt(y, m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("block", "j")
 
-    def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows[rows["of_left"]], rows[~rows["of_left"]]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "score": [], "of_left": []})
         p, q = p.sort_values("id", kind="stable"), q.sort_values("id", kind="stable")
@@ -119,7 +120,9 @@ def top_k_both(left: DataFrame, right: DataFrame, k: int, threshold: float = -1.
         found = pd.DataFrame({"a": a[rows], "b": b[cols], "score": scores[rows, cols], "of_left": np.arange(len(rows)) < forth.size})
         return found[found["score"] >= threshold]
 
-    found = xs.groupBy("i", "j").cogroup(ys.groupBy("i", "j")).applyInPandas(best, "a bigint, b bigint, score double, of_left boolean")
+    # one table with both sides: the two may have the same source
+    sides = xs.withColumn("of_left", F.lit(True)).unionByName(ys.withColumn("of_left", F.lit(False)))
+    found = sides.groupBy("i", "j").applyInPandas(best, "a bigint, b bigint, score double, of_left boolean")
     own, other = F.when(F.col("of_left"), F.col("a")).otherwise(F.col("b")), F.when(F.col("of_left"), F.col("b")).otherwise(F.col("a"))
     rank = F.row_number().over(W.partitionBy("of_left", own).orderBy(F.desc("score"), other))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("a", "b").agg(F.max("score").alias("score"))
