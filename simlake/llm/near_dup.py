@@ -309,3 +309,17 @@ def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of all documents, similarity 0.8: ``doc_id, n_shingles, component_id, kept``."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+ORACLE = {
+    "op8_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as shingle from s),
+k as (select a.doc_id as a, b.doc_id as b from x a join x b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sym as (select a as x, b as y from k union all select b, a from k),
+reach(x, c) as (select doc_id, doc_id from documents union select sym.y, reach.c from reach join sym on sym.x = reach.x),
+comp as (select x, min(c) as c from reach group by x)
+select s.doc_id, len(s.s) as n_shingles, c as component_id, s.doc_id = c as kept from s join comp on comp.x = s.doc_id
+"""
+}

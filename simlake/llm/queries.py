@@ -16,4 +16,4 @@ QUERIES = {
     "op9_media": media.op9_media,
     "op10_vector_dedup": vector_dedup.op10_vector_dedup,
 }
-ORACLE_SQL = {**mixing.ORACLE, "op7_licenses": licenses.oracle()}
+ORACLE_SQL = {**mixing.ORACLE, "op7_licenses": licenses.oracle(), **near_dup.ORACLE, **vector_dedup.ORACLE}

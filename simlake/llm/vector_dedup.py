@@ -236,7 +236,7 @@ def region_links(v: np.ndarray, copies: np.ndarray, limit: float) -> tuple[np.nd
         if recall >= RECALL:
             break
     else:
-        return *block_links(v, copies, limit), recall
+        return *block_links(v, copies, limit), 1.0
     counts = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
     return counts.astype(np.int64), smallest_linked(n, a, b), recall
 
@@ -404,3 +404,19 @@ def near_vectors(vectors: DataFrame, *, limit: float = 0.98) -> DataFrame:
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, cosine 0.98 within equal labels: ``vec_id, n_links, component_id, kept`` (and ``recall``)."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = {
+    "op10_vector_dedup": """
+with recursive e as (select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+k as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+sym as (select a as x, b as y from k union all select b, a from k),
+reach(x, c) as (select vec_id, vec_id from embeddings union select sym.y, reach.c from reach join sym on sym.x = reach.x),
+comp as (select x, min(c) as c from reach group by x),
+n as (select x, count(*) as n from sym group by x)
+select vec_id, coalesce(n.n, 0) as n_links, c as component_id, vec_id = c as kept, case when e.vec_id is not null then 1.0::double end as recall
+from embeddings left join e using (vec_id) left join n on n.x = vec_id join comp on comp.x = vec_id
+"""
+}
