@@ -2,17 +2,21 @@
 
 A text is cut into its lines, and into its paragraphs of several lines; each is
 normalised (lower case, anything but a-z and 0-9 a space) and compared to licence
-templates by the Dice coefficient over distinct word bigrams.  Dice cannot reach the
-threshold t unless the smaller size is at least t / (2 - t) of the larger, so only
-templates within these bounds are compared.  To reach a template a unit must also share so many
-of its bigrams that it holds one of a few key words, derived from the templates; texts
-and units without any are not even cut into bigrams.  Everything happens within a document's row: there is
-no shuffle, so no key can be hot.
+templates by the Dice coefficient over distinct word bigrams.  A notice within a longer
+line, or a licence over several paragraphs, is found by windows: runs of as many words of
+the whole text as the template has, laid so that one of the template's anchor bigrams is
+where the template has it.  Dice cannot reach the threshold t unless the smaller size is
+at least t / (2 - t) of the larger, so only templates within these bounds are compared.
+To reach a template a unit must also share so many of its bigrams that it holds one of a
+few key words, and a window one of the anchors; both are derived from the templates, and
+texts without any are not even cut into bigrams.  Everything happens within a document's
+row: there is no shuffle, so no key can be hot.
 
 Defined results.  A null or empty text has no licence (null) and dice 0.  Of several
-licences the best is named, ties by name; ``licenses`` lists all.  Rows are
-independent, so repeated rows and ids, and null ids, are harmless; extra columns are
-ignored; an empty table gives an empty table.
+licences the best is named, ties by name; ``licenses`` lists all, and ``n_hits`` counts the
+lines, paragraphs and windows that reach a template.  Very long texts are read whole.  Rows
+are independent, so repeated rows and ids, and null ids, are harmless; extra columns are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -70,30 +74,89 @@ TEMPLATES = (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a normalised template."""
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a normalised template."""
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    words = words_of(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
 def template_rows(threshold: float = THRESHOLD, templates=TEMPLATES) -> list[dict]:
-    """Licence, distinct bigrams, and the sizes that can reach the threshold."""
+    """Licence, words, distinct bigrams, and the sizes that can reach the threshold."""
     ratio = threshold / (2 - threshold)
     rows = []
     for name, text in templates:
         b = bigrams(text)
-        rows.append({"license": name, "n": len(b), "lo": math.ceil(round(ratio * len(b), 9)), "hi": math.floor(round(len(b) / ratio, 9)), "b": b})
+        rows.append({"license": name, "w": len(words_of(text)), "n": len(b), "lo": math.ceil(round(ratio * len(b), 9)), "hi": math.floor(round(len(b) / ratio, 9)), "b": b})
     return rows
 
 
+def anchors(rows: list[dict], templates=TEMPLATES, threshold: float = THRESHOLD) -> dict[str, list[tuple[int, int]]]:
+    """For each anchor bigram the templates it lays a window of, and its place in them.
+
+    What reaches a template shares at least ``need`` of its bigrams, so one of any
+    ``n - need + 1``; those with the fewest common words are taken.
+    """
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (row, (_, text)) in enumerate(zip(rows, templates, strict=True)):
+        need = math.ceil(round(threshold * (row["n"] + row["lo"]) / 2, 9))
+        plain = lambda b: sum(w in _COMMON or len(w) < 3 for w in b.split(" "))
+        chosen = set(sorted(row["b"], key=lambda b: (plain(b), -len(b), b))[: row["n"] - need + 1])
+        words = words_of(text)
+        for i, b in enumerate(f"{x} {y}" for x, y in zip(words, words[1:], strict=False)):
+            if b in chosen:
+                out.setdefault(b, []).append((t, i))
+    return out
+
+
 #: Words too common in plain text to tell anything.
-_COMMON = set("the of to and or in is at be by for with this that under are any an a as from if you may not on it".split())
+_COMMON = set("the of to and or in is at be by for with this that under are any an a as from if you may not on it all other use copy source public version without including following action applicable provided notice mit".split())
 
 
 def key_words(rows: list[dict], threshold: float = THRESHOLD) -> list[str]:
@@ -129,9 +192,38 @@ def _matches(words: Column, rows: list[dict], threshold: float) -> Column:
     return F.transform(F.array(pairs), compare)[0]
 
 
+def _windows(words: Column, rows: list[dict], laid: dict[str, list[tuple[int, int]]], threshold: float) -> Column:
+    """The windows of a text's words that reach their template, as array of struct(dice, license)."""
+    names, places = F.array(*map(F.lit, laid)), [{"b": b, "at": [{"t": t, "o": o} for t, o in found]} for b, found in laid.items()]
+    table_ = F.from_json(F.lit(json.dumps(places)), "array<struct<b:string,at:array<struct<t:int,o:int>>>>")
+    templates = F.from_json(F.lit(json.dumps(rows)), "array<struct<license:string,w:int,n:int,lo:int,hi:int,b:array<string>>>")
+    pairs_of = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def laid_out(pairs: Column) -> Column:
+        # start (may lie before the text) and template of each window, once each
+        def starts(anchor: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.element_at(pairs, i) == anchor["b"])
+            return F.flatten(F.transform(at, lambda i: F.transform(anchor["at"], lambda h: F.struct((i - h["o"]).alias("s"), h["t"].alias("t")))))
+
+        present = F.filter(table_, lambda a: F.array_contains(pairs, a["b"]))
+        return F.array_distinct(F.flatten(F.transform(present, starts)))
+
+    def compared(window: Column) -> Column:
+        t, first = F.element_at(templates, window["t"] + 1), F.greatest(window["s"], F.lit(1))
+        run = F.slice(words, first, F.greatest(t["w"] + window["s"] - first, F.lit(0)))
+        scored = F.transform(F.array(F.array_distinct(pairs_of(run))), lambda p: F.struct(F.when(F.size(p).between(t["lo"], t["hi"]), F.lit(2.0) * F.size(F.array_intersect(p, t["b"])) / (F.size(p) + t["n"])).otherwise(0.0).alias("dice"), t["license"].alias("license")))
+        return scored[0]
+
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    found = lambda p: F.when(F.arrays_overlap(p, names), F.filter(F.transform(laid_out(p), compared), lambda s: s["dice"] >= threshold)).otherwise(none)
+    # transform over a one-element array evaluates the bigrams once
+    return F.when(F.size(words) > 1, F.transform(F.array(pairs_of(words)), found)[0]).otherwise(none)
+
+
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``doc_id, license, dice, licenses, n_hits``: one row for each row of ``docs``."""
     rows = template_rows(threshold, templates)
+    laid = anchors(rows, templates, threshold)
     least = min(r["lo"] for r in rows) + 1
     keys = F.array(*map(F.lit, key_words(rows, threshold)))
     may_match = lambda u: F.exists(keys, lambda w: F.contains(u, w))
@@ -142,7 +234,9 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD, templates=TEMPLATES)
         paragraphs = F.filter(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.trim(p).contains("\n"))
         units = F.concat(lines, F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")))
         units = F.filter(F.transform(F.filter(units, may_match), lambda u: F.split(F.trim(u), " ")), lambda w: F.size(w) >= least)
-        return F.flatten(F.filter(F.transform(units, lambda w: _matches(w, rows, threshold)), lambda h: F.size(h) > 0))
+        of_units = F.flatten(F.filter(F.transform(units, lambda w: _matches(w, rows, threshold)), lambda h: F.size(h) > 0))
+        whole = F.transform(F.array(F.split(F.trim(F.regexp_replace(plain, r"[ \n]+", " ")), " ")), lambda w: _windows(w, rows, laid, threshold))[0]
+        return F.concat(of_units, whole)
 
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     none = F.array().cast("array<struct<dice:double,license:string>>")
@@ -163,11 +257,14 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan as SQL over the same templates."""
+    """The same scan as SQL over the same templates and anchors."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(r['license'])}, {r['n']}, {r['lo']}, {r['hi']}, [{', '.join(map(quote, r['b']))}])" for r in template_rows())
+    rows = template_rows()
+    values = ", ".join(f"({i}, {quote(r['license'])}, {r['w']}, {r['n']}, {r['lo']}, {r['hi']}, [{', '.join(map(quote, r['b']))}])" for i, r in enumerate(rows))
+    places = ", ".join(f"({quote(b)}, {t}, {o})" for b, found in anchors(rows).items() for t, o in found)
     return rf"""
-with t(license, n, lo, hi, b) as (values {values}),
+with t(id, license, w, n, lo, hi, b) as (values {values}),
+an(pair, t, o) as (values {places}),
 d as (select row_number() over () as k, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') as plain from documents),
 u0 as (
   select k, unnest(string_split(plain, chr(10))) as u from d
@@ -176,7 +273,13 @@ u0 as (
 u as (select k, row_number() over () as i, string_split(trim(u), ' ') as w from u0 where length(trim(u)) > 0),
 b as (select k, i, list_distinct(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) as p from u where len(w) > 1),
 s as (select k, license, 2.0::double * len(list_intersect(p, t.b)) / (len(p) + n) as dice from b join t on len(p) between lo and hi),
-h as (select * from s where dice >= {THRESHOLD}),
+dw as (select k, string_split(trim(regexp_replace(plain, '[ \n]+', ' ', 'g')), ' ') as w from d),
+dp as (select k, unnest(range(1, len(w))) as i from dw),
+laid as (select distinct dp.k, i - o as first, an.t from dp join dw using (k) join an on w[i] || ' ' || w[i + 1] = pair),
+wn as (select laid.k, t.*, dw.w[greatest(first, 1):first + t.w - 1] as run from laid join dw using (k) join t on t.id = laid.t),
+wp as (select *, list_distinct(list_transform(range(1, len(run)), lambda x: run[x] || ' ' || run[x + 1])) as p from wn where len(run) > 1),
+ws as (select k, license, 2.0::double * len(list_intersect(p, b)) / (len(p) + n) as dice from wp where len(p) between lo and hi),
+h as (select * from (select * from s union all select * from ws) where dice >= {THRESHOLD}),
 a as (select k, arg_min(license, {{'d': -dice, 'l': license}}) as license, max(dice) as dice, string_agg(distinct license, ',' order by license) as licenses, count(*) as n_hits from h group by k)
 select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(licenses, '') as licenses, coalesce(n_hits, 0) as n_hits from d left join a using (k)
 """

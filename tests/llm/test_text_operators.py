@@ -221,7 +221,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
 
 
 def dice_brute(text, threshold=0.8):
-    """Best licence by comparing every line and paragraph with every template."""
+    """Best licence by comparing every line and paragraph, and every window with an anchor in its place, with every template."""
     best = []
     plain = re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower())
     units = plain.split("\n") + [re.sub(r"[ \n]+", " ", p) for p in re.split(r"\n *\n[ \n]*", plain) if "\n" in p.strip(" ")]
@@ -232,16 +232,33 @@ def dice_brute(text, threshold=0.8):
             t = {tuple(x.split(" ")) for x in licenses.bigrams(template)}
             if b and 2 * len(b & t) / (len(b) + len(t)) >= threshold:
                 best.append((-2 * len(b & t) / (len(b) + len(t)), name))
+    words, laid = plain.split(), licenses.anchors(licenses.template_rows())
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        t = {tuple(x.split(" ")) for x in licenses.bigrams(template)}
+        places = [(*b.split(" "), o) for b, found in laid.items() for j, o in found if j == k]
+        size = len(licenses.words_of(template))
+        for start in range(-size, len(words)):
+            if any(0 <= start + o < len(words) - 1 and (words[start + o], words[start + o + 1]) == (x, y) for x, y, o in places):
+                run = words[max(0, start) : start + size]
+                b = set(zip(run, run[1:], strict=False))
+                if b and 2 * len(b & t) / (len(b) + len(t)) >= threshold:
+                    best.append((-2 * len(b & t) / (len(b) + len(t)), name))
     return (None, 0.0, 0) if not best else (min(best)[1], -min(best)[0], len(best))
 
 
 def test_licenses_equal_brute_force(spark, odd_docs, no_docs):
     mit = licenses.TEMPLATES[4][1]
-    texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0", mit, "\n".join(mit.split(". ")), "intro\n\n" + mit.replace(", ", ",\n") + "\n\nend", "This work is licensed under the GNU General Public License, version 3.", "nothing here", "Mit lizenz", mit + " " + mit]
+    whole = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "BSD-2-Clause", "Zlib")}
+    inside = [
+        "A tool for maps of towns. Released under the MIT License. It reads all common formats and more.", "/* x.js v2 (c) us, licensed under the apache license, version 2.0, minified */ var a=1",
+        "Copyright (c) 2001\n\n" + "\n\n".join(x.replace(", ", ",\n") for x in whole["MIT"].split(". ")), "before it " + whole["BSD-2-Clause"] + " after it", whole["Zlib"][:150] + " and something else that goes on for a while instead",
+    ]
+    texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0", mit, "\n".join(mit.split(". ")), "intro\n\n" + mit.replace(", ", ",\n") + "\n\nend", "This work is licensed under the GNU General Public License, version 3.", "nothing here", "Mit lizenz", mit + " " + mit, *inside]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").unionByName(odd_docs.select("doc_id", "text"))
     got = licenses.scan(docs).collect()
     want = sorted((str(r["doc_id"]), *map(str, dice_brute(r["text"]))) for r in docs.collect())
     assert sorted((str(r["doc_id"]), str(r["license"]), str(r["dice"]), str(r["n_hits"])) for r in got) == want
+    assert [dice_brute(t)[0] for t in inside] == ["MIT", "Apache-2.0", "MIT", "BSD", None]  # the short notice of all BSD licences is as near as the text
     assert licenses.scan(no_docs).count() == 0
     for r in licenses.template_rows():
         assert r["lo"] <= r["n"] <= r["hi"] and math.isclose(0.8 / 1.2, r["n"] / (r["n"] / (0.8 / 1.2)))
