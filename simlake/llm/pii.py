@@ -12,9 +12,15 @@ number written in another way stays linked.
 
 The key is a parameter; the default is for tests.
 
+Domains of e-mail addresses are permuted label by label, but for the last; IPv6 addresses
+digit by digit in the form they have; phone numbers in their last ten digits, so that a
+number with and without its country code stays linked; keys of known services behind
+their prefix.
+
 Defined results.  A null text stays null, an empty one empty; texts without valid
-values come back unchanged.  Rows are independent, so repeated rows and ids are
-harmless; all columns are kept; an empty table gives an empty table.
+values come back unchanged.  Very long texts are read whole.  Rows are independent, so
+repeated rows and ids, and null ids, are harmless; all columns are kept, but a column
+named ``_pii_kinds`` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache, partial
 from hashlib import blake2b
+from ipaddress import ip_address
 from math import isqrt
 
 import pyarrow as pa
@@ -127,14 +134,18 @@ class Pseudonyms:
 
     def email(self, s: str) -> str:
         local, _, domain = s.rpartition("@")
-        return f"{self.letters('email', local)}@{domain}"
+        *labels, last = domain.split(".")
+        return f"{self.letters('email', local)}@{'.'.join([*(self.letters('domain', x) for x in labels), last])}"
 
     def phone(self, s: str) -> str | None:
         digits = "".join(c for c in s if c.isdigit())
-        head, body = digits[:-10], digits[-10:]
-        if len(body) < 10:
+        country = regex.match(r"\+(\d{1,3})(?!\d)", s)
+        keep = max(len(country[1]) if country else 0, len(digits) - 10)
+        head, body = digits[:keep], digits[keep:]
+        if not 7 <= len(body) or len(digits) > 15 or (len(body) < 10 and not country):
             return None
-        return _refill(s, head + f"{self.f.permute('phone', 10**10, int(body), sign=self.sign):010d}")
+        name = "phone" if len(body) == 10 else f"phone{len(body)}"
+        return _refill(s, head + f"{self.f.permute(name, 10 ** len(body), int(body), sign=self.sign):0{len(body)}d}")
 
     def card(self, s: str) -> str | None:
         digits = "".join(c for c in s if c.isdigit())
@@ -176,6 +187,21 @@ class Pseudonyms:
         x = self.f.permute("address", 1 << 32, int.from_bytes(bytes(octets), "big"), sign=self.sign)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
+    def ipv6(self, s: str) -> str | None:
+        digits = s.replace(":", "")
+        try:
+            ip_address(s)
+        except ValueError:
+            return None
+        if len(digits) < 8 or not any(c in _DIGITS for c in digits):
+            return None
+        upper = digits != digits.lower()
+        if upper and digits != digits.upper():
+            return None
+        new = f"{self.f.permute(f'ipv6{len(digits)}', 16 ** len(digits), int(digits, 16), lambda x: any(c in _DIGITS for c in f'{x:0{len(digits)}x}') and any(c in 'abcdef' for c in f'{x:0{len(digits)}x}') == any(c in 'abcdefABCDEF' for c in digits), self.sign):0{len(digits)}x}"
+        it = iter(new.upper() if upper else new)
+        return "".join(c if c == ":" else next(it) for c in s)
+
     def day(self, s: str) -> str | None:
         parts = regex.split(r"[-/.]", s)
         sep = s[len(parts[0])]
@@ -198,18 +224,20 @@ class Pseudonyms:
         if len(s) >= 32 and set(s) <= set(_HEX):
             n = len(s)
             return f"{self.f.permute('hex', 16**n, int(s, 16), sign=self.sign):0{n}x}"
-        head = 4 if s.startswith("AKIA") else 0
+        known = regex.match(r"AKIA|AIza|gh[pousr]_|sk-|xox[abprs]-", s)
+        head = known.end() if known else 0
         return s[:head] + self.letters("secret", s[head:])
 
     _RULES = (
         ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
-        ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=\bpassword=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"),
+        ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])|(?<=\bpassword=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"),
         ("card", r"(?<![\d.+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\d-]|\.\d)"),
         ("day", r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)"),
-        ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+        ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<=\b(?:SSN|ssn)[:# ]{1,3})\d{9}(?![\d-])"),
+        ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]|\.\w)"),
         ("address", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-        ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
+        ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+[1-9]\d{0,2}(?:[ .-]?\(0?\d{1,4}\))?(?:[ .-]\d{1,8}){1,5}(?!\d)|(?<![\d+./-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-]|\.\d)"),
     )
     _FOUND = regex.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=s1)').replace(chr(92) + '2', '(?P=s2)').replace('([-/.])', '(?P<s1>[-/.])', 1).replace('([-/.])', '(?P<s2>[-/.])', 1) if k == 'day' else p})" for k, p in _RULES))
     _KINDS = frozenset(k for k, _ in _RULES)

@@ -169,6 +169,67 @@ def test_formats_links_and_inversion():
     assert pii.Pseudonyms("other").apply(text)[0] != new
 
 
+MORE = [
+    ("write to ann.lee@mail.corp-x.co.uk or bob@mail.corp-x.co.uk", ["ann.lee", "corp-x"], ["email", "email"]),
+    ("host 2001:db8:85a3:0:0:8a2e:370:7334 and 2001:DB8:85A3::8A2E:370:7334", ["85a3", "8A2E"], ["ipv6", "ipv6"]),
+    ("call +49 30 901820 or +44 20 7946 0958 or 020 7946 0958 today", ["901820", "7946"], ["phone", "phone", "phone"]),
+    ("SSN: 536221234 is hers", ["536221234"], ["ssn"]),
+    ("export T=ghp_" + "a1B2" * 9 + " K=sk-" + "Q7w8" * 6 + " S=xoxb-12345-abcDEF6789", ["a1B2", "Q7w8", "12345"], ["secret"] * 3),
+]
+
+
+@pytest.mark.parametrize(("text", "gone", "kinds"), MORE)
+def test_more_formats(text, gone, kinds):
+    for key in ("k", "another", "third"):
+        new, found = pii.Pseudonyms(key).apply(text)
+        assert found == kinds and not any(g in new for g in gone) and len(new) == len(text)
+        assert pii.Pseudonyms(key, -1).apply(new)[0] == text
+    assert [c.isdigit() for c in new if c in ":. "] == [c.isdigit() for c in text if c in ":. "]
+
+
+def test_links_of_more_formats():
+    p = pii.Pseudonyms("k")
+    a, b = (re.sub(r"\D", "", x)[-10:] for x in p.apply("+44 20 7946 0958 / 020 7946 0958")[0].split("/"))
+    assert a == b != "2079460958"
+    x, y = p.apply("ann@corp.example.org bob@corp.example.org")[0].split()
+    assert x.split("@")[1] == y.split("@")[1] and x.endswith(".org")
+    for clean in ("std::vector and a::b", "12:30:45", "chapter 10 2 3", "+1 more", "0123 4567", "dead:beef", "sk-short", "1.2.3"):
+        assert p.apply(clean) == (clean, []), clean
+
+
+def test_no_valid_value_is_left(spark):
+    """A scan of its own, written without the operator's patterns, finds none of the values that were in the texts."""
+    rng = random.Random(77)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def luhn(body):
+        for d in "0123456789":
+            total = 0
+            for i, c in enumerate(reversed(body + d)):
+                x = int(c) * (1 + i % 2)
+                total += x - 9 * (x > 9)
+            if total % 10 == 0:
+                return body + d
+
+    rows, values = [], []
+    for i in range(150):
+        made = {
+            "card": luhn("4" + digits(14)), "mail": f"u{digits(4)}@host{digits(2)}.example.com", "ip": ".".join(str(rng.randint(1, 254)) for _ in range(4)), "day": f"{rng.randint(1950, 2049)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+            "phone": f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}", "ssn": f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        }
+        order = rng.sample(sorted(made), len(made))
+        rows.append((i, " ".join(f"{rng.choice(['see', 'my', 'the'])} {made[k]}," for k in order)))
+        values.append(made)
+    done = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for (i, _), made in zip(rows, values, strict=True):
+        new = done[i]["text"]
+        assert len(done[i]["_pii_kinds"]) == 6 and not [v for v in made.values() if v in new]
+        words = [w.strip(",") for w in new.split()]
+        cards = [w for w in words if w.isdigit() and len(w) == 16]
+        assert len(cards) == 1 and luhn(cards[0][:-1]) == cards[0]
+        assert sum(w.count(".") == 3 and all(x.isdigit() and int(x) < 256 for x in w.split(".")) for w in words) == 1
+
+
 def test_pii_of_odd_rows(spark, odd_docs, no_docs):
     done = pii.pseudonymise(odd_docs)
     assert done.columns == [*odd_docs.columns, "_pii_kinds"]
