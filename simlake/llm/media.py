@@ -7,13 +7,14 @@ and whose ancillary room holds the payload.  Every frame is protected by the sta
 CRC-16 over header and side information.  The last frame takes the lowest bitrate that
 fits, which is why the stream needs its table.
 
-``Stream`` reads any MPEG-1/2/2.5 Layer III stream: it skips ID3v2, ID3v1 and APE tags,
+``Stream`` reads any MPEG-1/2/2.5 Layer III stream: it skips ID3v2 (with extended header
+and footer), ID3v1 and APE tags, reads both kinds of variable-bitrate tables (Xing, VBRI),
 finds frame headers again after rubbish (a header counts if another one, the end, or a
-tag follows where its length says), checks CRCs, reads the variable-bitrate table, and
-yields exact durations and the byte offset of every frame.
+tag follows where its length says), checks CRCs, and yields exact durations (samples over
+their rate) and the byte offset of every frame.
 
 Defined results.  A null text counts as empty; a payload is padded with zero bytes to
-a positive multiple of 64.  Equal texts give equal bytes.  Rows are independent, so
+a positive multiple of 64.  Very long texts are stored whole.  Equal texts give equal bytes.  Rows are independent, so
 repeated rows and ids, and null ids, are harmless; extra columns are ignored; an empty
 table gives an empty table.  A stream without frames has no payload and duration 0.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -140,6 +142,7 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    seek_steps: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     crc_good: int = 0
@@ -184,6 +187,8 @@ class Stream:
             return 0
         size = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
         end, at = 10 + size(d[6:10]), 10
+        if d[5] & 0x40:  # extended header: in version 4 its size holds itself
+            at += size(d[10:14]) if d[3] == 4 else 4 + int.from_bytes(d[10:14], "big")
         while at + 10 <= end and d[at : at + 4].strip(b"\0"):
             n = size(d[at + 4 : at + 8]) if d[3] == 4 else int.from_bytes(d[at + 4 : at + 8], "big")
             name, body = d[at : at + 4].decode("latin-1"), d[at + 10 : at + 10 + n]
@@ -192,7 +197,7 @@ class Stream:
                 key, _, value = said.rstrip("\0").partition("\0")
                 self.tags[key if name == "TXXX" else name] = value if name == "TXXX" else key
             at += 10 + n
-        return end
+        return end + 10 * (d[3] == 4 and bool(d[5] & 0x10))  # a footer follows
 
     def _table(self, at: int, h: Header) -> bool:
         """Read the variable-bitrate table, if this frame holds one."""
@@ -206,6 +211,14 @@ class Stream:
                 if flags & 4:
                     self.toc = self.data[q : q + 100]
                 return True
+        p = at + 4 + 32
+        if self.data[p : p + 4] == b"VBRI":
+            field = lambda q, n: int.from_bytes(self.data[p + q : p + q + n], "big")
+            self.table_bytes, self.table_frames = field(10, 4), field(14, 4)
+            entries, scale, width = field(18, 2), field(20, 2), field(22, 2)
+            self.toc = self.data[p + 26 : p + 26 + entries * width]
+            self.seek_steps = [scale * field(26 + i * width, width) for i in range(entries)]
+            return True
         return False
 
     def _check(self, at: int, h: Header) -> None:
@@ -220,7 +233,10 @@ class Stream:
     @property
     def seconds(self) -> float:
         """Exact duration: samples over their rate."""
-        return sum(h.samples / h.hz for h in self.headers)
+        by_rate = Counter()
+        for h in self.headers:
+            by_rate[h.hz] += h.samples
+        return sum(n / hz for hz, n in sorted(by_rate.items()))
 
     def payload(self) -> bytes:
         """What ``encode`` stored."""
@@ -283,20 +299,20 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = encode(raw)
             stream = Stream(media)
             payload = stream.payload()
-            rows.append((n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), stream.feature()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows.append((n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), stream.feature(), stream.seconds, stream.offsets))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *_DIGESTS])
 
 
-_DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+_DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frame_offsets")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Both steps in one task, so that streams and payloads need not leave it: sizes, digests and the feature."""
-    types = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    """Both steps in one task, so that streams and payloads need not leave it: sizes, digests, the feature, duration and seek offsets."""
+    types = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, seconds double, frame_offsets array<bigint>"
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digested, types)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents through MPEG streams: sizes and digests of payload and stream, and the feature."""
+    """Whole documents through MPEG streams: sizes and digests of payload and stream, the feature, duration and seek offsets."""
     return digests(table(spark, sf_dir, "documents"))

@@ -1,7 +1,10 @@
+import binascii
+import hashlib
 import json
 import math
 import random
 import re
+import struct
 import time
 from collections import Counter
 from html.parser import HTMLParser
@@ -345,6 +348,49 @@ def test_streams():
     assert media.Stream(b"").seconds == 0 and media.Stream(b"\xff" * 100).offsets == []
 
 
+def test_digests_equal_their_definition(spark):
+    """Sizes, digests and frames worked out again: from the text, and by a walk over the stored bytes."""
+    texts = ["", "a", "x" * 64, "é" * 777, "TAG" * 300, "line\n" * 9000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.to_media(docs).collect()}
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    for r in media.digests(docs).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(64 - len(raw) if len(raw) < 64 else -len(raw) % 64)
+        data = stored[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        at, frames, body = 10 + int("".join(f"{b:07b}" for b in data[6:10]), 2), [], b""
+        while at < len(data):
+            assert data[at] == 0xFF and data[at + 1] == 0xFA and data[at + 2] >> 2 & 3 == 2
+            size = 144000 * kbps[data[at + 2] >> 4] // 32000
+            crc = 0xFFFF
+            for bit in "".join(f"{b:08b}" for b in data[at + 2 : at + 4] + data[at + 6 : at + 23]):
+                crc = (crc << 1 ^ (0x8005 if (crc >> 15) != int(bit) else 0)) & 0xFFFF
+            assert crc == int.from_bytes(data[at + 4 : at + 6], "big")
+            frames.append(at)
+            body += data[at + 23 : at + size] if len(frames) > 1 else b""
+            at += size
+        assert at == len(data) and r["frame_offsets"] == frames[1:] and body[: len(payload)] == payload and not any(body[len(payload) :])
+        assert r["seconds"] == (len(frames) - 1) * 1152 / 32000 and r["feature"].startswith(f"frames={len(frames) - 1};")
+
+
+def test_tags_and_tables_of_other_writers():
+    frame = bytes((0xFF, 0xFB, 0x90, 0xC4)) + bytes(413)  # 128 kbit/s at 44.1 kHz, without CRC
+    steps = [834, 1251]
+    vbri = (bytes((0xFF, 0xFB, 0x90, 0xC4)) + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 417 * 6, 5, 2, 1, 2, 2) + struct.pack(">HH", *steps)).ljust(417, b"\0")
+    title = b"TIT2" + bytes((0, 0, 0, 5)) + b"\0\0\3song"
+    extended = bytes((0, 0, 0, 6, 1, 0))
+    body = extended + title
+    footer = b"3DI\4\0\x50" + bytes((0, 0, 0, len(body)))
+    stream = media.Stream(b"ID3\4\0\x50" + bytes((0, 0, 0, len(body))) + body + footer + vbri + frame * 5)
+    start = 10 + len(body) + 10 + 417
+    assert stream.tags == {"TIT2": "song"} and (stream.table_frames, stream.table_bytes, stream.seek_steps, stream.skipped) == (5, 417 * 6, steps, 0)
+    assert stream.offsets == [start + 417 * i for i in range(5)] and stream.seconds == 5 * 1152 / 44100
+    old = b"ID3\3\0\x40" + bytes((0, 0, 0, 10 + len(title))) + struct.pack(">I", 6) + bytes(6) + title
+    assert media.Stream(old + frame * 3).tags == {"TIT2": "song"} and len(media.Stream(old + frame * 3).offsets) == 3
+
+
 def test_media_of_odd_rows(spark, odd_docs, no_docs):
     read = media.read_media(media.to_media(odd_docs)).collect()
     assert sorted(bytes(r["payload"]) for r in read) == sorted(media.padded(r["text"])[1] for r in odd_docs.collect())
