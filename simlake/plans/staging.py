@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,35 @@ def scratch_base(spark: SparkSession) -> str:
     return _own_base[app]
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and return the table read back."""
+    """Write ``df`` into the shared folder and return the table read back; it is deleted when the driver ends, if not before."""
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/simlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    fs, where = _file(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every staged table of this session; results that read them must be written before."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        where = hadoop.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def written(spark: SparkSession) -> list[str]:
+    """The tables staged by this session that still exist, in order."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete staged tables; results that read them must be written before."""
+    left = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, where = _file(spark, path)
+        fs.delete(where, True)
+        if path in left:
+            left.remove(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
