@@ -9,8 +9,9 @@ text is reassembled by position.  The documents are read twice, once for the wor
 once for the positions, rather than stored in between; they must come in the same order
 both times, as tables do, and a mark on each block makes the query fail if they do not.
 
-Decoding.  The table of token bytes has one entry for each rank of the vocabulary
-file, so its size is bounded by that file; each task holds it and joins ids to it.
+Decoding.  The table of token bytes has one row for each rank of the vocabulary file, so
+its size is bounded by that file.  It is joined as a broadcast is: every task holds it,
+keyed by rank, and joins all ids of a batch to it at once, in order of position.
 
 Defined results.  A null text counts as empty and has no ids.  Rows are independent,
 so repeated rows and ids, and null ids, are harmless; extra columns are ignored; an
@@ -56,12 +57,14 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=2)
-def _token_bytes(path: str) -> list[bytes]:
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each rank's bytes, and all of these bytes."""
     ranks = ranks_of(path)
-    out = [b""] * (max(ranks.values()) + 1)
+    tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        out[rank] = token
-    return out
+        tokens[rank] = token
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(tokens), np.uint8)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -197,9 +200,15 @@ def unpacked(encoded: DataFrame) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens = _token_bytes(path)
-    for batch in slices(batches):
-        found = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
+    starts, lengths, raw = _token_table(path)
+    for batch in slices(batches, 100):
+        packed = [x.as_py() or b"" for x in batch.column(1)]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        n = lengths[ids]
+        ends = np.cumsum(n)
+        whole = raw[np.repeat(starts[ids] - ends + n, n) + np.arange(n.sum())].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)])].tolist()
+        found = [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "ids", "bytes"])
 
 
