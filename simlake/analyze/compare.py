@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simlake.analyze.duplicates import side
+from simlake.analyze.spectrum import moments
 from simlake.functions import paths as P
 from simlake.functions.vectors import dot
 from simlake.operators.index import ExactBlocks, SimilarityIndex
@@ -39,7 +41,8 @@ class CompareConfig:
     use_path_hints: bool = True
     max_right_candidate_fanout: int = 0
     calibration: str = "none"
-    calibration_sample_pairs: int = 4096
+    #: Pairs drawn for the background; None takes all of them.
+    calibration_sample_pairs: int | None = 4096
     calibration_anchor: str = "hybrid"
     min_same_name_anchors: int = 3
     candidate_sigma_floor: float = 2.0
@@ -102,6 +105,25 @@ def _background(left: DataFrame, right: DataFrame, wanted: int) -> DataFrame:
     return pairs.join(x, "i").join(y, "j").select(dot("x", "y").alias("score"))
 
 
+def whole_background(left: DataFrame, right: DataFrame) -> tuple[int, float | None, float | None]:
+    """Number, mean and deviation of the scores of the whole cross product, from the moments of either side.
+
+    With means a, b and covariances A, B the mean is ab and the variance bAb + aBa + tr(AB).  A side's
+    moments are taken about one of its vectors, so nothing is lost where they lie close together.
+    """
+    sides = []
+    for rows in (left, right):
+        first = rows.select("v").first()
+        if first is None:
+            return 0, None, None
+        origin = np.asarray(first["v"], np.float64)
+        n, total, outer = moments(rows, "v", origin)
+        sides.append((n, origin + total / n, outer / n - np.outer(total / n, total / n)))
+    (n, a, spread_a), (m, b, spread_b) = sides
+    variance = b @ spread_a @ b + a @ spread_b @ a + (spread_a * spread_b).sum()
+    return n * m, float(a @ b), float(np.sqrt(np.maximum(variance, 0.0)))
+
+
 def unique_names(units: DataFrame) -> DataFrame:
     """``id, v, key`` of units whose lower-case name, kind and language occur once."""
     key = F.struct(F.lower("name").alias("name"), "kind", "language")
@@ -124,15 +146,17 @@ def same_name_anchor(left: DataFrame, right: DataFrame) -> tuple[float | None, i
 def calibrate(left: DataFrame, right: DataFrame, top: DataFrame, config: CompareConfig) -> dict | None:
     """Thresholds from the background's mean and deviation and an anchor; None without vectors."""
     x, y = (d.where("vector is not null").select(F.col("unit_idx").alias("id"), F.col("vector").alias("v")) for d in (left, right))
-    found = _background(x, y, config.calibration_sample_pairs).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).first()
+    if config.calibration_sample_pairs is None:
+        pairs, mean, std = whole_background(x, y)
+    else:
+        pairs, mean, std = _background(x, y, config.calibration_sample_pairs).agg(F.count("*"), F.avg("score"), F.stddev_pop("score")).first()
     top1 = rank_pick(top.where("rank = 1"), "score", nearest(0.95))
-    if not found["n"] or top1 is None:
+    if not pairs or top1 is None:
         return None
     named, count = same_name_anchor(left, right)
     trusted = named if named is not None and count >= config.min_same_name_anchors else None
     by_name = trusted is not None and (config.calibration_anchor == "same_name" or (config.calibration_anchor == "hybrid" and trusted > top1))
     anchor = trusted if by_name else top1
-    mean, std = found["mean"], found["std"]
     span = anchor - mean
     applied = span >= LEAST_RANGE
     floors = mean + config.candidate_sigma_floor * std, mean + config.match_sigma_floor * std
@@ -143,7 +167,7 @@ def calibrate(left: DataFrame, right: DataFrame, top: DataFrame, config: Compare
         candidate = max(base[0], floors[0])
         match = max(base[1], floors[1], candidate)
     return {
-        "applied": applied, "sampled_pairs": found["n"], "background_mean": mean, "background_std": std, "top1_anchor": top1, "same_name_anchor": named, "same_name_count": count,
+        "applied": applied, "sampled_pairs": pairs, "background_mean": mean, "background_std": std, "top1_anchor": top1, "same_name_anchor": named, "same_name_count": count,
         "anchor_source": "same_name" if by_name else "top1_p95", "effective_anchor": anchor, "candidate_floor": floors[0], "match_floor": floors[1],
         "candidate_floored": applied and candidate > base[0], "match_floored": applied and match > base[1], "margin_required": config.strong_min_margin_sigma * std if applied else 0.0,
         "effective_candidate_threshold": candidate, "effective_match_threshold": match,

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def moments(vectors: DataFrame, column: str = "vector") -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and sum of outer products; each task hands on one d x d matrix."""
+def moments(vectors: DataFrame, column: str = "vector", origin: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, sum and sum of outer products of the vectors, or of their differences from ``origin``; each task hands on one d x d matrix."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, outer = 0, None, None
         for batch in batches:
             if len(batch):
                 x = np.stack([np.asarray(v, np.float64) for v in batch["v"]])
+                if origin is not None:
+                    x -= origin
                 n += len(x)
                 total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
                 outer = x.T @ x if outer is None else outer + x.T @ x

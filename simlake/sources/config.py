@@ -80,7 +80,7 @@ def load(values: dict | None) -> Config:
     check(0 < c.candidate_threshold <= c.match_threshold <= 1.5 and c.top_k_per_unit >= 1, "comparison needs 0 < candidate <= match <= 1.5 and top_k of at least 1")
     check(c.calibration in ("none", "background") and c.calibration_anchor in ("top1_p95", "same_name", "hybrid"), "unknown calibration")
     check(0 <= c.candidate_sigma_floor <= c.match_sigma_floor and c.strong_min_margin_sigma >= 0, "sigma floors must rise from 0")
-    check(1 <= c.calibration_sample_pairs <= 1_000_000 and 0 <= c.abtt_components <= 64, "calibration sample or components out of range")
+    check((c.calibration_sample_pairs is None or 1 <= c.calibration_sample_pairs <= 1_000_000) and 0 <= c.abtt_components <= 64, "calibration sample or components out of range")
     check(-1 <= k.min_projection <= 1 and k.top_units_per_concern >= 1, "concern settings out of range")
     check(not k.enabled or bool(k.queries), "concerns need queries")
     names = [q["name"] for q in k.queries]

@@ -16,6 +16,7 @@ from simlake.operators.clusters import capped, merged
 from simlake.operators.graph import UnionFind, connected_components
 from simlake.operators.index import Comparison, Contract, Duplicates, ExactBlocks, HashEmbedder, contract_diff, query_vector
 from simlake.operators.similarity import similar_pairs, similar_pairs_sql, top_k_between
+from simlake.plans import registry
 from tests.helpers import direction, drawn, entry, table
 
 SETTINGS = duplicates.DuplicateConfig(candidate_threshold=0.9, similarity_threshold=0.96, rerank_threshold=1.0, max_edges_per_unit=3, max_cluster_size=7, max_semantic_cluster_size=4)
@@ -302,6 +303,26 @@ def test_calibration_by_background(spark, monkeypatch):
     assert sorted(r["score"] for r in drawn_scores.collect()) == pytest.approx(sorted(s[i, j] for i, j in pairs))
 
 
+def test_calibration_over_all_pairs(spark, tmp_path):
+    # more than ten million pairs, none of them left out
+    rng = np.random.default_rng(33)
+    v = rng.normal(size=(6600, 4)) + [0.5, 0, 0, 0]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v[i].tolist(), i % 10) for i in range(len(v))], "vec_id bigint, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    body = [i - 1 if i % 10 == 9 else i for i in range(len(v)) if i % 50 != 7]
+    x, y = (v[[b for b, i in zip(body, (i for i in range(len(v)) if i % 50 != 7), strict=True) if i % 2 == side]].astype(float) for side in (0, 1))
+    s = x @ y.T
+    got = registry.QUERIES["a15_a17_calibration"](spark, str(tmp_path)).first()
+    assert s.size > 10**7 and (got["pairs"], got["mean"], got["std"]) == (s.size, pytest.approx(s.mean(), abs=6e-7), pytest.approx(s.std(), abs=6e-7))
+    # long vectors that lie close together, and a side without any
+    near, far = (rng.normal(size=(n, 5)) * 1e-3 + 300 for n in (40, 7))
+    left, right = (spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(z)], "id bigint, v array<double>") for z in (near, far))
+    s = near @ far.T
+    assert C.whole_background(left, right) == (280, pytest.approx(s.mean(), rel=1e-12), pytest.approx(s.std(), rel=1e-6))
+    assert C.whole_background(left.limit(1), right.limit(1))[2] == 0 and C.whole_background(left, right.where("false"))[0] == 0
+
+
 def test_all_but_the_top_and_the_spectrum(spark):
     rng = np.random.default_rng(32)
     x = rng.normal(size=(50, 7)) * [5, 3, 1, 1, 1, 0.5, 0.1] - 2
