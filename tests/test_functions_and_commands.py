@@ -97,6 +97,12 @@ def test_index_stats_over_addresses_with_several_pages(spark, tmp_path):
     assert tuple(got) == (states.count("new") + states.count("changed"), states.count("unchanged"), states.count("removed"), 13)
 
 
+def test_changes_over_addresses_with_several_pages(spark, tmp_path):
+    states = _pages(spark, tmp_path)
+    got = [tuple(r) for r in registry.QUERIES["j17_changes"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(("main", u, s) for u, s in states) and {s for _, s in states} == {"new", "removed", "changed", "unchanged"}
+
+
 SOURCE = '''import os
 
 
