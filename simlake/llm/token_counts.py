@@ -7,7 +7,8 @@ the two side by side leaves them apart.  So ``count[i] = count[i - length] + 1``
 one pass gives the count at every prefix (as a cut-off word: its last letter carries
 the word end).  A text's counts are the running sum over its pre-tokens, so the
 questions "how many tokens has this prefix" and "what is the longest prefix within
-this budget" are answered from the table without encoding again.
+this budget" are answered from the table without encoding again.  Where only the count
+of a whole pre-token is asked for, only its last byte is tested as a word end.
 
 Prefixes are those of the normalised text (NFC, lower case) in code points; white
 space has no tokens.  Special strings are one token each, as the library does it, and
@@ -22,9 +23,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, partial
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import public_tokenizers
 import pyarrow as pa
@@ -46,6 +48,21 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
+class _Totals(dict):
+    """Token counts of whole pre-tokens, found when they are first asked for; very long ones are not kept."""
+
+    def __init__(self, total: Callable[[str], int]) -> None:
+        self.total = total
+
+    def __missing__(self, piece: str) -> int:
+        known = self.total(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= TABLE:
+                self.clear()
+            self[piece] = known
+        return known
+
+
 class PrefixCounter:
     """Counts tokens at every prefix with the vocabulary of a ``tokenizers`` file with word ends."""
 
@@ -68,18 +85,25 @@ class PrefixCounter:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.inner = {x for x in model["vocab"] if not x.endswith(self.end)}
         self.final = {x[: -len(self.end)] for x in model["vocab"] if x.endswith(self.end)}
-        self.begins = {x[:i] for x in self.inner | self.final for i in range(1, len(x) + 1)}
+        # what a token begins with, and whether that is an inner token itself
+        self.begins = {x[:i]: x[:i] in self.inner for x in self.inner | self.final for i in range(1, len(x) + 1)}
         self.letters = _byte_letters()
-        self.apart: dict[tuple[str, str, bool], bool] = {}
+        # by the token before and whether a word ends: which tokens stay apart from it
+        self.apart: dict[bool, defaultdict[str, dict[str, bool]]] = {final: defaultdict(dict) for final in (False, True)}
+        self.known_apart = 0
         self.table: dict[str, bytes | list[int]] = {}
+        self.totals = _Totals(self.total)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Byte-pair merging as defined: the best-ranked pair first, from the left."""
+        rank, none = self.rank.get, len(self.rank)
         while len(symbols) > 1:
-            best = min(((self.rank.get(pair, len(self.rank)), i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))), default=None)
-            if best[0] == len(self.rank):
+            ranks = [rank(pair, none) for pair in pairwise(symbols)]
+            best = min(ranks)
+            if best == none:
                 break
-            pair, out, i = (symbols[best[1]], symbols[best[1] + 1]), [], 0
+            i = ranks.index(best)
+            pair, out = (symbols[i], symbols[i + 1]), symbols[:i]
             while i < len(symbols):
                 if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
                     out.append(symbols[i] + symbols[i + 1])
@@ -92,25 +116,51 @@ class PrefixCounter:
 
     def compatible(self, left: str, right: str, final: bool) -> bool:
         """Whether the two tokens stay apart when merged side by side (an empty left: whether right is one token)."""
-        key = (left, right, final)
-        known = self.apart.get(key)
+        known = self.apart[final][left].get(right)
         if known is None:
             symbols = [*left, *right]
             if final:
                 symbols[-1] += self.end
             want = [left] * bool(left) + [right + self.end * final]
-            if len(self.apart) > 2 * TABLE:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(symbols) == want
+            if self.known_apart > 2 * TABLE:
+                for of_left in self.apart.values():
+                    of_left.clear()
+                self.known_apart = 0
+            known = self.apart[final][left][right] = self.merged(symbols) == want
+            self.known_apart += 1
         return known
 
+    def total(self, piece: str) -> int:
+        """The token count of a whole pre-token: the programme of ``word``, in which only the last byte may end the word."""
+        s = "".join([self.letters[b] for b in piece.encode()])
+        n, begins, compatible, apart = len(s), self.begins, self.compatible, self.apart[False]
+        count, last = [0] * n, [""] * n
+        for start in range(n):
+            left = last[start]
+            if start and not left:
+                continue
+            near = apart[left]
+            for i in range(start + 1, n):
+                token = s[start:i]
+                inner = begins.get(token)
+                if inner is None:
+                    break
+                if inner and not last[i]:
+                    fits = near.get(token)
+                    if compatible(left, token, False) if fits is None else fits:
+                        count[i], last[i] = count[start] + 1, token
+            else:
+                if s[start:] in self.final and compatible(left, s[start:], True):
+                    return count[start] + 1
+        return 0
+
     def word(self, piece: str) -> bytes | list[int]:
         """Token counts of the prefixes of 1, 2, ... code points of a pre-token."""
         known = self.table.get(piece)
         if known is not None:
             return known
         s = "".join([self.letters[b] for b in piece.encode()])
-        n, inner, final, begins, apart = len(s), self.inner, self.final, self.begins, self.apart
+        n, final, begins, compatible = len(s), self.final, self.begins, self.compatible
         count, last = [0] * (n + 1), [""] * (n + 1)
         ends = range(1, n + 1) if n == len(piece) else list(accumulate(len(c.encode()) for c in piece))
         stops = dict.fromkeys(ends, 0)
@@ -120,16 +170,13 @@ class PrefixCounter:
                 continue
             for i in range(start + 1, n + 1):
                 token = s[start:i]
-                if token not in begins:
+                inner = begins.get(token)
+                if inner is None:
                     break
-                if i < n and token in inner and not last[i]:
-                    key = (left, token, False)
-                    if apart[key] if key in apart else self.compatible(left, token, False):
-                        count[i], last[i] = after, token
-                if token in final and stops.get(i) == 0:
-                    key = (left, token, True)
-                    if apart[key] if key in apart else self.compatible(left, token, True):
-                        stops[i] = after
+                if i < n and inner and not last[i] and compatible(left, token, False):
+                    count[i], last[i] = after, token
+                if token in final and stops.get(i) == 0 and compatible(left, token, True):
+                    stops[i] = after
         out = list(stops.values())
         if len(piece) > LONGEST:
             return out
@@ -152,10 +199,7 @@ class PrefixCounter:
         return [(x, True) if i % 2 else (self.normalised(x), False) for i, x in enumerate(found)]
 
     def count(self, text: str) -> int:
-        total, get, word = 0, self.table.get, self.word
-        for part, special in self.parts(text):
-            total += 1 if special else sum([(get(x) or word(x))[-1] for x in self.pieces.findall(part)])
-        return total
+        return sum(1 if special else sum(map(self.totals.__getitem__, self.pieces.findall(part))) for part, special in self.parts(text))
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts of the prefixes of 0, 1, 2, ... code points of the normalised text."""
@@ -176,8 +220,8 @@ class PrefixCounter:
 
     def measure(self, text: str, limits: Sequence[int]) -> tuple[int, list[int]]:
         """The token count, and for each limit the code points of the longest prefix with at most so many tokens."""
-        parts, get, word = self.parts(text), self.table.get, self.word
-        counts = [[1] if special else [(get(x) or word(x))[-1] for x in self.pieces.findall(part)] for part, special in parts]
+        parts, total_of = self.parts(text), self.totals.__getitem__
+        counts = [[1] if special else list(map(total_of, self.pieces.findall(part))) for part, special in parts]
         total, length = sum(map(sum, counts)), sum(len(part) for part, _ in parts)
         return total, [length if total <= limit else self._cut(parts, counts, limit) for limit in limits]
 

@@ -37,6 +37,17 @@ def test_counts_and_cuts(counter):
             assert total == n and counter.prefixes(text)[cut] <= limit
 
 
+def test_whole_words_are_counted_without_their_prefixes():
+    library, own = Tokenizer.from_file(WORDS), token_counts.PrefixCounter(WORDS)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéthrinßжあ") for _ in range(rng.randint(1, 70))) for _ in range(400)]
+    for _ in range(2):
+        total, (cut,) = own.measure(" ".join(words), [10**6])
+        assert total == sum(len(library.encode(w, add_special_tokens=False).ids) for w in words) and cut == len(" ".join(words))
+        assert not own.table and set(own.totals) == {w for w in words if len(w) <= token_counts.LONGEST}
+    assert all(own.total(w) == own.word(w)[-1] for w in words)
+
+
 def test_token_counts_of_odd_rows(spark, odd_docs, no_docs):
     library = Tokenizer.from_file(WORDS)
     texts = [r["text"] or "" for r in odd_docs.collect()]
