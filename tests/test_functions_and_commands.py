@@ -103,6 +103,19 @@ def test_changes_over_addresses_with_several_pages(spark, tmp_path):
     assert sorted(got) == sorted(("main", u, s) for u, s in states) and {s for _, s in states} == {"new", "removed", "changed", "unchanged"}
 
 
+@pytest.mark.parametrize("odd", ["addresses with several pages", "no html", "no address"])
+def test_changes_equal_their_sql(spark, tmp_path, odd):
+    import duckdb
+
+    several, empty, nowhere = (odd == x for x in ("addresses with several pages", "no html", "no address"))
+    rows = [(i, None if nowhere and i == 11 else f"u{i // 3 if several and i < 30 else 1000 + i}", None if empty and i % 4 == 1 else f"<p>{i % 5}</p>") for i in range(1, 90)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = db.execute(registry.ORACLE["j17_changes"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in registry.QUERIES["j17_changes"](spark, str(tmp_path)).collect())
+
+
 SOURCE = '''import os
 
 
