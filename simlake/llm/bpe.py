@@ -5,9 +5,11 @@ block numbers its distinct pre-tokens and keeps, for each text, the numbers in o
 of position.  Only a block's distinct words enter the shuffle, packed by the owner
 that their hash names, so even the most frequent word enters once a block.  The task
 that owns a word encodes it once.  The ids go back to the words' blocks, where each
-text is reassembled by position.  The documents are read twice, once for the words and
-once for the positions, rather than stored in between; they must come in the same order
-both times, as tables do, and a mark on each block makes the query fail if they do not.
+text is reassembled by position.  Blocks are dealt to twice as many parts as the input
+has and a task holds its part, packed, so that nothing is sorted.  The documents are
+read twice, once for the words and once for the positions, rather than stored in
+between; they must come in the same order both times, as tables do, and a mark on each
+block makes the query fail if they do not.
 
 Decoding.  The table of token bytes has one row for each rank of the vocabulary file, so
 its size is bounded by that file.  It is joined as a broadcast is: every task holds it,
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -152,40 +153,53 @@ def _owned(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterat
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "mark", "numbers", "counts", "ids"])
 
 
-def _reassembled(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """One block: put the ids of the words at their positions."""
-    if len({*texts["mark"], *(words["mark"] if len(words) else texts["mark"])}) > 1:
-        raise RuntimeError("the two scans of the documents differ: write them as a table before encoding")
-    join = lambda column: np.concatenate([np.empty(0, np.int64), *map(column, range(len(words)))]).astype(np.int64)
-    numbers = join(lambda i: np.cumsum(_unpack(words["numbers"].iloc[i]), dtype=np.int64))
-    sizes = join(lambda i: _unpack(words["counts"].iloc[i]))
-    flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in words["ids"])])
-    start, count = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
-    start[numbers], count[numbers] = np.cumsum(sizes) - sizes, sizes
-    doc_ids, whole = [], []
-    for ids, lengths, positions in zip(texts["doc_ids"], texts["sizes"], texts["positions"], strict=True):
-        at = _unpack(positions)
-        n = count[at]
-        ends = np.cumsum(n)
-        found = flat[np.repeat(start[at] - ends + n, n) + np.arange(n.sum())].astype("<u4")
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(_unpack(lengths), dtype=np.int64)])]
-        doc_ids += list(ids)
-        whole += [found[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a part, in any order of their rows: put the ids of the words at their positions."""
+    blocks: dict[str, tuple[set[int], list[tuple], list[tuple]]] = {}
+    for batch in slices(batches, 64):
+        for block, mark, doc_ids, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            marks, texts, words = blocks.setdefault(block, (set(), [], []))
+            marks.add(mark)
+            if doc_ids is None:
+                words.append(tuple(packed[2:]))
+            else:
+                texts.append((doc_ids, *packed[:2]))
+    while blocks:
+        _, (marks, texts, words) = blocks.popitem()
+        if len(marks) > 1:
+            raise RuntimeError("the two scans of the documents differ: write them as a table before encoding")
+        numbers = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x), dtype=np.int64) for x, _, _ in words)])
+        sizes = np.concatenate([np.empty(0, np.int64), *(_unpack(x) for _, x, _ in words)]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for _, _, x in words)])
+        start, count = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+        start[numbers], count[numbers] = np.cumsum(sizes) - sizes, sizes
+        for doc_ids, lengths, positions in texts:
+            at = _unpack(positions)
+            n = count[at]
+            ends = np.cumsum(n)
+            found = flat[np.repeat(start[at] - ends + n, n) + np.arange(n.sum())].astype("<u4")
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(_unpack(lengths), dtype=np.int64)])].tolist()
+            whole = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.record_batch([pa.array(doc_ids, pa.string()), pa.array(whole, pa.binary())], names=["doc_id", "ids"])
     tidy()
-    return pd.DataFrame({"doc_id": doc_ids, "ids": whole})
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``doc_id, ids``; ids are packed as little-endian unsigned 32-bit integers (see ``unpacked``)."""
-    id_type = dict(docs.dtypes)["doc_id"]
+def _dealt(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Both sides of the blocks for ``_reassembled``, a block's rows all in one part."""
     text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = text.rdd.getNumPartitions()
     # as many owners as parts of the input, so that what one of them owns stays the same size
-    owners = min(4096, max(16, text.rdd.getNumPartitions()))
-    words = text.mapInArrow(partial(_blocked, pattern=pattern, owners=owners), _WORD_TYPE).repartition("owner").drop("owner")
+    words = text.mapInArrow(partial(_blocked, pattern=pattern, owners=min(4096, max(16, parts))), _WORD_TYPE).repartition("owner").drop("owner")
     words = words.mapInArrow(partial(_owned, path=path, pattern=pattern), "block string, mark bigint, numbers binary, counts binary, ids binary")
     texts = text.mapInArrow(partial(_blocked, pattern=pattern, owners=None), _TEXT_TYPE)
-    whole = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_reassembled, "doc_id string, ids binary")
-    return whole.select(F.col("doc_id").cast(id_type).alias("doc_id"), "ids")
+    # not as cogroups: these sort both sides, and each sort takes a page of up to 64 MB in the executor for a few blocks
+    return texts.unionByName(words, allowMissingColumns=True).repartition(max(16, 2 * parts), "block")
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``doc_id, ids``; ids are packed as little-endian unsigned 32-bit integers (see ``unpacked``)."""
+    whole = _dealt(docs, path, pattern).mapInArrow(_reassembled, "doc_id string, ids binary")
+    return whole.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "ids")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +231,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path), f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, bytes binary")
 
 
+def _back(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _decoded(_reassembled(batches), path)
+
+
+def there_and_back(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(docs))``, but the worker that reassembles a text's ids decodes them too, so a task needs one worker instead of two."""
+    whole = _dealt(docs, path, pattern).mapInArrow(partial(_back, path=path), "doc_id string, ids binary, bytes binary")
+    return whole.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "ids", "bytes")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents there and back: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    done = there_and_back(table(spark, sf_dir, "documents"), path)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -72,6 +73,48 @@ def test_bpe_there_and_back(spark, odd_docs, no_docs, small_blocks):
     assert bpe.encode(no_docs, RANKS).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bpe_sorts_nothing(odd_docs):
+    """A sort takes a page of up to 64 MB of the executor for each side of a task."""
+    assert "Sort" not in _plan(bpe.encode(odd_docs, RANKS)) and "CoGroup" not in _plan(bpe.encode(odd_docs, RANKS))
+
+
+def test_bpe_takes_one_worker_a_task(odd_docs, no_docs):
+    def rows(df):
+        return sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["bytes"])) for r in df.collect())
+
+    once = bpe.there_and_back(odd_docs, RANKS)
+    assert rows(once) == rows(bpe.decode(bpe.encode(odd_docs, RANKS), RANKS))
+    assert once.schema["doc_id"].dataType == odd_docs.schema["doc_id"].dataType
+    assert bpe.there_and_back(no_docs, RANKS).count() == 0
+    assert [part.count("MapInArrow") for part in _plan(bpe.there_and_back(odd_docs, RANKS)).split("Exchange")] == [1, 2, 1]
+
+
+def test_blocks_of_a_part_come_in_any_order():
+    words = {"a": [b"x", b"y"], "b": [b"z"]}
+
+    def text(block, mark=1):
+        return {"block": block, "mark": mark, "doc_ids": [block, None], "sizes": bpe._pack(np.array([len(words[block]), 0])), "positions": bpe._pack(np.arange(len(words[block])))}
+
+    def word(block, k, mark=1):  # its ids: k and 7
+        return {"block": block, "mark": mark, "numbers": bpe._pack(np.array([k])), "counts": bpe._pack(np.array([2])), "ids": bpe._pack(np.array([k, 7]))}
+
+    def run(rows):
+        schema = pa.schema([*bpe._TEXT_SCHEMA, *((n, pa.binary()) for n in ("numbers", "counts", "ids"))])
+        out = [r for b in bpe._reassembled(iter([pa.RecordBatch.from_pylist([r], schema=schema) for r in rows])) for r in b.to_pylist()]
+        return sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in out)
+
+    want = [("None", []), ("None", []), ("a", [0, 7, 1, 7]), ("b", [0, 7])]
+    assert run([word("a", 1), text("b"), text("a"), word("b", 0), word("a", 0)]) == want
+    assert run([]) == []
+    for odd in (word("a", 0, mark=2), text("a", mark=2)):
+        with pytest.raises(RuntimeError, match="scans of the documents differ"):
+            run([text("a"), word("a", 1), odd])
+
+
 def test_packed_numbers():
     for n in ([], [0], [1, 2**32 - 1, 256, 65536]):
         assert bpe._unpack(bpe._pack(np.array(n, np.int64))).tolist() == n
